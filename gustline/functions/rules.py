@@ -184,14 +184,26 @@ def fault_code(gearbox="gearbox_temp_c", generator="generator_temp_c",
     ], F.lit(None).cast("string"))
 
 
+# Alert level per fault code.
+LEVEL_BY_CODE = {
+    C.FAULT_GEARBOX_OVERHEAT: C.LEVEL_CRITICAL,
+    C.FAULT_GENERATOR_OVERHEAT: C.LEVEL_CRITICAL,
+    C.FAULT_TOWER_LEAN: C.LEVEL_CRITICAL,
+    C.FAULT_HIGH_VIBRATION: C.LEVEL_WARNING,
+    C.FAULT_LOW_OIL_PRESSURE: C.LEVEL_WARNING,
+}
+
+
 def alert_level(code="fault_code") -> Column:
-    c = _c(code)
-    return _case([
-        (c.isin(C.FAULT_GEARBOX_OVERHEAT, C.FAULT_GENERATOR_OVERHEAT, C.FAULT_TOWER_LEAN),
-         F.lit(C.LEVEL_CRITICAL)),
-        (c.isin(C.FAULT_HIGH_VIBRATION, C.FAULT_LOW_OIL_PRESSURE), F.lit(C.LEVEL_WARNING)),
-        (c.isNotNull(), F.lit(C.LEVEL_INFO)),
-    ], F.lit(C.LEVEL_NORMAL))
+    """CRITICAL / WARNING by code, INFO for any other code, NORMAL without one.
+
+    A map lookup references the code once, so a filter on the level that
+    Catalyst pushes through the projection does not copy the (possibly
+    large) code expression several times.
+    """
+    pairs = [F.lit(x) for kv in LEVEL_BY_CODE.items() for x in kv] + [F.lit(""), F.lit(C.LEVEL_NORMAL)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(_c(code), F.lit(""))),
+                      F.lit(C.LEVEL_INFO))
 
 
 # --- noise-free turbine physics (R2, R3) ----------------------------------------

@@ -9,16 +9,20 @@ clock), the same on the SQL side.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustline.functions import quality as Q
+from gustline.operators import dispatch as D
 from gustline.operators import gold as G
+from gustline.operators import reporting as RP
 from gustline.operators import silver as S
 from gustline.plans import medallion as M
 from gustline.plans import oracle as O
+from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
 from gustline.session import prepare
 from gustline.sources import fixtures
 
@@ -41,12 +45,15 @@ QUEUE_DOUBLES = ("dispatch_priority_score", "avg_health_score", "degradation_ris
 
 
 def present(df: DataFrame, doubles=()) -> DataFrame:
-    """Round the named double columns to 6 dp; timestamps -> TIMESTAMP_NTZ."""
+    """Round the named double columns to 6 dp; decimals -> DOUBLE;
+    timestamps -> TIMESTAMP_NTZ."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.name in doubles:
             c = F.round(c, 6)
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast(T.TimestampNTZType())
         out.append(c.alias(f.name))
@@ -96,23 +103,22 @@ def silver_deterministic_dedup(spark, sf_dir):
     return present(S.clean_readings(bronze, M.as_of(), deterministic=True))
 
 
-_VIOLATIONS_SQL = O.with_layers("silver", """
-SELECT rule, failed_records, total_records FROM (
-  SELECT count(*) AS total_records,
-    count_if(NOT coalesce(turbine_id IS NOT NULL AND turbine_id != '', false)) AS valid_turbine_id,
-    count_if(NOT coalesce(ingestion_timestamp IS NOT NULL, false)) AS valid_timestamp,
-    count_if(NOT coalesce(wind_speed_ms BETWEEN 0 AND 50, false)) AS reasonable_wind_speed,
-    count_if(NOT coalesce(nacelle_temp_c BETWEEN -40 AND 120 AND gearbox_temp_c BETWEEN -40 AND 120
-                          AND generator_temp_c BETWEEN -40 AND 120, false)) AS valid_temperatures,
-    count_if(NOT coalesce(oil_pressure_bar BETWEEN 0 AND 100
-                          AND brake_pressure_bar BETWEEN 0 AND 300, false)) AS valid_pressures,
-    count_if(NOT coalesce(vibration_ms2 >= 0 AND vibration_ms2 <= 10, false)) AS valid_vibration,
-    count_if(NOT coalesce(location_lat BETWEEN -90 AND 90
-                          AND location_lon BETWEEN -180 AND 180, false)) AS valid_coordinates
-  FROM cand
-) UNPIVOT (failed_records FOR rule IN (valid_turbine_id, valid_timestamp, reasonable_wind_speed,
-  valid_temperatures, valid_pressures, valid_vibration, valid_coordinates))
-""")
+_RULES_SQL = (
+    ("valid_turbine_id", "turbine_id IS NOT NULL AND turbine_id != ''"),
+    ("valid_timestamp", "ingestion_timestamp IS NOT NULL"),
+    ("reasonable_wind_speed", "wind_speed_ms BETWEEN 0 AND 50"),
+    ("valid_temperatures", "nacelle_temp_c BETWEEN -40 AND 120 AND gearbox_temp_c BETWEEN -40 AND 120"
+                           " AND generator_temp_c BETWEEN -40 AND 120"),
+    ("valid_pressures", "oil_pressure_bar BETWEEN 0 AND 100 AND brake_pressure_bar BETWEEN 0 AND 300"),
+    ("valid_vibration", "vibration_ms2 >= 0 AND vibration_ms2 <= 10"),
+    ("valid_coordinates", "location_lat BETWEEN -90 AND 90 AND location_lon BETWEEN -180 AND 180"),
+)
+_VIOLATIONS_SQL = O.with_layers("silver", "SELECT rule, failed_records, total_records FROM (\n"
+    "  SELECT count(*) AS total_records,\n"
+    + ",\n".join(f"    count(CASE WHEN NOT coalesce({p}, false) THEN 1 END) AS {n}" for n, p in _RULES_SQL)
+    + "\n  FROM cand\n) UNPIVOT (failed_records FOR rule IN ("
+    + ", ".join(n for n, _ in _RULES_SQL) + "))")
+
 
 
 @register("quality_violations", _VIOLATIONS_SQL)
@@ -153,6 +159,274 @@ def dispatch_queue(spark, sf_dir):
     return present(layers(spark, sf_dir).queue(), QUEUE_DOUBLES)
 
 
+# --- dispatch flow --------------------------------------------------------------
+# Cycle 1 decides at T1 on the whole queue with an empty log, tickets are filed
+# at T2, and cycle 2 decides at T3 against the resulting log.
+T1, T2 = "2024-02-01 00:00:00", "2024-02-01 00:05:00"
+LOG_COLS = tuple(c for c in MONITORING_COLUMNS if c != "id")
+TICKET_OUT_COLS = tuple(c for c in TICKET_COLUMNS if c != "id")
+DECISION_DOUBLES = ("dispatch_priority_score",)
+
+
+@dataclass
+class DispatchFlow:
+    queue: DataFrame
+    gold: DataFrame
+    decisions1: DataFrame
+    log1: DataFrame
+    tickets: DataFrame
+    log: DataFrame
+    decisions2: DataFrame
+
+
+def dispatch_flow(spark: SparkSession, sf_dir: str) -> DispatchFlow:
+    lay = layers(spark, sf_dir)
+    queue, gold = lay.queue(ordered=False), lay.gold
+    t1, t2 = M.as_of(T1), M.as_of(T2)
+    d1 = D.dispatch_decisions(queue, D.empty_log(spark))
+    m1 = D.monitoring_rows(d1, gold, t1)
+    tickets, m2 = D.file_tickets(m1, t2)
+    log = m1.unionByName(m2)
+    d2 = D.dispatch_decisions(queue, log)
+    return DispatchFlow(queue, gold, d1, m1, tickets, log, d2)
+
+
+def _dsql(body: str) -> str:
+    return O.with_layers("dispatch", body)
+
+
+@register("dispatch_candidates", _dsql(
+    f"SELECT * REPLACE ({O.r6(*QUEUE_DOUBLES)}) FROM cands"))
+def dispatch_candidates(spark, sf_dir):
+    """Latest queue row per turbine with >= 5 alerts."""
+    return present(D.dispatch_candidates(layers(spark, sf_dir).queue(ordered=False)), QUEUE_DOUBLES)
+
+
+@register("dispatch_decisions", _dsql(
+    f"SELECT * REPLACE ({O.r6(*DECISION_DOUBLES)}) FROM d1"))
+def dispatch_decisions(spark, sf_dir):
+    """Decisions with no open tickets: > 5 alerts -> 'Need to File' (R5)."""
+    return present(dispatch_flow(spark, sf_dir).decisions1, DECISION_DOUBLES)
+
+
+@register("agent_log_rows", _dsql("SELECT * REPLACE (CAST(dispatch_priority_score AS DOUBLE) "
+                                  "AS dispatch_priority_score) FROM m1"))
+def agent_log_rows(spark, sf_dir):
+    """Log rows of the first decision round, with health reports attached."""
+    return present(dispatch_flow(spark, sf_dir).log1.select(*LOG_COLS))
+
+
+@register("filed_tickets", _dsql("SELECT * FROM tickets"))
+def filed_tickets(spark, sf_dir):
+    """Tickets filed for every latest 'Need to File' row."""
+    return present(dispatch_flow(spark, sf_dir).tickets.select(*TICKET_OUT_COLS))
+
+
+@register("monitoring_log", _dsql("SELECT * REPLACE (CAST(dispatch_priority_score AS DOUBLE) "
+                                  "AS dispatch_priority_score) FROM log"))
+def monitoring_log(spark, sf_dir):
+    """Append-only log after decisions and filing (R8 appended 'Open' rows)."""
+    return present(dispatch_flow(spark, sf_dir).log.select(*LOG_COLS))
+
+
+@register("open_tickets", _dsql("""
+SELECT t1.turbine_id, t1.ticket_status FROM log t1
+JOIN (SELECT turbine_id, max(updated_at) AS m FROM log GROUP BY turbine_id) t2
+  ON t1.turbine_id = t2.turbine_id AND t1.updated_at = t2.m
+WHERE t1.ticket_status = 'Open'"""))
+def open_tickets(spark, sf_dir):
+    """Turbines whose latest log row is 'Open' (J1, A23, P11)."""
+    return present(D.open_turbines(dispatch_flow(spark, sf_dir).log))
+
+
+@register("dispatch_decisions_followup", _dsql(
+    f"SELECT * REPLACE ({O.r6(*DECISION_DOUBLES)}) FROM d2"))
+def dispatch_decisions_followup(spark, sf_dir):
+    """Second round: turbines with an open ticket are skipped (J2 anti join)."""
+    return present(dispatch_flow(spark, sf_dir).decisions2, DECISION_DOUBLES)
+
+
+@register("ticket_counts", _dsql(
+    "SELECT count(*) AS total_rows, count(CASE WHEN ticket_status = 'Open' THEN 1 END) AS open_tickets, "
+    "count(CASE WHEN ticket_status = 'Need to File' THEN 1 END) AS need_to_file_tickets FROM log"))
+def ticket_counts(spark, sf_dir):
+    """Rows, 'Open' rows and 'Need to File' rows of the log."""
+    return RP.ticket_counts(dispatch_flow(spark, sf_dir).log)
+
+
+@register("ticket_status_breakdown", _dsql(
+    "SELECT ticket_status, count(*) AS rows FROM log GROUP BY ticket_status"))
+def ticket_status_breakdown(spark, sf_dir):
+    """Rows per ticket status."""
+    return RP.ticket_status_breakdown(dispatch_flow(spark, sf_dir).log)
+
+
+@register("open_ticket_details", _dsql("""
+SELECT turbine_id, details,
+  CASE WHEN length(details) > 150 THEN substring(details, 1, 150) || '...' ELSE details END AS preview,
+  length(details) > 150 AS has_more
+FROM (SELECT turbine_id, coalesce(nullif(turbine_details_and_status, ''), 'No details available') AS details
+      FROM log WHERE ticket_status = 'Open')"""))
+def open_ticket_details(spark, sf_dir):
+    """Open rows: details with placeholder, 150-character preview."""
+    return RP.open_ticket_details(dispatch_flow(spark, sf_dir).log)
+
+
+@register("latest_turbine_status", _dsql(
+    f"SELECT * EXCLUDE (report) REPLACE ({O.r6(*GOLD_DOUBLES)}) FROM reports"))
+def latest_turbine_status(spark, sf_dir):
+    """Latest gold window of every turbine."""
+    return present(D.latest_status(layers(spark, sf_dir).gold), GOLD_DOUBLES)
+
+
+@register("health_reports", _dsql("SELECT turbine_id, report FROM reports"))
+def health_reports(spark, sf_dir):
+    """Fixed-layout health report per turbine from its latest window."""
+    return D.health_report(D.latest_status(layers(spark, sf_dir).gold)).select("turbine_id", "report")
+
+
+# --- reporting over the sensor and silver tables -----------------------------------
+
+@register("fault_distribution", O.with_layers("raw", """
+SELECT fault_code, alert_level, count(*) AS fault_count FROM raw
+WHERE fault_code IS NOT NULL GROUP BY fault_code, alert_level
+ORDER BY fault_count DESC, fault_code, alert_level"""))
+def fault_distribution(spark, sf_dir):
+    """Readings per fault code and level."""
+    return RP.fault_distribution(fixtures.raw_readings(spark, sf_dir))
+
+
+@register("turbines_needing_maintenance", O.with_layers("raw", """
+SELECT DISTINCT turbine_id, fault_code, alert_level FROM raw
+WHERE maintenance_needed = true AND alert_level IN ('WARNING', 'CRITICAL')
+ORDER BY alert_level DESC, turbine_id"""))
+def turbines_needing_maintenance(spark, sf_dir):
+    """Distinct turbine/code/level at WARNING or CRITICAL."""
+    return RP.turbines_needing_maintenance(fixtures.raw_readings(spark, sf_dir))
+
+
+@register("data_freshness", O.with_layers("raw", """
+SELECT max("timestamp") AS latest_sensor_reading, max(ingestion_timestamp) AS latest_ingestion,
+       count(*) AS total_records FROM raw"""))
+def data_freshness(spark, sf_dir):
+    """Latest event and ingestion time, record count."""
+    return present(RP.data_freshness(fixtures.raw_readings(spark, sf_dir)))
+
+
+@register("batch_stats", O.with_layers("raw", """
+SELECT batch_id, count(*) AS records, min("timestamp") AS batch_start, max("timestamp") AS batch_end
+FROM raw GROUP BY batch_id ORDER BY batch_start DESC, batch_id DESC LIMIT 10"""))
+def batch_stats(spark, sf_dir):
+    """Latest 10 ingest batches with record counts and event-time span (A16, top-k)."""
+    return present(RP.batch_stats(fixtures.raw_readings(spark, sf_dir)))
+
+
+@register("batch_summary", O.with_layers("raw", """
+SELECT batch_id, min(ingestion_timestamp) AS batch_time, count(*) AS record_count,
+       count(CASE WHEN fault_code IS NOT NULL THEN 1 END) AS fault_count FROM raw GROUP BY batch_id"""))
+def batch_summary(spark, sf_dir):
+    """Records and faults per batch in one pass."""
+    return present(RP.batch_summary(fixtures.raw_readings(spark, sf_dir)))
+
+
+@register("cumulative_fault_rate", O.with_layers("raw", """
+SELECT *, round(CASE WHEN total_records > 0 THEN total_faults / total_records * 100 END, 6)
+          AS fault_rate_pct
+FROM (
+  SELECT *, CAST(sum(record_count) OVER w AS BIGINT) AS total_records,
+            CAST(sum(fault_count) OVER w AS BIGINT) AS total_faults
+  FROM (SELECT batch_id, min(ingestion_timestamp) AS batch_time, count(*) AS record_count,
+               count(CASE WHEN fault_code IS NOT NULL THEN 1 END) AS fault_count FROM raw GROUP BY batch_id)
+  WINDOW w AS (ORDER BY batch_time, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)"""))
+def cumulative_fault_rate(spark, sf_dir):
+    """Running record/fault totals and fault rate over batches."""
+    return present(RP.cumulative_fault_rate(fixtures.raw_readings(spark, sf_dir)), ("fault_rate_pct",))
+
+
+@register("silver_kpis", O.with_layers("silver", """
+SELECT count(*) AS processed_records, round(coalesce(avg(power_output_kw), 0.0e0), 6) AS avg_power,
+       count(CASE WHEN alert_level = 'CRITICAL' THEN 1 END) AS high_alerts FROM silver"""))
+def silver_kpis(spark, sf_dir):
+    """Processed rows, average power, CRITICAL rows."""
+    return present(RP.silver_kpis(layers(spark, sf_dir).silver), ("avg_power",))
+
+
+@register("alert_level_distribution", O.with_layers("silver", """
+SELECT alert_level, count(*) AS readings FROM silver GROUP BY alert_level"""))
+def alert_level_distribution(spark, sf_dir):
+    """Readings per alert level."""
+    return RP.level_distribution(layers(spark, sf_dir).silver)
+
+
+@register("recent_readings", O.with_layers("silver", """
+SELECT event_timestamp AS "timestamp", turbine_id, power_output_kw AS power_output,
+       wind_speed_ms AS wind_speed, nacelle_temp_c AS temperature, alert_level, ingestion_timestamp
+FROM silver
+WHERE event_timestamp >= (SELECT max(event_timestamp) FROM silver) - INTERVAL 1 HOUR
+ORDER BY "timestamp" DESC, ingestion_timestamp DESC, turbine_id LIMIT 1000"""))
+def recent_readings(spark, sf_dir):
+    """Last hour of readings before the newest one, newest first, cap 1000 (P10, O2)."""
+    return present(RP.recent_readings(layers(spark, sf_dir).silver))
+
+
+@register("latest_readings", O.with_layers("raw", """
+SELECT * FROM raw ORDER BY "timestamp" DESC, ingestion_timestamp DESC, turbine_id LIMIT 100"""))
+def latest_readings(spark, sf_dir):
+    """The 100 newest raw readings (O2, top-k)."""
+    return present(RP.latest_readings(fixtures.raw_readings(spark, sf_dir)))
+
+
+_DERIVED_CODE = """CASE WHEN gearbox_temp_c > 80 THEN 'GEARBOX_OVERHEAT'
+  WHEN generator_temp_c > 75 THEN 'GENERATOR_OVERHEAT' WHEN vibration_ms2 > 2.0e0 THEN 'HIGH_VIBRATION'
+  WHEN oil_pressure_bar < 35 THEN 'LOW_OIL_PRESSURE' WHEN tower_lean_deg > 1.5e0 THEN 'TOWER_LEAN'
+  WHEN rotor_rpm > 0 AND power_output_kw < 100 THEN 'LOW_POWER_OUTPUT' END"""
+
+
+@register("label_consistency", O.with_layers("silver", f"""
+SELECT fault_code AS stored_fault_code, {_DERIVED_CODE} AS derived_fault_code, count(*) AS readings
+FROM silver GROUP BY ALL"""))
+def label_consistency(spark, sf_dir):
+    """Stored fault code vs the code re-derived from cleaned values."""
+    return RP.label_consistency(layers(spark, sf_dir).silver)
+
+
+_EXPECTED_DOUBLES = ("expected_rpm", "expected_power_kw", "expected_pitch_deg", "power_residual_kw")
+
+
+@register("expected_output", O.with_layers("silver", f"""
+SELECT turbine_id, ingestion_timestamp, wind_speed_ms, rotor_rpm, power_output_kw,
+  {O.r6(*_EXPECTED_DOUBLES)}
+FROM (SELECT *, CASE WHEN expected_rpm = 0 THEN 0.0e0
+                     ELSE least(2000.0e0, expected_rpm * expected_rpm * 0.8e0) END AS expected_power_kw
+      FROM (SELECT *, CASE WHEN wind_speed_ms < 3.5e0 OR wind_speed_ms > 20 THEN 0.0e0
+                           ELSE 5 + (wind_speed_ms - 3.5e0) * 2.5e0 END AS expected_rpm,
+                      CASE WHEN wind_speed_ms > 15 THEN 15 + (wind_speed_ms - 15) * 2
+                           ELSE 0.0e0 END AS expected_pitch_deg
+            FROM silver))
+  , LATERAL (SELECT power_output_kw - expected_power_kw AS power_residual_kw)"""))
+def expected_output(spark, sf_dir):
+    """Noise-free rpm/power/pitch from wind and the power residual (R2)."""
+    out = RP.expected_output(layers(spark, sf_dir).silver)
+    return present(out.select("turbine_id", "ingestion_timestamp", "wind_speed_ms", "rotor_rpm",
+                              "power_output_kw", *_EXPECTED_DOUBLES), _EXPECTED_DOUBLES)
+
+
+@register("power_curve_levels", O.with_layers("silver", """
+SELECT turbine_id, ingestion_timestamp, wind_speed_ms, power_output_kw, nacelle_temp_c,
+  round(CASE WHEN wind_speed_ms < 3 OR wind_speed_ms >= 25 THEN 0.0e0
+             ELSE least(2000.0e0, (wind_speed_ms - 3) * 100) END, 6) AS curve_power_kw,
+  CASE WHEN power_output_kw > 1800 OR nacelle_temp_c > 30 THEN 'HIGH'
+       WHEN power_output_kw > 1500 OR nacelle_temp_c > 25 THEN 'MEDIUM' ELSE 'LOW' END
+    AS power_temperature_level
+FROM silver"""))
+def power_curve_levels(spark, sf_dir):
+    """Simplified power curve and HIGH/MEDIUM/LOW level per reading."""
+    out = RP.power_curve_levels(layers(spark, sf_dir).silver)
+    return present(out.select("turbine_id", "ingestion_timestamp", "wind_speed_ms", "power_output_kw",
+                              "nacelle_temp_c", "curve_power_kw", "power_temperature_level"),
+                   ("curve_power_kw",))
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -315,3 +315,122 @@ def with_layers(layer: str, body: str, extra: str = "") -> str:
 
 def r6(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+# --- dispatch flow: decisions at T1, filing at T2, second decisions at T3 ------
+
+T1_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
+T2_SQL = "TIMESTAMP '2024-02-01 00:05:00'"
+
+
+def fmt(col: str, dp: int) -> str:
+    scale = 10 ** dp
+    return f"CAST(floor({col} * {scale} + 0.5) / {scale} AS VARCHAR)"
+
+
+REPORT_CTE = f"""
+latest_status AS (
+  SELECT * FROM gold
+  QUALIFY row_number() OVER (PARTITION BY turbine_id ORDER BY window_start DESC, window_end DESC,
+                             dispatch_priority_score DESC, fault_category, alert_level) = 1
+),
+reports AS (
+  SELECT *, concat_ws(chr(10),
+    'Turbine Health Report - ' || turbine_id,
+    'Time: ' || strftime(window_end, '%Y-%m-%d %H:%M') || ' UTC',
+    fault_category || ' - Priority ' || CAST(max_priority AS VARCHAR) || '/5 | Dispatch Score: '
+      || {fmt('dispatch_priority_score', 1)} || '/100 | SLA: ' || sla_compliance,
+    'Health Score: ' || {fmt('avg_health_score', 1)} || '/100 (min: ' || CAST(min_health_score AS VARCHAR)
+      || ') | Degradation Risk: ' || {fmt('degradation_risk_score', 1)} || '/100',
+    'Uptime: ' || {fmt('uptime_percentage', 1)} || '% | Stopped: ' || CAST(stopped_count AS VARCHAR)
+      || '/' || CAST(total_readings AS VARCHAR) || ' readings',
+    'Power Output: ' || {fmt('avg_power_output_kw', 1)} || ' kW avg (' || {fmt('total_power_output_kw', 1)}
+      || ' kW total) | Efficiency: ' || {fmt('avg_power_efficiency', 1)},
+    'Wind Speed: ' || {fmt('avg_wind_speed', 1)} || ' m/s | Rotor RPM: ' || {fmt('avg_rotor_rpm', 2)},
+    'Temp Differential: ' || {fmt('avg_temp_differential', 1)} || ' C | Gearbox Temp SD: '
+      || coalesce({fmt('gearbox_temp_variance', 1)}, 'n/a'),
+    'Vibration: ' || {fmt('max_vibration', 2)} || ' max (SD: '
+      || coalesce({fmt('vibration_variance', 2)}, 'n/a') || ')',
+    'Oil Pressure: ' || {fmt('min_oil_pressure', 1)} || ' bar (minimum)',
+    'Maintenance Alerts: ' || CAST(maintenance_alerts_count AS VARCHAR) || ' over '
+      || {fmt('window_duration_minutes', 1)} || ' minutes',
+    'Action Required: ' || recommended_action || ' - Maintenance window: '
+      || CAST(estimated_maintenance_window_days AS VARCHAR) || ' days',
+    'Location: ' || {fmt('turbine_lat', 2)} || ', ' || {fmt('turbine_lon', 2)},
+    'Issue: ' || CASE fault_category
+      WHEN 'THERMAL' THEN 'Thermal fault: inspect gearbox and cooling systems.'
+      WHEN 'MECHANICAL' THEN 'Mechanical fault: inspect bearings and drive train for vibration sources.'
+      WHEN 'HYDRAULIC' THEN 'Hydraulic fault: check oil and brake pressure systems.'
+      WHEN 'ELECTRICAL' THEN 'Electrical fault: check generator output and converter.'
+      WHEN 'STRUCTURAL' THEN 'Structural fault: inspect tower and foundation.'
+      ELSE 'No fault reported.' END) AS report
+  FROM latest_status
+)"""
+
+CANDIDATES_CTE = """
+cands AS (
+  SELECT * FROM queue WHERE maintenance_alerts_count >= 5
+  QUALIFY row_number() OVER (PARTITION BY turbine_id ORDER BY alert_generated_timestamp DESC,
+    dispatch_priority_score DESC, window_start DESC, fault_category ASC,
+    maintenance_alerts_count DESC, degradation_risk_score DESC) = 1
+)"""
+
+
+def decisions_cte(name: str, log: str | None) -> str:
+    excl = "" if log is None else f"""
+    AND NOT EXISTS (
+      SELECT 1 FROM {log} t1
+      JOIN (SELECT turbine_id, max(updated_at) AS m FROM {log} GROUP BY turbine_id) t2
+        ON t1.turbine_id = t2.turbine_id AND t1.updated_at = t2.m
+      WHERE t1.ticket_status = 'Open' AND t1.turbine_id = c.turbine_id)"""
+    return f"""
+{name} AS (
+  SELECT turbine_id, dispatch_priority_score, recommended_action, maintenance_alerts_count,
+    fault_category, window_start,
+    CASE WHEN maintenance_alerts_count > 5 THEN 'Need to File' END AS ticket_status,
+    CASE WHEN maintenance_alerts_count > 5 THEN 'flagged for ticket filing'
+         ELSE 'no ticket filed' END AS last_agent_action_taken,
+    (CASE WHEN maintenance_alerts_count > 5 THEN 'TICKET NEEDED' ELSE 'NO TICKET' END) || ': '
+      || CAST(maintenance_alerts_count AS VARCHAR) || ' maintenance alerts, dispatch score '
+      || {fmt('dispatch_priority_score', 2)} || ', ' || recommended_action AS agent_summary
+  FROM cands c
+  WHERE turbine_id IS NOT NULL{excl}
+)"""
+
+
+def log_rows_cte(name: str, decisions: str, at: str) -> str:
+    return f"""
+{name} AS (
+  SELECT d.turbine_id, r.report AS turbine_details_and_status,
+    CAST(d.dispatch_priority_score AS DECIMAL(5,2)) AS dispatch_priority_score,
+    d.recommended_action, CAST(d.maintenance_alerts_count AS INTEGER) AS maintenance_alerts_count,
+    d.agent_summary, d.last_agent_action_taken, CAST(NULL AS VARCHAR) AS Ticket_ID,
+    false AS ticket_filed, d.ticket_status, {at} AS created_at, {at} AS updated_at
+  FROM {decisions} d LEFT JOIN reports r ON d.turbine_id = r.turbine_id
+)"""
+
+
+FILING_CTE = f"""
+todo AS (
+  SELECT * FROM m1 WHERE ticket_status = 'Need to File'
+),
+tickets AS (
+  SELECT 'TKT-' || turbine_id || '-' || strftime({T2_SQL}, '%Y%m%d%H%M%S') AS Ticket_ID, turbine_id,
+    'filed' AS ticket_status_output, turbine_details_and_status AS Ticket_Submission,
+    'Open' AS Ticket_Status, {T2_SQL} AS Last_Update, {T2_SQL} AS created_at, {T2_SQL} AS updated_at
+  FROM todo
+),
+m2 AS (
+  SELECT turbine_id, turbine_details_and_status, dispatch_priority_score, recommended_action,
+    maintenance_alerts_count, agent_summary, 'filed a ticket' AS last_agent_action_taken,
+    'TKT-' || turbine_id || '-' || strftime({T2_SQL}, '%Y%m%d%H%M%S') AS Ticket_ID,
+    true AS ticket_filed, 'Open' AS ticket_status, {T2_SQL} AS created_at, {T2_SQL} AS updated_at
+  FROM todo
+),
+log AS (
+  SELECT * FROM m1 UNION ALL SELECT * FROM m2
+)"""
+
+DISPATCH_CTES = [REPORT_CTE, CANDIDATES_CTE, decisions_cte("d1", None),
+                 log_rows_cte("m1", "d1", T1_SQL), FILING_CTE, decisions_cte("d2", "log")]
+LAYERS["dispatch"] = LAYERS["queue"] + DISPATCH_CTES
