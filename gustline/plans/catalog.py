@@ -20,6 +20,7 @@ from gustline.operators import dispatch as D
 from gustline.operators import gold as G
 from gustline.operators import reporting as RP
 from gustline.operators import silver as S
+from gustline.operators import views as V
 from gustline.plans import medallion as M
 from gustline.plans import oracle as O
 from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
@@ -180,8 +181,9 @@ class DispatchFlow:
 
 
 def dispatch_flow(spark: SparkSession, sf_dir: str) -> DispatchFlow:
-    lay = layers(spark, sf_dir)
-    queue, gold = lay.queue(ordered=False), lay.gold
+    # Gold feeds four branches of this plan: stage it once.
+    gold = M.stage(layers(spark, sf_dir).gold, "gold_alerts")
+    queue = V.dispatch_queue(gold, ordered=False)
     t1, t2 = M.as_of(T1), M.as_of(T2)
     d1 = D.dispatch_decisions(queue, D.empty_log(spark))
     m1 = D.monitoring_rows(d1, gold, t1)

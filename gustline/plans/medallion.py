@@ -8,6 +8,7 @@ lost executor cost only the stage being recomputed.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,8 +59,14 @@ def from_tables(spark: SparkSession, sf_dir: str, processing_time: Column | None
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Materialize ``df`` as parquet in the shared checkpoint folder and
-    return a DataFrame reading it (lineage cut, survives executor loss)."""
+    return a DataFrame reading it.
+
+    The plan is computed once (a reliable ``checkpoint()`` without a
+    persist computes it twice), later readers get file statistics and
+    pushdown, and a lost executor only costs re-reading files.  Each call
+    writes a fresh directory, so concurrent runs never clobber each other.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, "staged", name)
-    df.write.mode("overwrite").parquet(path)
+    path = shared_path(spark, "staged", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     return spark.read.parquet(path)

@@ -15,6 +15,10 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Fall back from whole-stage codegen when a generated method would exceed
+    # the JVM's JIT size limit (8000 bytes of bytecode): such a method runs
+    # interpreted and is several times slower than per-operator code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -24,6 +28,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "8g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in {**SQL_DEFAULTS, **(extra or {})}.items():
@@ -35,8 +40,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every query of the library assumes (UTC wall clock)."""
+    """Settings every query of the library assumes (UTC wall clock, JIT-sized
+    generated methods)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", SQL_DEFAULTS["spark.sql.codegen.hugeMethodLimit"])
     return spark
 
 
