@@ -8,6 +8,7 @@ clock), the same on the SQL side.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from gustline.plans import oracle as O
 from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
 from gustline.session import prepare
 from gustline.sources import fixtures
+from gustline.streaming import medallion as SM
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -429,6 +431,35 @@ def power_curve_levels(spark, sf_dir):
                               "nacelle_temp_c", "curve_power_kw", "power_temperature_level"),
                    ("curve_power_kw",))
 
+# --- streaming chain -------------------------------------------------------------
+_STREAM_RUNS: dict[tuple[int, str], SM.StreamLayout] = {}
+
+
+def streamed_tables(spark: SparkSession, sf_dir: str) -> SM.StreamLayout:
+    """Run raw -> silver -> gold as streaming queries over the fixture replayed
+    as three time-ordered file drops (a run after each); once per session and
+    ``sf_dir``."""
+    key = (id(spark), sf_dir)
+    if key not in _STREAM_RUNS:
+        raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
+        layout = SM.StreamLayout.under_shared(spark, f"medallion-{uuid.uuid4().hex}")
+        SM.replay(spark, raw, layout, drops=3, processing_time=M.as_of())
+        _STREAM_RUNS[key] = layout
+    return _STREAM_RUNS[key]
+
+
+@register("stream_silver", O.with_layers("silver", "SELECT * FROM silver"))
+def stream_silver(spark, sf_dir):
+    """Silver table written by the streaming query."""
+    return present(spark.read.parquet(streamed_tables(spark, sf_dir).silver))
+
+
+@register("stream_gold", O.with_layers("gold", O.STREAM_GOLD_SQL_BODY.format(doubles=O.r6(*GOLD_DOUBLES))))
+def stream_gold(spark, sf_dir):
+    """Gold windows the streaming aggregate closed and appended."""
+    return present(spark.read.parquet(streamed_tables(spark, sf_dir).gold), GOLD_DOUBLES)
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

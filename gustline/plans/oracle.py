@@ -434,3 +434,11 @@ log AS (
 DISPATCH_CTES = [REPORT_CTE, CANDIDATES_CTE, decisions_cte("d1", None),
                  log_rows_cte("m1", "d1", T1_SQL), FILING_CTE, decisions_cte("d2", "log")]
 LAYERS["dispatch"] = LAYERS["queue"] + DISPATCH_CTES
+
+# Streamed gold holds the windows the 5-minute watermark has closed: append
+# mode emits a window once its end <= max(event time) - 5 minutes.
+STREAM_GOLD_SQL_BODY = """
+SELECT * EXCLUDE (bucket_start, bucket_end, avg_vibration, max_gearbox_temp, max_generator_temp,
+                  avg_oil_pressure) REPLACE ({doubles})
+FROM gold_ext
+WHERE bucket_end <= (SELECT max(ingestion_timestamp) FROM silver) - INTERVAL 5 MINUTES"""
