@@ -62,12 +62,17 @@ def violation_counts(df: DataFrame, rules=SILVER_EXPECTATIONS) -> DataFrame:
     )
 
 
-def observe_violations(df: DataFrame, name: str = "quality", rules=SILVER_EXPECTATIONS) -> DataFrame:
+def violation_metrics(rules=SILVER_EXPECTATIONS) -> list[Column]:
+    """Total rows and per-rule failure counts, as aggregate expressions."""
+    return [F.count(F.lit(1)).alias("total_records")] + [
+        F.count_if(~r.passes()).alias(r.name) for r in rules]
+
+
+def observe_violations(df: DataFrame, observation="quality", rules=SILVER_EXPECTATIONS) -> DataFrame:
     """Attach per-rule failure counters as an observation (batch and stream).
 
-    Read them after an action from ``Observation.get`` (batch) or from the
+    ``observation`` is a name or a ``pyspark.sql.Observation``.  Read the
+    counters after an action from ``Observation.get`` (batch) or from the
     query progress ``observedMetrics`` (stream).
     """
-    metrics = [F.count(F.lit(1)).alias("total_records")]
-    metrics += [F.count_if(~r.passes()).alias(r.name) for r in rules]
-    return df.observe(name, *metrics)
+    return df.observe(observation, *violation_metrics(rules))
