@@ -266,6 +266,12 @@ def fault_rate_pct(faults, total) -> Column:
     return F.when(_c(total) > 0, _c(faults) / _c(total) * 100)
 
 
+def to_time(col, fmt: str | None = None) -> Column:
+    """String (or any) value to TIMESTAMP (F36); NULL when it does not parse."""
+    c = _c(col)
+    return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+
+
 def turbine_label(n) -> Column:
     return F.format_string("TURBINE_%05d", _c(n))
 

@@ -108,6 +108,11 @@ def latest_status(gold: DataFrame) -> DataFrame:
     return latest_per_key(gold, ["turbine_id"], gold_latest())
 
 
+def turbine_status(gold: DataFrame, turbine_id: str) -> DataFrame:
+    """Latest gold window of one turbine (P13 key lookup, W2)."""
+    return latest_status(gold.filter(F.col("turbine_id") == turbine_id))
+
+
 def fmt_num(col, dp: int) -> Column:
     """Decimal text of ``col`` rounded half-up to ``dp`` places."""
     c = F.col(col) if isinstance(col, str) else col

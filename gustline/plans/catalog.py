@@ -460,6 +460,37 @@ def stream_gold(spark, sf_dir):
     return present(spark.read.parquet(streamed_tables(spark, sf_dir).gold), GOLD_DOUBLES)
 
 
+_STREAM_SLA_SQL = O.with_layers("gold", f"""
+SELECT * REPLACE ({O.r6(*SLA_DOUBLES, 'sla_compliance_rate', 'breach_rate')}) FROM (
+  SELECT *, CASE WHEN sla_compliance_rate >= 98 THEN 'EXCELLENT' WHEN sla_compliance_rate >= 95 THEN 'GOOD'
+                 WHEN sla_compliance_rate >= 90 THEN 'ACCEPTABLE' ELSE 'POOR' END AS performance_tier
+  FROM (
+    SELECT *, (compliant_periods / total_periods) * 100 AS sla_compliance_rate,
+              (breach_periods / total_periods) * 100 AS breach_rate
+    FROM (
+      SELECT turbine_id, turbine_lat, turbine_lon,
+        avg(uptime_percentage) AS avg_uptime_percentage, min(uptime_percentage) AS min_uptime_percentage,
+        count(CASE WHEN sla_compliance = 'COMPLIANT' THEN 1 END) AS compliant_periods,
+        count(CASE WHEN sla_compliance = 'BREACH' THEN 1 END) AS breach_periods,
+        count(*) AS total_periods,
+        avg(avg_power_output_kw) AS avg_power_generation_kw,
+        sum(total_power_output_kw) AS total_power_generated_kw,
+        avg(avg_power_efficiency) AS avg_efficiency_ratio,
+        avg(avg_health_score) AS overall_health_score,
+        avg(degradation_risk_score) AS avg_degradation_risk,
+        max(alert_generated_timestamp) AS last_updated
+      FROM gold_ext
+      WHERE bucket_end <= (SELECT max(ingestion_timestamp) FROM silver) - INTERVAL 5 MINUTES
+      GROUP BY turbine_id, turbine_lat, turbine_lon)))""")
+
+
+@register("stream_sla_performance", _STREAM_SLA_SQL)
+def stream_sla_performance(spark, sf_dir):
+    """SLA view recomputed in batch over the streamed gold table."""
+    gold = spark.read.parquet(streamed_tables(spark, sf_dir).gold)
+    return present(V.sla_performance(gold), SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
