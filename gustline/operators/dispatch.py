@@ -113,11 +113,20 @@ def turbine_status(gold: DataFrame, turbine_id: str) -> DataFrame:
     return latest_status(gold.filter(F.col("turbine_id") == turbine_id))
 
 
+def snap(col, dp: int) -> Column:
+    """``col`` as DECIMAL rounded half-up to ``dp`` places.
+
+    The double is first rounded to 6 places, which removes summation-order
+    noise (an average of 1.0 and 1.1 is 1.05 whether the sum came out a hair
+    above or below), then rounded exactly in decimal arithmetic.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c, 6).cast("decimal(38,6)").cast(f"decimal(38,{dp})")
+
+
 def fmt_num(col, dp: int) -> Column:
     """Decimal text of ``col`` rounded half-up to ``dp`` places."""
-    c = F.col(col) if isinstance(col, str) else col
-    scale = 10 ** dp
-    return (F.floor(c * scale + 0.5) / scale).cast("string")
+    return snap(col, dp).cast("string")
 
 
 _ISSUE = {
@@ -183,7 +192,7 @@ def monitoring_rows(decisions: DataFrame, gold: DataFrame, at: Column) -> DataFr
         _row_id(F.col("turbine_id"), at, F.col("last_agent_action_taken")).alias("id"),
         "turbine_id",
         F.col("report").alias("turbine_details_and_status"),
-        F.col("dispatch_priority_score").cast("decimal(5,2)").alias("dispatch_priority_score"),
+        snap("dispatch_priority_score", 2).cast("decimal(5,2)").alias("dispatch_priority_score"),
         "recommended_action",
         F.col("maintenance_alerts_count").cast("int").alias("maintenance_alerts_count"),
         "agent_summary", "last_agent_action_taken",

@@ -323,9 +323,12 @@ T1_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 T2_SQL = "TIMESTAMP '2024-02-01 00:05:00'"
 
 
+def snap(col: str, dp: int) -> str:
+    return f"CAST(CAST(round({col}, 6) AS DECIMAL(38,6)) AS DECIMAL(38,{dp}))"
+
+
 def fmt(col: str, dp: int) -> str:
-    scale = 10 ** dp
-    return f"CAST(floor({col} * {scale} + 0.5) / {scale} AS VARCHAR)"
+    return f"CAST({snap(col, dp)} AS VARCHAR)"
 
 
 REPORT_CTE = f"""
@@ -402,7 +405,7 @@ def log_rows_cte(name: str, decisions: str, at: str) -> str:
     return f"""
 {name} AS (
   SELECT d.turbine_id, r.report AS turbine_details_and_status,
-    CAST(d.dispatch_priority_score AS DECIMAL(5,2)) AS dispatch_priority_score,
+    CAST({snap('d.dispatch_priority_score', 2)} AS DECIMAL(5,2)) AS dispatch_priority_score,
     d.recommended_action, CAST(d.maintenance_alerts_count AS INTEGER) AS maintenance_alerts_count,
     d.agent_summary, d.last_agent_action_taken, CAST(NULL AS VARCHAR) AS Ticket_ID,
     false AS ticket_filed, d.ticket_status, {at} AS created_at, {at} AS updated_at
