@@ -1,7 +1,7 @@
 """Streaming chain: late data, restart without duplicates, progress metrics."""
 
 import datetime as dt
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -23,8 +23,8 @@ def write(spark, rows, path):
 
 
 def test_late_rows_dropped_and_restart_is_idempotent(spark):
-    root = tempfile.mkdtemp(prefix="gustline-stream-")
-    layout = SM.StreamLayout(root)
+    layout = SM.StreamLayout.under_shared(spark, f"test-{uuid.uuid4().hex}")
+    root = layout.root
     raw = f"{root}/raw"
     write(spark, [reading("T1", T0 + dt.timedelta(seconds=15 * i)) for i in range(8)], raw)
     q1, q2 = SM.run_chain(spark, raw, layout, M.as_of())
@@ -49,8 +49,8 @@ def test_late_rows_dropped_and_restart_is_idempotent(spark):
 
 
 def test_progress_table_has_quality_counters(spark):
-    root = tempfile.mkdtemp(prefix="gustline-stream-")
-    layout = SM.StreamLayout(root)
+    layout = SM.StreamLayout.under_shared(spark, f"test-{uuid.uuid4().hex}")
+    root = layout.root
     raw = f"{root}/raw"
     bad = reading(None, T0)
     write(spark, [reading("T1", T0), bad, reading("T1", T0 + dt.timedelta(seconds=15))], raw)
