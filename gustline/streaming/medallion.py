@@ -80,6 +80,10 @@ class StreamLayout:
 
     root: str
 
+    @property
+    def bronze(self) -> str:
+        return f"{self.root}/bronze_sensor_data"
+
     @property
     def silver(self) -> str:
         return f"{self.root}/silver_sensor_data_cleaned"
@@ -96,6 +100,22 @@ class StreamLayout:
         return cls(shared_path(spark, "streams", name))
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB (off-heap, spills to local disk and is
+    checkpointed) instead of JVM maps; set before a query's first start."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
+def start_bronze(spark: SparkSession, raw_dir: str, layout: StreamLayout,
+                 trigger: dict = AVAILABLE_NOW, max_files: int | None = None) -> StreamingQuery:
+    """Raw files -> bronze table: stateless copy with the event time renamed."""
+    bronze = S.to_bronze(read_raw_stream(spark, raw_dir, max_files))
+    return _start(bronze, layout.bronze, layout.checkpoint("bronze"), "bronze_sensor_data", trigger)
+
+
 def start_silver(spark: SparkSession, raw_dir: str, layout: StreamLayout,
                  processing_time: Column | None = None, trigger: dict = AVAILABLE_NOW,
                  max_files: int | None = None, cfg: C.PipelineConfig = C.DEFAULT) -> StreamingQuery:

@@ -59,3 +59,20 @@ def test_progress_table_has_quality_counters(spark):
     assert prog.observed["silver_quality.valid_turbine_id"] == 1
     assert prog.observed["silver_quality.total_records"] == 3
     assert spark.read.parquet(layout.silver).count() == 2
+
+
+def test_bronze_table_and_processing_time_trigger(spark):
+    layout = SM.StreamLayout.under_shared(spark, f"test-{uuid.uuid4().hex}")
+    raw = f"{layout.root}/raw"
+    write(spark, [reading("T1", T0), reading("T1", T0)], raw)
+    q = SM.start_bronze(spark, raw, layout)
+    q.awaitTermination()
+    bronze = spark.read.parquet(layout.bronze)
+    assert bronze.count() == 2 and "event_timestamp" in bronze.columns and "timestamp" not in bronze.columns
+    # A continuously triggered silver query over the same files.
+    q2 = SM.start_silver(spark, raw, layout, M.as_of(), trigger={"processingTime": "1 second"})
+    try:
+        q2.processAllAvailable()
+        assert spark.read.parquet(layout.silver).count() == 1  # duplicate delivery removed
+    finally:
+        q2.stop()
