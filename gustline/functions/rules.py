@@ -9,8 +9,9 @@ to the next branch.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +21,30 @@ from gustline.config import Thresholds
 _T = Thresholds()
 
 
+def reusable(fn):
+    """Build a rule's Column once per Spark application and argument set.
+
+    A Column is an immutable, unresolved expression, so the same object can
+    be used in any number of DataFrames; caching it saves the hundreds of
+    driver-to-JVM calls it takes to compose a large CASE.  Calls with Column
+    arguments (unhashable) are not cached.
+    """
+    cache: dict = {}
+
+    @wraps(fn)
+    def wrapper(*args, **kwargs):
+        sc = SparkContext._active_spark_context
+        try:
+            key = (sc.applicationId if sc else None, args, tuple(sorted(kwargs.items())))
+            hash(key)
+        except TypeError:
+            return fn(*args, **kwargs)
+        if key not in cache:
+            cache[key] = fn(*args, **kwargs)
+        return cache[key]
+    return wrapper
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -40,21 +65,25 @@ def _lookup(key: Column, mapping: dict, default) -> Column:
 
 # --- silver enrichment -----------------------------------------------------
 
+@reusable
 def wrap_direction(deg="wind_direction_deg") -> Column:
     """Wrap an angle into [0, 360) with a single turn (F2)."""
     d = _c(deg)
     return F.when(d < 0, d + 360).when(d >= 360, d - 360).otherwise(d)
 
 
+@reusable
 def temperature_differential(gearbox="gearbox_temp_c", nacelle="nacelle_temp_c") -> Column:
     return _c(gearbox) - _c(nacelle)
 
 
+@reusable
 def efficiency_ratio(power="power_output_kw", rpm="rotor_rpm") -> Column:
     """Power per rotor rpm; 0.0 when the rotor is not turning."""
     return F.when(_c(rpm) > 0, _c(power) / _c(rpm)).otherwise(F.lit(0.0))
 
 
+@reusable
 def operating_status(rpm="rotor_rpm", wind="wind_speed_ms", t: Thresholds = _T) -> Column:
     r, w = _c(rpm), _c(wind)
     return _case([(r <= 0, F.lit(C.STATUS_STOPPED)),
@@ -63,6 +92,7 @@ def operating_status(rpm="rotor_rpm", wind="wind_speed_ms", t: Thresholds = _T)
                  F.lit(C.STATUS_GENERATING))
 
 
+@reusable
 def fault_category(code="fault_code") -> Column:
     """Category by pattern on the fault code; NULL code is NORMAL."""
     c = _c(code)
@@ -70,12 +100,14 @@ def fault_category(code="fault_code") -> Column:
                   F.lit(C.CAT_NORMAL))
 
 
+@reusable
 def maintenance_priority(level="alert_level") -> Column:
     lv = _c(level)
     return _case([(lv == C.LEVEL_CRITICAL, F.lit(5)), (lv == C.LEVEL_WARNING, F.lit(3)),
                   (lv == C.LEVEL_INFO, F.lit(1))], F.lit(0))
 
 
+@reusable
 def health_score(code="fault_code", priority="maintenance_priority",
                  vibration="vibration_ms2", temp_diff="temperature_differential_c",
                  ratio="power_efficiency_ratio", t: Thresholds = _T) -> Column:
@@ -90,11 +122,13 @@ def health_score(code="fault_code", priority="maintenance_priority",
 
 # --- gold scoring ----------------------------------------------------------
 
+@reusable
 def window_minutes(start="window_start", end="window_end") -> Column:
     """Whole-second epoch difference in minutes (F9); DOUBLE."""
     return (_c(end).cast("long") - _c(start).cast("long")) / 60
 
 
+@reusable
 def degradation_risk(avg_health="avg_health_score", gearbox_sd="gearbox_temp_variance",
                      vibration_sd="vibration_variance", avg_ratio="avg_power_efficiency",
                      t: Thresholds = _T) -> Column:
@@ -105,16 +139,19 @@ def degradation_risk(avg_health="avg_health_score", gearbox_sd="gearbox_temp_var
     return F.greatest(F.lit(0), F.least(F.lit(100), raw))
 
 
+@reusable
 def uptime_percentage(generating="generating_count", total="total_readings") -> Column:
     return (_c(generating) / _c(total)) * 100
 
 
+@reusable
 def sla_label(uptime="uptime_percentage", t: Thresholds = _T) -> Column:
     u = _c(uptime)
     return _case([(u >= t.sla_compliant_pct, F.lit(C.SLA_COMPLIANT)),
                   (u >= t.sla_warning_pct, F.lit(C.SLA_WARNING))], F.lit(C.SLA_BREACH))
 
 
+@reusable
 def dispatch_priority(max_priority="max_priority", risk="degradation_risk_score",
                       sla="sla_compliance", alerts="maintenance_alerts_count",
                       avg_health="avg_health_score", uptime="uptime_percentage",
@@ -130,6 +167,7 @@ def dispatch_priority(max_priority="max_priority", risk="degradation_risk_score"
     ], F.greatest(_c(avg_priority) * 10, _c(risk) * 0.3)).cast("double")
 
 
+@reusable
 def recommended_action(score="dispatch_priority_score", risk="degradation_risk_score") -> Column:
     s = _c(score)
     return _case([(s >= 90, F.lit(C.ACT_IMMEDIATE)), (s >= 75, F.lit(C.ACT_SCHEDULED)),
@@ -137,38 +175,45 @@ def recommended_action(score="dispatch_priority_score", risk="degradation_risk_s
                   (_c(risk) >= 50, F.lit(C.ACT_PREDICTIVE))], F.lit(C.ACT_ROUTINE))
 
 
+@reusable
 def maintenance_window_days(action="recommended_action") -> Column:
     return _lookup(_c(action), C.WINDOW_DAYS, C.WINDOW_DAYS_DEFAULT)
 
 
 # --- views -----------------------------------------------------------------
 
+@reusable
 def rate_pct(part, total) -> Column:
     return (_c(part) / _c(total)) * 100
 
 
+@reusable
 def performance_tier(rate="sla_compliance_rate") -> Column:
     r = _c(rate)
     return _case([(r >= 98, F.lit("EXCELLENT")), (r >= 95, F.lit("GOOD")),
                   (r >= 90, F.lit("ACCEPTABLE"))], F.lit("POOR"))
 
 
+@reusable
 def work_hours(category="fault_category") -> Column:
     return _lookup(_c(category), C.WORK_HOURS, C.WORK_HOURS_DEFAULT)
 
 
+@reusable
 def crew_size(action="recommended_action", category="fault_category") -> Column:
     return _case([(_c(action) == C.ACT_IMMEDIATE, F.lit(3)),
                   (_c(category) == C.CAT_STRUCTURAL, F.lit(4)),
                   (_c(category) == C.CAT_MECHANICAL, F.lit(2))], F.lit(1))
 
 
+@reusable
 def equipment(category="fault_category") -> Column:
     return _lookup(_c(category), C.EQUIPMENT, C.EQUIPMENT_DEFAULT)
 
 
 # --- fault classification of raw readings (R1) ------------------------------
 
+@reusable
 def fault_code(gearbox="gearbox_temp_c", generator="generator_temp_c",
                vibration="vibration_ms2", oil="oil_pressure_bar",
                lean="tower_lean_deg", rpm="rotor_rpm", power="power_output_kw",
@@ -194,6 +239,7 @@ LEVEL_BY_CODE = {
 }
 
 
+@reusable
 def alert_level(code="fault_code") -> Column:
     """CRITICAL / WARNING by code, INFO for any other code, NORMAL without one.
 
@@ -208,6 +254,7 @@ def alert_level(code="fault_code") -> Column:
 
 # --- noise-free turbine physics (R2, R3) ----------------------------------------
 
+@reusable
 def expected_rpm(wind="wind_speed_ms", t: Thresholds = _T) -> Column:
     """Rotor speed the wind implies: 0 outside [cut-in, cut-out]."""
     w = _c(wind)
@@ -215,24 +262,28 @@ def expected_rpm(wind="wind_speed_ms", t: Thresholds = _T) -> Column:
         .otherwise(5 + (w - t.cut_in_ms) * 2.5)
 
 
+@reusable
 def expected_power(rpm="rotor_rpm") -> Column:
     """Power the rotor speed implies, capped at 2000 kW."""
     r = _c(rpm)
     return F.when(r == 0, F.lit(0.0)).otherwise(F.least(F.lit(2000.0), r * r * 0.8))
 
 
+@reusable
 def expected_pitch(wind="wind_speed_ms") -> Column:
     """Blade pitch above 15 m/s (F29); 0 below."""
     w = _c(wind)
     return F.when(w > 15, 15 + (w - 15) * 2).otherwise(F.lit(0.0))
 
 
+@reusable
 def power_curve(wind="wind_speed_ms") -> Column:
     """Simplified power curve: cut-in 3, cut-out 25, 100 kW per m/s, cap 2000."""
     w = _c(wind)
     return F.when((w < 3) | (w >= 25), F.lit(0.0)).otherwise(F.least(F.lit(2000.0), (w - 3) * 100))
 
 
+@reusable
 def power_temperature_level(power="power_output_kw", temp="nacelle_temp_c") -> Column:
     """HIGH / MEDIUM / LOW level from power and temperature."""
     p, tc = _c(power), _c(temp)
@@ -242,36 +293,43 @@ def power_temperature_level(power="power_output_kw", temp="nacelle_temp_c") -> C
 
 # --- presentation helpers (F30-F34, F28) -------------------------------------
 
+@reusable
 def or_default(col, default: str = C.NO_DETAILS) -> Column:
     """NULL or empty string replaced by ``default``."""
     return F.coalesce(F.nullif(_c(col), F.lit("")), F.lit(default))
 
 
+@reusable
 def preview(col, n: int = 150) -> Column:
     """First ``n`` characters, with '...' when the text is longer."""
     c = _c(col)
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+@reusable
 def is_running(state="state") -> Column:
     return F.upper(_c(state)).contains("RUNNING")
 
 
+@reusable
 def short_name(user="user_name") -> Column:
     return F.substring_index(_c(user), "@", 1)
 
 
+@reusable
 def fault_rate_pct(faults, total) -> Column:
     """Percentage, NULL when there are no records."""
     return F.when(_c(total) > 0, _c(faults) / _c(total) * 100)
 
 
+@reusable
 def to_time(col, fmt: str | None = None) -> Column:
     """String (or any) value to TIMESTAMP (F36); NULL when it does not parse."""
     c = _c(col)
     return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
 
 
+@reusable
 def turbine_label(n) -> Column:
     return F.format_string("TURBINE_%05d", _c(n))
 

@@ -13,7 +13,7 @@ table.  ``oracle`` holds the same derivation in DuckDB SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustline.functions import rules as R
@@ -26,77 +26,62 @@ READINGS_PER_BATCH = 10
 NULL_ID_EVERY, EMPTY_ID_EVERY, BAD_WIND_EVERY, COPY_EVERY = 211, 223, 227, 50
 
 
-def _mod_mul(x: Column, p: int) -> Column:
-    # (x * p) % 1000 without overflow for any 64-bit x >= 0.
-    return (x % 1000) * (p % 1000)
-
-
-def _h(eid: Column, k: Column, uid: Column, p: int, q: int, r: int) -> Column:
-    return (_mod_mul(eid, p) + _mod_mul(k, q) + _mod_mul(uid, r)) % 1000
+def _h(p: int, q: int, r: int) -> str:
+    """SQL for (event_id*p + k*q + user_id*r) % 1000, in a modular form that
+    cannot overflow 64 bits for any non-negative inputs."""
+    return f"(((eid % 1000) * {p % 1000} + (k % 1000) * {q % 1000} + (uid % 1000) * {r % 1000}) % 1000)"
 
 
 def readings_from_events(events: DataFrame) -> DataFrame:
-    """``events`` -> raw sensor table (22 columns, with duplicate deliveries)."""
-    eid, uid = F.col("event_id"), F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("long")
-    base = events.select(
-        eid.alias("eid"), uid.alias("uid"), k.alias("k"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        (eid % READINGS_PER_BATCH).alias("t"), F.expr("event_id div 10").alias("b"),
-    )
-    e, kk, u, t, b = F.col("eid"), F.col("k"), F.col("uid"), F.col("t"), F.col("b")
-
-    def h(p, q, r):
-        return _h(e, kk, u, p, q, r)
-
-    w0 = F.when(t < 5, 5 + h(7919, 13, 31) / 100).otherwise(2 + h(7919, 13, 31) / 43.7)
-    rpm = (F.when((w0 < 3.5) | (w0 > 20), F.lit(0.0)).otherwise(5 + (w0 - 3.5) * 2.5)
-           + (h(104729, 7, 17) - 500) / 503)
-    direction = h(179424673, 53, 71) * 0.45 - 30
-    nacelle = 15 + h(611953, 11, 5) / 21.7
-    stage1 = base.select(
-        "eid", "k", "uid", "t", "b", "timestamp",
-        F.when(e % NULL_ID_EVERY == 0, F.lit(None).cast("string"))
-         .when(e % EMPTY_ID_EVERY == 0, F.lit(""))
-         .otherwise(R.turbine_label(t)).alias("turbine_id"),
-        w0.alias("w0"),
-        F.when(e % BAD_WIND_EVERY == 0, F.lit(60.0)).otherwise(w0).alias("wind_speed_ms"),
-        direction.alias("wind_direction_deg"),
-        rpm.alias("rotor_rpm"),
-        nacelle.alias("nacelle_temp_c"),
-    )
-    r = F.col("rotor_rpm")
-    n = F.col("nacelle_temp_c")
-    w = F.col("w0")
-    stage2 = stage1.select(
-        "turbine_id", "timestamp", "wind_speed_ms", "wind_direction_deg", "rotor_rpm",
-        (F.least(F.lit(2000.0), r * r * 0.8) + (h(15485863, 3, 29) - 500) / 20.3)
-        .alias("power_output_kw"),
+    """``events`` -> raw sensor table (22 columns, with duplicate deliveries).
+
+    The formulas are SQL expression text (``selectExpr``): each column is
+    parsed once on the JVM side, and the whole derivation is one narrow
+    projection Catalyst collapses.  Literals carry a ``D`` suffix so they
+    are DOUBLE, not DECIMAL.
+    """
+    base = events.selectExpr(
+        "event_id AS eid", "user_id AS uid", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        "CAST(ts AS TIMESTAMP) AS timestamp", f"event_id % {READINGS_PER_BATCH} AS t",
+        f"event_id div {READINGS_PER_BATCH} AS b")
+    s1 = base.selectExpr(
+        "*", f"CASE WHEN t < 5 THEN 5 + {_h(7919, 13, 31)} / 100 ELSE 2 + {_h(7919, 13, 31)} / 43.7D END AS w0")
+    s2 = s1.selectExpr(
+        "*",
+        "(CASE WHEN w0 < 3.5D OR w0 > 20 THEN 0.0D ELSE 5 + (w0 - 3.5D) * 2.5D END)"
+        f" + ({_h(104729, 7, 17)} - 500) / 503 AS rotor_rpm",
+        f"15 + {_h(611953, 11, 5)} / 21.7D AS nacelle_temp_c",
+        f"{_h(179424673, 53, 71)} * 0.45D - 30 AS wind_direction_deg")
+    s3 = s2.selectExpr(
+        f"CASE WHEN eid % {NULL_ID_EVERY} = 0 THEN CAST(NULL AS STRING)"
+        f" WHEN eid % {EMPTY_ID_EVERY} = 0 THEN '' ELSE format_string('TURBINE_%05d', t) END AS turbine_id",
+        "timestamp",
+        f"CASE WHEN eid % {BAD_WIND_EVERY} = 0 THEN 60.0D ELSE w0 END AS wind_speed_ms",
+        "wind_direction_deg",
+        "rotor_rpm",
+        f"least(2000.0D, rotor_rpm * rotor_rpm * 0.8D) + ({_h(15485863, 3, 29)} - 500) / 20.3D AS power_output_kw",
         "nacelle_temp_c",
-        (n + 15 + (h(32452843, 19, 2) - 500) / 101
-         + F.when((e * 17 + kk) % 20 == 0, 40).otherwise(0)).alias("gearbox_temp_c"),
-        (n + 10 + (h(49979687, 23, 41) - 500) / 127
-         + F.when((e * 19 + kk) % 33 == 0, 35).otherwise(0)).alias("generator_temp_c"),
-        (0.5 + r * 0.02 + (h(67867967, 29, 43) - 500) / 3331
-         + F.when((t == 7) | ((e * 23 + kk) % 12 == 0), h(86028121, 31, 47) / 450)
-         .otherwise(0)).alias("vibration_ms2"),
-        (45 + (h(104395301, 37, 53) - 500) / 125.7
-         - F.when((e * 29 + kk) % 16 == 0, h(122949823, 41, 59) / 66).otherwise(0))
-        .alias("oil_pressure_bar"),
-        (180 + h(198491317, 59, 73) / 25.3).alias("brake_pressure_bar"),
-        F.when(w > 15, 15 + (w - 15) * 2).otherwise(F.lit(0.0)).alias("pitch_angle_deg"),
-        F.col("wind_direction_deg").alias("yaw_angle_deg"),
-        F.when((e * 31 + kk) % 50 == 0, h(141650939, 43, 61) / 500)
-         .otherwise((h(160481183, 47, 67) - 500) / 1250).alias("tower_lean_deg"),
-        (32.0 + t / 100.0).alias("location_lat"),
-        (-101.5 + t / 100.0).alias("location_lon"),
-        F.timestamp_seconds(F.lit(INGEST_EPOCH) + b * INGEST_SECONDS_PER_BATCH)
-         .alias("ingestion_timestamp"),
-        F.format_string("batch_%06d", b).alias("batch_id"),
-        # number of deliveries of this reading
-        F.when(e % COPY_EVERY == 0, 2).otherwise(1).alias("_copies"),
+        f"nacelle_temp_c + 15 + ({_h(32452843, 19, 2)} - 500) / 101"
+        " + CASE WHEN (eid * 17 + k) % 20 = 0 THEN 40 ELSE 0 END AS gearbox_temp_c",
+        f"nacelle_temp_c + 10 + ({_h(49979687, 23, 41)} - 500) / 127"
+        " + CASE WHEN (eid * 19 + k) % 33 = 0 THEN 35 ELSE 0 END AS generator_temp_c",
+        f"0.5D + rotor_rpm * 0.02D + ({_h(67867967, 29, 43)} - 500) / 3331"
+        f" + CASE WHEN t = 7 OR (eid * 23 + k) % 12 = 0 THEN {_h(86028121, 31, 47)} / 450 ELSE 0 END"
+        " AS vibration_ms2",
+        f"45 + ({_h(104395301, 37, 53)} - 500) / 125.7D"
+        f" - CASE WHEN (eid * 29 + k) % 16 = 0 THEN {_h(122949823, 41, 59)} / 66 ELSE 0 END AS oil_pressure_bar",
+        f"180 + {_h(198491317, 59, 73)} / 25.3D AS brake_pressure_bar",
+        "CASE WHEN w0 > 15 THEN 15 + (w0 - 15) * 2 ELSE 0.0D END AS pitch_angle_deg",
+        "wind_direction_deg AS yaw_angle_deg",
+        f"CASE WHEN (eid * 31 + k) % 50 = 0 THEN {_h(141650939, 43, 61)} / 500"
+        f" ELSE ({_h(160481183, 47, 67)} - 500) / 1250 END AS tower_lean_deg",
+        "32.0D + t / 100.0D AS location_lat",
+        "-101.5D + t / 100.0D AS location_lon",
+        f"timestamp_seconds({INGEST_EPOCH} + b * {INGEST_SECONDS_PER_BATCH}) AS ingestion_timestamp",
+        "format_string('batch_%06d', b) AS batch_id",
+        f"CASE WHEN eid % {COPY_EVERY} = 0 THEN 2 ELSE 1 END AS _copies",
     )
-    labelled = stage2.withColumn("fault_code", R.fault_code())
+    labelled = s3.withColumn("fault_code", R.fault_code())
     labelled = labelled.withColumns({
         "maintenance_needed": F.col("fault_code").isNotNull(),
         "alert_level": R.alert_level(),
