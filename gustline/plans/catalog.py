@@ -22,10 +22,11 @@ from gustline.operators import gold as G
 from gustline.operators import reporting as RP
 from gustline.operators import silver as S
 from gustline.operators import views as V
+from gustline.plans import jobs as J
 from gustline.plans import medallion as M
 from gustline.plans import oracle as O
 from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
-from gustline.session import prepare
+from gustline.session import prepare, shared_path
 from gustline.sources import fixtures
 from gustline.streaming import medallion as SM
 
@@ -460,6 +461,27 @@ def stream_gold(spark, sf_dir):
     return present(spark.read.parquet(streamed_tables(spark, sf_dir).gold), GOLD_DOUBLES)
 
 
+# --- batch refresh job ---------------------------------------------------------------
+
+@register("refreshed_dispatch_queue", O.with_layers(
+    "queue", f"SELECT * REPLACE ({O.r6(*QUEUE_DOUBLES)}) FROM queue"))
+def refreshed_dispatch_queue(spark, sf_dir):
+    """Queue read back from the tables a batch refresh wrote."""
+    out = J.refresh(spark, fixtures.raw_readings(spark, sf_dir),
+                    shared_path(spark, "refresh", uuid.uuid4().hex), M.as_of())
+    return present(J.read_queue(spark, out), QUEUE_DOUBLES)
+
+
+@register("refreshed_sla_performance", O.with_layers(
+    "sla", f"SELECT * REPLACE ({O.r6(*SLA_DOUBLES, 'sla_compliance_rate', 'breach_rate')}) FROM sla"))
+def refreshed_sla_performance(spark, sf_dir):
+    """SLA view as written by the batch refresh job."""
+    out = J.refresh(spark, fixtures.raw_readings(spark, sf_dir),
+                    shared_path(spark, "refresh", uuid.uuid4().hex), M.as_of())
+    return present(out.read(spark, "sla_performance_dashboard"),
+                   SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
+
+
 _STREAM_SLA_SQL = O.with_layers("gold", f"""
 SELECT * REPLACE ({O.r6(*SLA_DOUBLES, 'sla_compliance_rate', 'breach_rate')}) FROM (
   SELECT *, CASE WHEN sla_compliance_rate >= 98 THEN 'EXCELLENT' WHEN sla_compliance_rate >= 95 THEN 'GOOD'
