@@ -62,3 +62,59 @@ def dispatch_queue(gold: DataFrame, ordered: bool = True) -> DataFrame:
 def equipment_list(queue: DataFrame) -> DataFrame:
     """Equipment string as an array of items (F20 array form)."""
     return queue.withColumn("equipment_items", F.split("equipment_required", ","))
+
+
+# --- incremental SLA rollup --------------------------------------------------------
+# The SLA view's averages are plain means over window rows, so they can be
+# kept as mergeable partials (sums, counts, min, max) and updated with only
+# the new gold windows instead of re-reading all of gold.
+
+_SUMS = (("uptime_percentage", "sum_uptime"), ("avg_power_output_kw", "sum_avg_power"),
+         ("total_power_output_kw", "total_power_generated_kw"),
+         ("avg_power_efficiency", "sum_efficiency"), ("avg_health_score", "sum_health"),
+         ("degradation_risk_score", "sum_risk"))
+
+
+def sla_partials(gold: DataFrame) -> DataFrame:
+    """Mergeable per-turbine partial aggregates of a batch of gold windows."""
+    return gold.groupBy(*SLA_KEYS).agg(
+        *[F.sum(src).alias(dst) for src, dst in _SUMS],
+        F.min("uptime_percentage").alias("min_uptime_percentage"),
+        F.count_if(F.col("sla_compliance") == C.SLA_COMPLIANT).alias("compliant_periods"),
+        F.count_if(F.col("sla_compliance") == C.SLA_BREACH).alias("breach_periods"),
+        F.count(F.lit(1)).alias("total_periods"),
+        F.max("alert_generated_timestamp").alias("last_updated"),
+    )
+
+
+def merge_sla_partials(*parts: DataFrame) -> DataFrame:
+    """Combine partials (e.g. the stored ones and those of new windows)."""
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    return allp.groupBy(*SLA_KEYS).agg(
+        *[F.sum(dst).alias(dst) for _, dst in _SUMS],
+        F.min("min_uptime_percentage").alias("min_uptime_percentage"),
+        *[F.sum(c).alias(c) for c in ("compliant_periods", "breach_periods", "total_periods")],
+        F.max("last_updated").alias("last_updated"),
+    )
+
+
+def sla_from_partials(partials: DataFrame) -> DataFrame:
+    """The SLA view (same columns as ``sla_performance``) from partials."""
+    n = F.col("total_periods")
+    out = partials.select(
+        *SLA_KEYS,
+        (F.col("sum_uptime") / n).alias("avg_uptime_percentage"),
+        "min_uptime_percentage", "compliant_periods", "breach_periods", "total_periods",
+        (F.col("sum_avg_power") / n).alias("avg_power_generation_kw"),
+        "total_power_generated_kw",
+        (F.col("sum_efficiency") / n).alias("avg_efficiency_ratio"),
+        (F.col("sum_health") / n).alias("overall_health_score"),
+        (F.col("sum_risk") / n).alias("avg_degradation_risk"),
+        "last_updated",
+    ).withColumns({
+        "sla_compliance_rate": R.rate_pct("compliant_periods", "total_periods"),
+        "breach_rate": R.rate_pct("breach_periods", "total_periods"),
+    })
+    return out.withColumn("performance_tier", R.performance_tier())

@@ -334,8 +334,8 @@ def batch_summary(spark, sf_dir):
     return present(RP.batch_summary(fixtures.raw_readings(spark, sf_dir)))
 
 
-@register("cumulative_fault_rate", O.with_layers("raw", """
-SELECT *, round(CASE WHEN total_records > 0 THEN total_faults / total_records * 100 END, 6)
+@register("cumulative_fault_rate", O.with_layers("raw", f"""
+SELECT *, {O.sround("CASE WHEN total_records > 0 THEN total_faults / total_records * 100 END", 6)}
           AS fault_rate_pct
 FROM (
   SELECT *, CAST(sum(record_count) OVER w AS BIGINT) AS total_records,
@@ -349,8 +349,8 @@ def cumulative_fault_rate(spark, sf_dir):
     return present(RP.cumulative_fault_rate(fixtures.raw_readings(spark, sf_dir)), ("fault_rate_pct",))
 
 
-@register("silver_kpis", O.with_layers("silver", """
-SELECT count(*) AS processed_records, round(coalesce(avg(power_output_kw), 0.0e0), 6) AS avg_power,
+@register("silver_kpis", O.with_layers("silver", f"""
+SELECT count(*) AS processed_records, {O.sround("coalesce(avg(power_output_kw), 0.0e0)", 6)} AS avg_power,
        count(CASE WHEN alert_level = 'CRITICAL' THEN 1 END) AS high_alerts FROM silver"""))
 def silver_kpis(spark, sf_dir):
     """Processed rows, average power, CRITICAL rows."""
@@ -417,10 +417,10 @@ def expected_output(spark, sf_dir):
                               "power_output_kw", *_EXPECTED_DOUBLES), _EXPECTED_DOUBLES)
 
 
-@register("power_curve_levels", O.with_layers("silver", """
+@register("power_curve_levels", O.with_layers("silver", f"""
 SELECT turbine_id, ingestion_timestamp, wind_speed_ms, power_output_kw, nacelle_temp_c,
-  round(CASE WHEN wind_speed_ms < 3 OR wind_speed_ms >= 25 THEN 0.0e0
-             ELSE least(2000.0e0, (wind_speed_ms - 3) * 100) END, 6) AS curve_power_kw,
+  {O.sround("CASE WHEN wind_speed_ms < 3 OR wind_speed_ms >= 25 THEN 0.0e0 ELSE least(2000.0e0, (wind_speed_ms - 3) * 100) END", 6)}
+    AS curve_power_kw,
   CASE WHEN power_output_kw > 1800 OR nacelle_temp_c > 30 THEN 'HIGH'
        WHEN power_output_kw > 1500 OR nacelle_temp_c > 25 THEN 'MEDIUM' ELSE 'LOW' END
     AS power_temperature_level
@@ -461,6 +461,19 @@ def stream_gold(spark, sf_dir):
     return present(spark.read.parquet(streamed_tables(spark, sf_dir).gold), GOLD_DOUBLES)
 
 
+@register("sla_incremental", O.with_layers(
+    "sla", f"SELECT * REPLACE ({O.r6(*SLA_DOUBLES, 'sla_compliance_rate', 'breach_rate')}) FROM sla"))
+def sla_incremental(spark, sf_dir):
+    """SLA view maintained from partials: older and newer gold windows are
+    rolled up separately, merged, then finalized (A11, incremental)."""
+    gold = layers(spark, sf_dir).gold
+    cut = gold.select(F.percentile_approx("window_start", 0.5)).scalar()
+    older = V.sla_partials(gold.filter(F.col("window_start") < cut))
+    newer = V.sla_partials(gold.filter(F.col("window_start") >= cut))
+    return present(V.sla_from_partials(V.merge_sla_partials(older, newer)),
+                   SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
+
+
 # --- batch refresh job ---------------------------------------------------------------
 
 @register("refreshed_dispatch_queue", O.with_layers(

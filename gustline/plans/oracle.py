@@ -14,6 +14,13 @@ from __future__ import annotations
 AS_OF_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
+def sround(col: str, dp: int) -> str:
+    """Spark's ROUND on a DOUBLE: half-up on the value's shortest decimal
+    text.  DuckDB's own round scales in floating point and differs on
+    values such as 28.849999999999998 (Spark: 28.8) or 1.005 (Spark: 1.01)."""
+    return f"CAST(round(CAST(CAST({col} AS VARCHAR) AS DECIMAL(38,18)), {dp}) AS DOUBLE)"
+
+
 def _h(p: int, q: int, r: int) -> str:
     return f"((eid * {p} + k * {q} + uid * {r}) % 1000)"
 
@@ -111,9 +118,9 @@ dedup AS (
 ),
 std AS (
   SELECT * REPLACE (
-      round(wind_speed_ms, 2) AS wind_speed_ms,
-      round(power_output_kw, 1) AS power_output_kw,
-      round(rotor_rpm, 1) AS rotor_rpm,
+      {sround('wind_speed_ms', 2)} AS wind_speed_ms,
+      {sround('power_output_kw', 1)} AS power_output_kw,
+      {sround('rotor_rpm', 1)} AS rotor_rpm,
       CASE WHEN wind_direction_deg < 0 THEN wind_direction_deg + 360
            WHEN wind_direction_deg >= 360 THEN wind_direction_deg - 360
            ELSE wind_direction_deg END AS wind_direction_deg)
@@ -314,7 +321,7 @@ def with_layers(layer: str, body: str, extra: str = "") -> str:
 
 
 def r6(*cols: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return ", ".join(f"{sround(c, 6)} AS {c}" for c in cols)
 
 
 # --- dispatch flow: decisions at T1, filing at T2, second decisions at T3 ------
@@ -324,7 +331,7 @@ T2_SQL = "TIMESTAMP '2024-02-01 00:05:00'"
 
 
 def snap(col: str, dp: int) -> str:
-    return f"CAST(CAST(round({col}, 6) AS DECIMAL(38,6)) AS DECIMAL(38,{dp}))"
+    return f"CAST(CAST({sround(col, 6)} AS DECIMAL(38,6)) AS DECIMAL(38,{dp}))"
 
 
 def fmt(col: str, dp: int) -> str:
