@@ -92,6 +92,10 @@ class StreamLayout:
     def gold(self) -> str:
         return f"{self.root}/gold_maintenance_alerts"
 
+    @property
+    def sla_partials(self) -> str:
+        return f"{self.root}/sla_partials"
+
     def checkpoint(self, table: str) -> str:
         return f"{self.root}/_checkpoints/{table}"
 
@@ -136,7 +140,7 @@ def start_gold(spark: SparkSession, layout: StreamLayout, silver_schema: T.Struc
 
 def run_chain(spark: SparkSession, raw_dir: str, layout: StreamLayout,
               processing_time: Column | None = None, max_files: int | None = None,
-              cfg: C.PipelineConfig = C.DEFAULT) -> tuple[StreamingQuery, StreamingQuery]:
+              cfg: C.PipelineConfig = C.DEFAULT, sla: bool = False) -> tuple[StreamingQuery, StreamingQuery]:
     """Run silver then gold to completion with ``availableNow`` triggers.
 
     Re-running with the same layout resumes from the checkpoints: only new
@@ -149,9 +153,21 @@ def run_chain(spark: SparkSession, raw_dir: str, layout: StreamLayout,
     q2 = start_gold(spark, layout, silver_schema, processing_time, AVAILABLE_NOW, max_files, cfg)
     q2.awaitTermination()
     _raise(q2)
+    if sla and _has_files(spark, layout.gold):
+        q3 = start_sla_refresh(spark, layout, spark.read.parquet(layout.gold).schema)
+        q3.awaitTermination()
+        _raise(q3)
     return q1, q2
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def _raise(q: StreamingQuery) -> None:
     err = q.exception()
     if err is not None:
@@ -174,7 +190,8 @@ def time_slices(df: DataFrame, time_col: str = "ingestion_timestamp", n: int = 3
 
 
 def replay(spark: SparkSession, raw: DataFrame, layout: StreamLayout, drops: int = 3,
-           processing_time: Column | None = None, cfg: C.PipelineConfig = C.DEFAULT) -> None:
+           processing_time: Column | None = None, cfg: C.PipelineConfig = C.DEFAULT,
+           sla: bool = True) -> None:
     """Replay a stored raw table as ``drops`` time-ordered file drops, running
     the chain after each drop the way a scheduled job would.
 
@@ -184,4 +201,52 @@ def replay(spark: SparkSession, raw: DataFrame, layout: StreamLayout, drops: int
     raw_dir = f"{layout.root}/raw"
     for cond in time_slices(raw, cfg.time_column, drops):
         raw.filter(cond).write.mode("append").parquet(raw_dir)
-        run_chain(spark, raw_dir, layout, processing_time, cfg=cfg)
+        run_chain(spark, raw_dir, layout, processing_time, cfg=cfg, sla=sla)
+
+
+# --- incremental SLA view from the gold stream (T6) ----------------------------------
+
+def _latest_epoch(spark: SparkSession, base: str, before: int) -> int | None:
+    try:
+        df = spark.read.parquet(base)
+    except Exception:  # noqa: BLE001 (no version written yet)
+        return None
+    return df.filter(F.col("epoch") < before).agg(F.max("epoch")).first()[0]
+
+
+def sla_partials_writer(spark: SparkSession, base: str):
+    """``foreachBatch`` function keeping SLA partials current.
+
+    Epoch ``e`` writes ``base/epoch=e`` = partials of epoch ``e - 1``'s
+    version merged with the partials of the new gold windows.  A replayed
+    epoch recomputes the same version from the same inputs and overwrites
+    it, so a retry never double-counts.
+    """
+    from gustline.operators import views as V
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        new = V.sla_partials(batch)
+        prev = _latest_epoch(spark, base, epoch_id)
+        parts = [new]
+        if prev is not None:
+            parts.append(spark.read.parquet(f"{base}/epoch={prev}"))
+        V.merge_sla_partials(*parts).write.mode("overwrite").parquet(f"{base}/epoch={epoch_id}")
+    return write
+
+
+def start_sla_refresh(spark: SparkSession, layout: StreamLayout, gold_schema: T.StructType,
+                      trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
+    """Gold table stream -> versioned SLA partials (read with ``read_sla_view``)."""
+    gold = read_table_stream(spark, layout.gold, gold_schema)
+    return (gold.writeStream.foreachBatch(sla_partials_writer(spark, layout.sla_partials))
+            .option("checkpointLocation", layout.checkpoint("sla_partials"))
+            .queryName("sla_partials").trigger(**trigger).start())
+
+
+def read_sla_view(spark: SparkSession, layout: StreamLayout) -> DataFrame:
+    """The SLA view from the newest partials version."""
+    from gustline.operators import views as V
+
+    latest = _latest_epoch(spark, layout.sla_partials, 1 << 62)
+    parts = spark.read.parquet(f"{layout.sla_partials}/epoch={latest}")
+    return V.sla_from_partials(parts)
