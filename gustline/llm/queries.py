@@ -7,25 +7,84 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gustline.llm import ann, exact_topk, language_id, oracle, packing, secrets, simhash, token_counts, word_bpe
 from gustline.llm.common import table
-from gustline.llm.token_counts import token_counts
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 4096
+SEQUENCE_TOKENS = 2048
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document (no SQL form: tested against the library)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, PIECE_MODEL, max_tokens=TOKEN_LIMIT).drop("text")
+    return token_counts.token_counts(docs, PIECE_MODEL, max_tokens=TOKEN_LIMIT).drop("text")
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products of every hundredth vector."""
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with SimHashes at most 3 bits apart."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = F.filter("secrets", lambda s: s["no"] < len(secrets.BASE))
+    found = secrets.scan(docs).select("doc_id", "secrets", base.alias("base"))
+
+    def number(n: int):
+        return F.size(F.filter("base", lambda s: s["no"] == n)).cast("long")
+
+    counts = [number(n).alias(f"n_{r.kind}") for n, r in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.report(F.col("base")), 256).alias("base_sha256"),
+                        secrets.report(F.col("secrets")).alias("spans"))
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document and the text decoded from them (no SQL
+    form: tested against the library)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = word_bpe.bpe_decode(word_bpe.bpe_encode(docs, WORD_VOCAB), WORD_VOCAB)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences (no SQL form: tested against the
+    library's ids put together again)."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_VOCAB, SEQUENCE_TOKENS)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one (approximate: tested
+    for recall against brute force)."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the rows that are not
+    held out (no SQL form: tested for held-out accuracy)."""
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("held_out"))
+    profiles = language_id.fit(marked.filter(~F.col("held_out")))
+    return language_id.predict(marked.select("doc_id", "held_out", "text"), profiles).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_token_counts": op1_token_counts,
-    }
+    own = (op1_token_counts, op2_exact_topk, op3_simhash_dedup, op4_secret_scan, op5_bpe_codec, op6_packing,
+           op7_ann_search, op9_language_id)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_topk": oracle.exact_topk(k=10, every=100), "op4_secret_scan": oracle.secret_scan()}
