@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import ann, exact_topk, language_id, oracle, packing, secrets, simhash, token_counts, word_bpe
+from gustline.llm import (
+    ann, exact_topk, html_extract, language_id, oracle, packing, pii, secrets, simhash, token_counts, word_bpe)
 from gustline.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,6 +72,21 @@ def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document (no SQL form: the
+    fixed patterns are tested against plain ones)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs)).select(
+        "doc_id", "personal", F.filter("personal", lambda s: s["base"]).alias("base"))
+
+    def number(kind: int):
+        return F.size(F.filter("base", lambda s: s["no"] == kind)).cast("long")
+
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.report(F.col("base")), 256).alias("base_sha256"),
+                        pii.report(F.col("personal")).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the rows that are not
     held out (no SQL form: tested for held-out accuracy)."""
@@ -80,9 +96,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(marked.select("doc_id", "held_out", "text"), profiles).drop("text")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page (no SQL form: tested on held-out pages)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.fit(pages)).drop("html")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_token_counts, op2_exact_topk, op3_simhash_dedup, op4_secret_scan, op5_bpe_codec, op6_packing,
-           op7_ann_search, op9_language_id)
+           op7_ann_search, op8_pii, op9_language_id, op10_html_text)
     return {f.__name__: f for f in own}
 
 
