@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from gustline import config as C
 from gustline.functions import rules as R
-from gustline.operators.dispatch import latest_log_rows
 
 
 # --- sensor table reports ------------------------------------------------------
@@ -66,7 +65,11 @@ def running_totals(per_batch: DataFrame, order_col: str = "batch_time",
     Level 1 is a window per time block (parallel across blocks); level 2
     sums whole blocks before each block.  Level 2 has one row per block
     (time span / ``block_seconds`` rows), so its single-partition window
-    is bounded by the time span, not by the data volume.
+    is bounded by the time span, not by the data volume.  Rows without an
+    ``order_col`` come first, as a block of their own.
+
+    Both levels read ``per_batch``: pass a stored (staged) table, or its
+    plan runs twice.
     """
     blk = F.floor(F.unix_seconds(F.col(order_col)) / block_seconds)
     b = per_batch.withColumn("_blk", blk)
@@ -77,15 +80,17 @@ def running_totals(per_batch: DataFrame, order_col: str = "batch_time",
     w_blk = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_blk", *[F.coalesce(F.sum(f"_blk_{o}").over(w_blk), F.lit(0))
                                       .alias(f"_off_{o}") for _, o in sums])
-    out = within.join(offsets, "_blk")
+    offsets = offsets.withColumnRenamed("_blk", "_of_blk")
+    out = within.join(offsets, F.col("_blk").eqNullSafe(F.col("_of_blk")))
     return out.select(*per_batch.columns,
                       *[(F.col(f"_off_{o}") + F.col(f"_in_{o}")).cast("long").alias(o)
                         for _, o in sums])
 
 
-def cumulative_fault_rate(raw: DataFrame, block_seconds: int = 3600) -> DataFrame:
-    """Per batch: counts, running totals and running fault rate %."""
-    tot = running_totals(batch_summary(raw), block_seconds=block_seconds)
+def cumulative_fault_rate(per_batch: DataFrame, block_seconds: int = 3600) -> DataFrame:
+    """Per batch: counts, running totals and running fault rate % (A13, F34),
+    from a stored ``batch_summary``."""
+    tot = running_totals(per_batch, block_seconds=block_seconds)
     return tot.withColumn("fault_rate_pct", R.fault_rate_pct("total_faults", "total_records"))
 
 
@@ -107,7 +112,8 @@ def recent_readings(silver: DataFrame, as_of: Column | None = None, hours: int =
                     limit: int = 1000) -> DataFrame:
     """Readings of the last ``hours`` before ``as_of``, newest first, at most
     ``limit`` (P10, O2, R10).  ``as_of`` defaults to the newest event time in
-    the table (a scalar subquery), so the report is reproducible."""
+    the table (a scalar subquery), so the report is reproducible.  On a stored
+    table the time filter reaches the scan."""
     ts = F.col("event_timestamp")
     if as_of is None:
         as_of = silver.select(F.max("event_timestamp")).scalar()
@@ -119,6 +125,26 @@ def recent_readings(silver: DataFrame, as_of: Column | None = None, hours: int =
                           "turbine_id").limit(limit)
 
 
+def power_over_time(recent: DataFrame) -> DataFrame:
+    """Power by turbine and time, for a line per turbine (R10), from
+    ``recent_readings``."""
+    return recent.select("turbine_id", "timestamp", "power_output").orderBy("turbine_id", "timestamp")
+
+
+def wind_vs_power(recent: DataFrame) -> DataFrame:
+    """Wind speed against power with the alert level of each point (R10), from
+    ``recent_readings``."""
+    return recent.select("wind_speed", "power_output", "alert_level")
+
+
+def kpi_summary(raw: DataFrame, silver: DataFrame, level: str = C.LEVEL_CRITICAL) -> DataFrame:
+    """One row: raw records and newest sensor time next to the silver KPIs."""
+    fresh = data_freshness(raw).select("total_records", F.col("latest_sensor_reading").alias("latest_timestamp"))
+    kpis = silver_kpis(silver, level)
+    # one row on either side
+    return fresh.join(F.broadcast(kpis), F.lit(True))
+
+
 def latest_readings(raw: DataFrame, n: int = 100) -> DataFrame:
     """The ``n`` newest readings by event time (O2)."""
     return raw.orderBy(F.col("timestamp").desc(), F.col("ingestion_timestamp").desc(),
@@ -184,11 +210,6 @@ def open_ticket_details(log: DataFrame, preview_chars: int = 150) -> DataFrame:
             .withColumn("has_more", F.length("details") > preview_chars))
 
 
-def current_ticket_state(log: DataFrame) -> DataFrame:
-    """Latest log row(s) per turbine (ties kept)."""
-    return latest_log_rows(log)
-
-
 # --- pipeline run listing (R11, A22) ------------------------------------------------------
 
 def list_pipelines(runs: DataFrame, term: str = "windmill", cap: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,9 +29,10 @@ from gustline.schemas import RAW_SENSOR_SCHEMA
 from gustline.session import shared_path
 
 AVAILABLE_NOW = {"availableNow": True}
+MAX_FILES = 1000  # files of a micro-batch, so a backlog is worked off in steps
 
 
-def read_raw_stream(spark: SparkSession, raw_dir: str, max_files: int | None = None) -> DataFrame:
+def read_raw_stream(spark: SparkSession, raw_dir: str, max_files: int | None = MAX_FILES) -> DataFrame:
     """Incremental read of the raw table's files (S5), fixed schema."""
     r = spark.readStream.schema(RAW_SENSOR_SCHEMA)
     if max_files:
@@ -39,7 +41,7 @@ def read_raw_stream(spark: SparkSession, raw_dir: str, max_files: int | None = N
 
 
 def read_table_stream(spark: SparkSession, path: str, schema: T.StructType,
-                      max_files: int | None = None) -> DataFrame:
+                      max_files: int | None = MAX_FILES) -> DataFrame:
     """Stream the files another query of the chain wrote."""
     r = spark.readStream.schema(schema)
     if max_files:
@@ -51,11 +53,11 @@ def silver_stream(bronze: DataFrame, processing_time: Column | None = None,
                   cfg: C.PipelineConfig = C.DEFAULT, observe: bool = True) -> DataFrame:
     """Watermark (1 min) -> dedup -> enrich -> rules.
 
-    The dedup key contains the watermarked column, so state for a key is
-    dropped once the watermark passes it and stays bounded.
+    The dedup key is the turbine and the watermarked column, so state for a
+    key is dropped once the watermark passes it and stays bounded.
     """
     wm = bronze.withWatermark(cfg.time_column, cfg.dedup_watermark)
-    cands = S.silver_candidates(wm, processing_time, cfg.thresholds)
+    cands = S.silver_candidates(wm, processing_time, cfg.thresholds, keys=("turbine_id", cfg.time_column))
     if observe:
         cands = Q.observe_violations(cands, "silver_quality")
     return Q.expect_or_drop(cands)
@@ -114,7 +116,7 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 
 
 def start_bronze(spark: SparkSession, raw_dir: str, layout: StreamLayout,
-                 trigger: dict = AVAILABLE_NOW, max_files: int | None = None) -> StreamingQuery:
+                 trigger: dict = AVAILABLE_NOW, max_files: int | None = MAX_FILES) -> StreamingQuery:
     """Raw files -> bronze table: stateless copy with the event time renamed."""
     bronze = S.to_bronze(read_raw_stream(spark, raw_dir, max_files))
     return _start(bronze, layout.bronze, layout.checkpoint("bronze"), "bronze_sensor_data", trigger)
@@ -122,7 +124,7 @@ def start_bronze(spark: SparkSession, raw_dir: str, layout: StreamLayout,
 
 def start_silver(spark: SparkSession, raw_dir: str, layout: StreamLayout,
                  processing_time: Column | None = None, trigger: dict = AVAILABLE_NOW,
-                 max_files: int | None = None, cfg: C.PipelineConfig = C.DEFAULT) -> StreamingQuery:
+                 max_files: int | None = MAX_FILES, cfg: C.PipelineConfig = C.DEFAULT) -> StreamingQuery:
     """Raw files -> bronze (rename) -> silver table."""
     bronze = S.to_bronze(read_raw_stream(spark, raw_dir, max_files))
     return _start(silver_stream(bronze, processing_time, cfg), layout.silver,
@@ -131,7 +133,7 @@ def start_silver(spark: SparkSession, raw_dir: str, layout: StreamLayout,
 
 def start_gold(spark: SparkSession, layout: StreamLayout, silver_schema: T.StructType,
                processing_time: Column | None = None, trigger: dict = AVAILABLE_NOW,
-               max_files: int | None = None, cfg: C.PipelineConfig = C.DEFAULT) -> StreamingQuery:
+               max_files: int | None = MAX_FILES, cfg: C.PipelineConfig = C.DEFAULT) -> StreamingQuery:
     """Silver table -> gold table, closed windows only (T4)."""
     silver = read_table_stream(spark, layout.silver, silver_schema, max_files)
     return _start(gold_stream(silver, processing_time, cfg), layout.gold,
@@ -139,7 +141,7 @@ def start_gold(spark: SparkSession, layout: StreamLayout, silver_schema: T.Struc
 
 
 def run_chain(spark: SparkSession, raw_dir: str, layout: StreamLayout,
-              processing_time: Column | None = None, max_files: int | None = None,
+              processing_time: Column | None = None, max_files: int | None = MAX_FILES,
               cfg: C.PipelineConfig = C.DEFAULT, sla: bool = False) -> tuple[StreamingQuery, StreamingQuery]:
     """Run silver then gold to completion with ``availableNow`` triggers.
 
@@ -161,11 +163,15 @@ def run_chain(spark: SparkSession, raw_dir: str, layout: StreamLayout,
 
 
 def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there. Only "no such path" and "no file
+    in it" mean no; any other failure is raised."""
     try:
         spark.read.parquet(path).schema  # noqa: B018
         return True
-    except Exception:  # noqa: BLE001
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def _raise(q: StreamingQuery) -> None:
@@ -175,17 +181,20 @@ def _raise(q: StreamingQuery) -> None:
 
 
 def time_slices(df: DataFrame, time_col: str = "ingestion_timestamp", n: int = 3) -> list[Column]:
-    """``n`` filters that cut ``df`` into consecutive event-time ranges."""
+    """``n`` filters that cut ``df`` into consecutive event-time ranges. Rows
+    without a time are in the first one, so every row is in exactly one."""
     lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
     if lo is None:
-        return []
+        return [F.lit(True)]
     step = (hi - lo) / n
+    t = F.col(time_col)
+    cuts = [F.lit(lo + step * i) for i in range(1, n)]
     out = []
     for i in range(n):
-        cond = F.col(time_col) >= F.lit(lo + step * i) if i else F.lit(True)
+        cond = t >= cuts[i - 1] if i else F.lit(True)
         if i < n - 1:
-            cond = cond & (F.col(time_col) < F.lit(lo + step * (i + 1)))
-        out.append(cond)
+            cond = cond & (t < cuts[i])
+        out.append(t.isNull() | cond if i == 0 else cond)
     return out
 
 
@@ -206,31 +215,48 @@ def replay(spark: SparkSession, raw: DataFrame, layout: StreamLayout, drops: int
 
 # --- incremental SLA view from the gold stream (T6) ----------------------------------
 
-def _latest_epoch(spark: SparkSession, base: str, before: int) -> int | None:
-    try:
-        df = spark.read.parquet(base)
-    except Exception:  # noqa: BLE001 (no version written yet)
-        return None
-    return df.filter(F.col("epoch") < before).agg(F.max("epoch")).first()[0]
+def _epochs(spark: SparkSession, base: str) -> list[int]:
+    """Epochs whose version was written to its end (it has a ``_SUCCESS`` file),
+    from the folder listing alone: no version is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("epoch=") and fs.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
+            out.append(int(name[len("epoch="):]))
+    return sorted(out)
+
+
+def _drop_epochs(spark: SparkSession, base: str, epochs: list[int]) -> None:
+    for e in epochs:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/epoch={e}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sla_partials_writer(spark: SparkSession, base: str):
     """``foreachBatch`` function keeping SLA partials current.
 
-    Epoch ``e`` writes ``base/epoch=e`` = partials of epoch ``e - 1``'s
-    version merged with the partials of the new gold windows.  A replayed
-    epoch recomputes the same version from the same inputs and overwrites
-    it, so a retry never double-counts.
+    Epoch ``e`` writes ``base/epoch=e`` = partials of the newest committed
+    version before ``e`` merged with the partials of the new gold windows.  A
+    replayed epoch recomputes the same version from the same inputs and
+    overwrites it, so a retry never double-counts.  The version it started
+    from is kept for that; older ones are deleted, so the folder holds two
+    versions however long the stream runs.  A version that can't be read
+    raises: history is never silently dropped.
     """
     from gustline.operators import views as V
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        new = V.sla_partials(batch)
-        prev = _latest_epoch(spark, base, epoch_id)
-        parts = [new]
-        if prev is not None:
-            parts.append(spark.read.parquet(f"{base}/epoch={prev}"))
+        earlier = [e for e in _epochs(spark, base) if e < epoch_id]
+        parts = [V.sla_partials(batch)]
+        if earlier:
+            parts.append(spark.read.parquet(f"{base}/epoch={earlier[-1]}"))
         V.merge_sla_partials(*parts).write.mode("overwrite").parquet(f"{base}/epoch={epoch_id}")
+        _drop_epochs(spark, base, earlier[:-1])
     return write
 
 
@@ -244,9 +270,8 @@ def start_sla_refresh(spark: SparkSession, layout: StreamLayout, gold_schema: T.
 
 
 def read_sla_view(spark: SparkSession, layout: StreamLayout) -> DataFrame:
-    """The SLA view from the newest partials version."""
+    """The SLA view from the newest committed partials version."""
     from gustline.operators import views as V
 
-    latest = _latest_epoch(spark, layout.sla_partials, 1 << 62)
-    parts = spark.read.parquet(f"{layout.sla_partials}/epoch={latest}")
+    parts = spark.read.parquet(f"{layout.sla_partials}/epoch={_epochs(spark, layout.sla_partials)[-1]}")
     return V.sla_from_partials(parts)

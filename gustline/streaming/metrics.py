@@ -1,12 +1,14 @@
 """Streaming progress as a table.
 
-Progress reports are small per-micro-batch records kept by Spark (bounded by
-``spark.sql.streaming.numRecentProgressUpdates``), so turning them into a
-DataFrame does not move data through the driver.
+``progress_table`` shows what Spark itself still holds of a query (bounded by
+``spark.sql.streaming.numRecentProgressUpdates``); ``ProgressLog`` appends
+every progress report to a stored table, which keeps all of them.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -46,28 +48,48 @@ def progress_table(spark: SparkSession, *queries: StreamingQuery) -> DataFrame:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Listener that keeps the progress rows of every query (event log, T7).
+    """Listener that appends the progress rows of every query to a parquet table
+    (event log, T7): ``flush_rows`` at a time, the rest when a query ends or
+    ``flush`` is called.  No row is dropped.
 
-    Register with ``spark.streams.addListener(log)``; call ``table(spark)``
-    to get them as a DataFrame or append them to a metrics table.
+    Register with ``spark.streams.addListener(log)``.
     """
 
-    def __init__(self, keep: int = 1000):
-        self.keep = keep
+    def __init__(self, spark: SparkSession, path: str, flush_rows: int = 100):
+        self.spark, self.path, self.flush_rows = spark, path, flush_rows
         self.rows: list[tuple] = []
+        self.lock = threading.Lock()
 
     def onQueryStarted(self, event):  # noqa: N802 (Spark API name)
         pass
 
     def onQueryProgress(self, event):  # noqa: N802
-        self.rows.append(_row(event.progress))
-        del self.rows[:-self.keep]
+        self.add(_row(event.progress))
 
     def onQueryIdle(self, event):  # noqa: N802
         pass
 
     def onQueryTerminated(self, event):  # noqa: N802
-        pass
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), PROGRESS_SCHEMA)
+        self.flush()
+
+    def add(self, row: tuple) -> None:
+        with self.lock:
+            self.rows.append(row)
+            full = len(self.rows) >= self.flush_rows
+        if full:
+            self.flush()
+
+    def flush(self) -> None:
+        """Append the rows that are not written yet."""
+        with self.lock:
+            rows, self.rows = self.rows, []
+            if rows:
+                try:
+                    self.spark.createDataFrame(rows, PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+                except Exception:
+                    self.rows = rows + self.rows  # keep them for the next attempt
+                    raise
+
+    def table(self) -> DataFrame:
+        self.flush()
+        return self.spark.read.schema(PROGRESS_SCHEMA).parquet(self.path)
