@@ -3,7 +3,9 @@
 Each layer is written once and the next layer reads the written files, so a
 failed or lost executor only costs the layer being written, and every later
 reader gets file statistics and partition pruning.  Silver is partitioned by
-ingest date; at scale, time-bounded reads of it only list the days they need.
+ingest date; ``read_days`` lists only the days it is asked for.  A day is
+written by ``files_per_day`` tasks (its turbines are dealt out among them), so
+one large day is neither one task nor thousands of small files.
 Writes go to a fresh directory per run under the given root (shared storage),
 then the caller can swap a catalog table or a pointer to it.
 """
@@ -31,19 +33,31 @@ class RefreshOutput:
         return f"{self.root}/{table}"
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
+        """A layer with its contract's columns."""
         df = spark.read.parquet(self.path(table))
         return df.drop(PARTITION_COL) if PARTITION_COL in df.columns else df
 
+    def read_days(self, spark: SparkSession, table: str, first: str, last: str) -> DataFrame:
+        """A day-partitioned layer, only the days from ``first`` to ``last``
+        (dates, inclusive): other days' files are not listed."""
+        day = F.col(PARTITION_COL)
+        return spark.read.parquet(self.path(table)).filter(day.between(F.lit(first).cast("date"),
+                                                                       F.lit(last).cast("date"))).drop(PARTITION_COL)
+
+
+def spread_days(silver: DataFrame, files_per_day: int) -> DataFrame:
+    """Deal each day's rows out to ``files_per_day`` tasks by turbine."""
+    salt = F.pmod(F.xxhash64("turbine_id"), F.lit(files_per_day))
+    return silver.repartition(PARTITION_COL, salt)
+
 
 def refresh(spark: SparkSession, raw: DataFrame, root: str, processing_time: Column | None = None,
-            cfg: C.PipelineConfig = C.DEFAULT, files_per_partition: int | None = None) -> RefreshOutput:
+            cfg: C.PipelineConfig = C.DEFAULT, files_per_day: int = 8) -> RefreshOutput:
     """raw -> silver (by ingest date) -> gold -> sla view, dispatch queue."""
     out = RefreshOutput(root)
     silver = S.clean_readings(S.to_bronze(raw), processing_time, cfg.thresholds)
     silver = silver.withColumn(PARTITION_COL, F.to_date(cfg.time_column))
-    if files_per_partition:
-        # Bound the number of files per day without a global shuffle of order.
-        silver = silver.repartition(files_per_partition, PARTITION_COL)
+    silver = spread_days(silver, files_per_day)
     (silver.write.mode("overwrite").partitionBy(PARTITION_COL)
      .parquet(out.path("silver_sensor_data_cleaned")))
 
