@@ -7,7 +7,7 @@ inputs (``dedup_readings`` needs a watermark on a stream; see
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline import config as C
@@ -27,8 +27,9 @@ def to_bronze(raw: DataFrame) -> DataFrame:
 def dedup_readings(df: DataFrame, keys=DEDUP_KEYS) -> DataFrame:
     """One row per (turbine, ingestion time); an arbitrary duplicate survives.
 
-    Planned as a hash aggregate with map-side partial aggregation, so a key
-    that is delivered many times is collapsed before the shuffle.
+    Planned as a partial and a final aggregate, so a key that is delivered
+    many times is collapsed before the shuffle.  Both are sort aggregates:
+    a hash aggregate cannot keep the rows' strings in its buffers.
     """
     return df.dropDuplicates(list(keys))
 
@@ -37,14 +38,26 @@ def dedup_deterministic(df: DataFrame, keys=DEDUP_KEYS) -> DataFrame:
     """Batch variant of ``dedup_readings`` whose survivor does not depend on
     partitioning: the row that is smallest in column order wins.
 
-    ``min(struct(...))`` is a declarative aggregate, so it also combines
-    partially before the shuffle (skew-safe).
+    ``min(struct(...))`` also combines partially before the shuffle
+    (skew-safe); like ``dedup_readings`` it plans sort aggregates.
     """
     others = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
 
 
+def dedup_latest(df: DataFrame, keys=DEDUP_KEYS, time_col: str = "event_timestamp") -> DataFrame:
+    """Batch dedup that keeps the newest delivery of a key: the latest
+    ``time_col``, of equal ones the row largest in column order.
+
+    A window with a group limit: every task keeps one row of a key before the
+    shuffle, so a key with many deliveries is cut down map-side.
+    """
+    others = [c for c in df.columns if c not in keys and c != time_col]
+    newest = Window.partitionBy(*keys).orderBy(F.col(time_col).desc(), F.struct(*others).desc())
+    return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= 1).drop("_rn")
+
+
 def standardize(df: DataFrame) -> DataFrame:
     """Round wind (2 dp), power and rpm (1 dp); wrap direction once (F1, F2)."""
     return df.withColumns({
@@ -78,19 +91,24 @@ def enrich(df: DataFrame, processing_time: Column | None = None,
     })
 
 
+DEDUP = {"any": dedup_readings, "smallest": dedup_deterministic, "latest": dedup_latest}
+
+
 def silver_candidates(bronze: DataFrame, processing_time: Column | None = None,
-                      t: Thresholds = C.DEFAULT.thresholds, deterministic: bool = False) -> DataFrame:
-    """Deduplicated, enriched rows in silver column order, before the rules."""
-    deduped = dedup_deterministic(bronze) if deterministic else dedup_readings(bronze)
+                      t: Thresholds = C.DEFAULT.thresholds, keep: str = "any",
+                      keys=DEDUP_KEYS) -> DataFrame:
+    """Deduplicated, enriched rows in silver column order, before the rules.
+    ``keep``: which of several deliveries stays, any, the smallest or the latest."""
+    deduped = DEDUP[keep](bronze, keys)
     return enrich(standardize(deduped), processing_time, t).select(*SILVER_COLUMNS)
 
 
 def clean_readings(bronze: DataFrame, processing_time: Column | None = None,
                    t: Thresholds = C.DEFAULT.thresholds, rules=Q.SILVER_EXPECTATIONS,
-                   deterministic: bool = False) -> DataFrame:
+                   keep: str = "any", keys=DEDUP_KEYS) -> DataFrame:
     """Silver table: dedup -> standardize -> enrich -> quality rules (31 columns).
 
     The rules see the output columns, so e.g. the wind rule tests the
     rounded wind speed.
     """
-    return Q.expect_or_drop(silver_candidates(bronze, processing_time, t, deterministic), rules)
+    return Q.expect_or_drop(silver_candidates(bronze, processing_time, t, keep, keys), rules)

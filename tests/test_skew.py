@@ -41,7 +41,7 @@ def test_hot_keys_are_combined_before_the_shuffle(spark):
     raw, _ = skewed_raw(spark)
     lay = M.build(raw, M.as_of())
     silver_plan = lay.silver._jdf.queryExecution().executedPlan().toString()
-    assert "partial_first" in silver_plan
+    assert "partial_first" in silver_plan and silver_plan.count("SortAggregate") == 2
     latest = D.latest_status(lay.gold)
     p = latest._jdf.queryExecution().executedPlan().toString()
     assert p.count("WindowGroupLimit") >= 2  # partial (map side) and final
