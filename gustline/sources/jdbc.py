@@ -1,9 +1,10 @@
 """Operational tables in a relational database, through Spark's JDBC source.
 
 Reads are parallel range scans (``partitionColumn``/``numPartitions``) or a
-pushed-down ``query``; writes append DataFrames directly, and streaming
-writes go through ``foreachBatch`` with an idempotent key so a replayed
-micro-batch does not insert twice.  Credentials come from the caller; no
+pushed-down ``query`` (one task: for results that are small by themselves);
+writes append DataFrames directly, and streaming writes go through
+``foreachBatch`` with a writer that a replayed micro-batch can't make insert
+twice.  Credentials come from the caller; no
 connection is opened by importing this module.
 """
 
@@ -51,11 +52,26 @@ def append_rows(df: DataFrame, target: JdbcTarget, table: str, batch_size: int =
      .options(**target.options(dbtable=table, batchsize=str(batch_size))).save())
 
 
-def idempotent_batch_writer(target: JdbcTarget, table: str, key_cols: tuple[str, ...]):
-    """``foreachBatch`` function: stamp each row with a key derived from the
-    micro-batch id and natural key, so a database unique constraint on
-    ``write_key`` rejects a replayed batch (S12)."""
+def batch_writer(target: JdbcTarget, table: str, key_cols: tuple[str, ...]):
+    """``foreachBatch`` function that can be replayed (S12): it reads the keys
+    the table already holds of this micro-batch (``epoch_id``) and appends only
+    the missing rows, so a replay completes a partial write and adds nothing
+    after a whole one.  The table needs a column ``epoch_id`` next to
+    ``key_cols``, which tell the rows of a micro-batch apart; one writer per
+    table and epoch, as ``foreachBatch`` guarantees."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        keyed = batch.withColumn("write_key", F.xxhash64(F.lit(epoch_id), *[F.col(c) for c in key_cols]))
-        append_rows(keyed, target, table)
+        spark = batch.sparkSession
+        columns = ", ".join(key_cols)
+        there = read_query(spark, target, f"SELECT {columns} FROM {table} WHERE epoch_id = {int(epoch_id)}")
+        append_rows(missing_rows(batch, there, key_cols).withColumn("epoch_id", F.lit(epoch_id)), target, table)
     return write
+
+
+def missing_rows(batch: DataFrame, there: DataFrame, key_cols: tuple[str, ...]) -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``there`` (NULL equals NULL)."""
+    on = None
+    there = there.select(*[F.col(c).alias(f"_there_{c}") for c in key_cols])
+    for c in key_cols:
+        same = batch[c].eqNullSafe(there[f"_there_{c}"])
+        on = same if on is None else on & same
+    return batch.join(there, on, "left_anti")

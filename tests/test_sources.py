@@ -33,16 +33,56 @@ def test_batch_metadata_and_label(spark):
 
 
 def test_table_name_from_conf(spark):
-    spark.conf.set("pipelines.catalog", "main")
-    spark.conf.set("pipelines.target", "windmill_iot")
+    spark.conf.set("gustline.catalog", "main")
+    spark.conf.set("gustline.schema", "windmill_iot")
     try:
         assert tables.table_name(spark, "raw_sensor_data") == "main.windmill_iot.raw_sensor_data"
     finally:
-        spark.conf.unset("pipelines.catalog")
-        spark.conf.unset("pipelines.target")
+        spark.conf.unset("gustline.catalog")
+        spark.conf.unset("gustline.schema")
 
 
 def test_jdbc_options_without_connecting():
     t = jdbc.JdbcTarget("jdbc:postgresql://db/x", user="u", password="p")
     o = t.options(dbtable="turbine_monitoring")
     assert o["url"].startswith("jdbc:postgresql") and o["user"] == "u" and o["dbtable"] == "turbine_monitoring"
+
+
+def test_operational_tables_keep_limits_defaults_and_required_columns(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from gustline.schemas import VARCHAR_LIMITS
+
+    log, tickets = tables.create_operational_tables(spark, prefix="t_")
+    try:
+        now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+        row = spark.createDataFrame([("T1", "Open")], "turbine_id string, ticket_status string")
+        tables.append_operational(row, log, MONITORING_SCHEMA, now=now)
+        r = spark.table(log).first()
+        assert (r.turbine_id, r.maintenance_alerts_count, r.ticket_filed) == ("T1", 0, False)
+        assert r.created_at == r.updated_at == dt.datetime(2024, 1, 1)
+        long = row.withColumn("ticket_status", F.lit("x" * (VARCHAR_LIMITS["ticket_status"] + 1)))
+        with pytest.raises(PySparkException):
+            tables.append_operational(long, log, MONITORING_SCHEMA, now=now)
+        with pytest.raises(PySparkException, match="must not be NULL"):
+            tables.append_operational(row.withColumn("turbine_id", F.lit(None).cast("string")), log, MONITORING_SCHEMA)
+        assert spark.table(log).count() == 1 and spark.table(tickets).count() == 0
+    finally:
+        for t in (log, tickets):
+            spark.sql(f"DROP TABLE {t}")
+
+
+def test_replayed_batch_adds_only_missing_rows(spark):
+    """What the JDBC writer appends on a first, a partial and a whole replay."""
+    batch = spark.createDataFrame([("T1", 1), ("T2", 2), (None, 3)], "turbine_id string, n int")
+    keys = ("turbine_id", "n")
+    assert jdbc.missing_rows(batch, batch.limit(0), keys).count() == 3
+    assert jdbc.missing_rows(batch, batch.filter("n <> 2"), keys).collect() == [("T2", 2)]
+    assert jdbc.missing_rows(batch, batch, keys).count() == 0
+
+
+def test_jdbc_partitioned_options():
+    t = jdbc.JdbcTarget("jdbc:postgresql://db/x", driver=None)
+    o = t.options(dbtable="t", partitionColumn="id", lowerBound="0", upperBound="9", numPartitions="3")
+    assert o["partitionColumn"] == "id" and "driver" not in o and "user" not in o
