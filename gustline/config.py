@@ -89,8 +89,28 @@ class Thresholds:
     # SLA
     sla_compliant_pct: float = 95.0
     sla_warning_pct: float = 90.0
-    # dispatch
+    # dispatch score: (bound, score) of each branch, and the weights of the last one
     alerts_for_dispatch: int = 5
+    critical_priority: int = 5
+    critical_score: int = 100
+    high_risk: float = 70.0
+    high_risk_score: int = 85
+    breach_score: int = 80
+    alerts_score: int = 75
+    poor_health: float = 50.0
+    poor_health_score: int = 70
+    low_uptime_score: int = 65
+    priority_weight: float = 10.0
+    risk_weight: float = 0.3
+    # recommended action by dispatch score, else by risk
+    immediate_score: float = 90.0
+    scheduled_score: float = 75.0
+    monitoring_score: float = 60.0
+    predictive_risk: float = 50.0
+    # SLA tiers
+    tier_excellent_pct: float = 98.0
+    tier_good_pct: float = 95.0
+    tier_acceptable_pct: float = 90.0
     # fault detection (classification of raw readings)
     gearbox_overheat_c: float = 80.0
     generator_overheat_c: float = 75.0

@@ -9,7 +9,7 @@ to the next branch.
 
 from __future__ import annotations
 
-from functools import reduce, wraps
+from functools import wraps
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -158,21 +158,22 @@ def dispatch_priority(max_priority="max_priority", risk="degradation_risk_score"
                       avg_priority="avg_priority", t: Thresholds = _T) -> Column:
     """Ordered dispatch score (F13); DOUBLE."""
     return _case([
-        (_c(max_priority) >= 5, F.lit(100)),
-        (_c(risk) >= 70, F.lit(85)),
-        (_c(sla) == C.SLA_BREACH, F.lit(80)),
-        (_c(alerts) >= t.alerts_for_dispatch, F.lit(75)),
-        (_c(avg_health) < 50, F.lit(70)),
-        (_c(uptime) < t.sla_warning_pct, F.lit(65)),
-    ], F.greatest(_c(avg_priority) * 10, _c(risk) * 0.3)).cast("double")
+        (_c(max_priority) >= t.critical_priority, F.lit(t.critical_score)),
+        (_c(risk) >= t.high_risk, F.lit(t.high_risk_score)),
+        (_c(sla) == C.SLA_BREACH, F.lit(t.breach_score)),
+        (_c(alerts) >= t.alerts_for_dispatch, F.lit(t.alerts_score)),
+        (_c(avg_health) < t.poor_health, F.lit(t.poor_health_score)),
+        (_c(uptime) < t.sla_warning_pct, F.lit(t.low_uptime_score)),
+    ], F.greatest(_c(avg_priority) * t.priority_weight, _c(risk) * t.risk_weight)).cast("double")
 
 
 @reusable
-def recommended_action(score="dispatch_priority_score", risk="degradation_risk_score") -> Column:
+def recommended_action(score="dispatch_priority_score", risk="degradation_risk_score",
+                       t: Thresholds = _T) -> Column:
     s = _c(score)
-    return _case([(s >= 90, F.lit(C.ACT_IMMEDIATE)), (s >= 75, F.lit(C.ACT_SCHEDULED)),
-                  (s >= 60, F.lit(C.ACT_MONITORING)),
-                  (_c(risk) >= 50, F.lit(C.ACT_PREDICTIVE))], F.lit(C.ACT_ROUTINE))
+    return _case([(s >= t.immediate_score, F.lit(C.ACT_IMMEDIATE)), (s >= t.scheduled_score, F.lit(C.ACT_SCHEDULED)),
+                  (s >= t.monitoring_score, F.lit(C.ACT_MONITORING)),
+                  (_c(risk) >= t.predictive_risk, F.lit(C.ACT_PREDICTIVE))], F.lit(C.ACT_ROUTINE))
 
 
 @reusable
@@ -188,10 +189,10 @@ def rate_pct(part, total) -> Column:
 
 
 @reusable
-def performance_tier(rate="sla_compliance_rate") -> Column:
+def performance_tier(rate="sla_compliance_rate", t: Thresholds = _T) -> Column:
     r = _c(rate)
-    return _case([(r >= 98, F.lit("EXCELLENT")), (r >= 95, F.lit("GOOD")),
-                  (r >= 90, F.lit("ACCEPTABLE"))], F.lit("POOR"))
+    return _case([(r >= t.tier_excellent_pct, F.lit("EXCELLENT")), (r >= t.tier_good_pct, F.lit("GOOD")),
+                  (r >= t.tier_acceptable_pct, F.lit("ACCEPTABLE"))], F.lit("POOR"))
 
 
 @reusable
@@ -241,14 +242,16 @@ LEVEL_BY_CODE = {
 
 @reusable
 def alert_level(code="fault_code") -> Column:
-    """CRITICAL / WARNING by code, INFO for any other code, NORMAL without one.
+    """CRITICAL / WARNING by code, INFO for any other code (the empty one too),
+    NORMAL for NULL (F23).
 
     A map lookup references the code once, so a filter on the level that
     Catalyst pushes through the projection does not copy the (possibly
-    large) code expression several times.
+    large) code expression several times; NULL is looked up as a NUL
+    character, which is no fault code.
     """
-    pairs = [F.lit(x) for kv in LEVEL_BY_CODE.items() for x in kv] + [F.lit(""), F.lit(C.LEVEL_NORMAL)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(_c(code), F.lit(""))),
+    pairs = [F.lit(x) for kv in {**LEVEL_BY_CODE, "\0": C.LEVEL_NORMAL}.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(_c(code), F.lit("\0"))),
                       F.lit(C.LEVEL_INFO))
 
 
@@ -327,12 +330,3 @@ def to_time(col, fmt: str | None = None) -> Column:
     """String (or any) value to TIMESTAMP (F36); NULL when it does not parse."""
     c = _c(col)
     return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
-
-
-@reusable
-def turbine_label(n) -> Column:
-    return F.format_string("TURBINE_%05d", _c(n))
-
-
-def all_of(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)

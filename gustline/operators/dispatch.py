@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from gustline import config as C
 from gustline.schemas import MONITORING_COLUMNS, MONITORING_SCHEMA, TICKET_COLUMNS
 
-
-
 def queue_latest():
     """Order that picks the most recent, most urgent queue row of a turbine."""
     return (F.col("alert_generated_timestamp").desc(), F.col("dispatch_priority_score").desc(),
@@ -54,8 +52,9 @@ def empty_log(spark: SparkSession) -> DataFrame:
 
 
 def latest_log_rows(log: DataFrame) -> DataFrame:
-    """Latest row(s) per turbine by ``updated_at``; ties all kept."""
-    return latest_per_key(log, ["turbine_id"], [F.col("updated_at").desc()], ties=True)
+    """Latest row(s) per turbine by ``updated_at``; ties all kept, rows without
+    a turbine match nothing (J1, A23)."""
+    return latest_per_key(log.filter(F.col("turbine_id").isNotNull()), ["turbine_id"], [F.col("updated_at").desc()], ties=True)
 
 
 def open_turbines(log: DataFrame) -> DataFrame:
@@ -129,6 +128,10 @@ def fmt_num(col, dp: int) -> Column:
     return snap(col, dp).cast("string")
 
 
+def _or_na(text: Column) -> Column:
+    return F.coalesce(text, F.lit("n/a"))
+
+
 _ISSUE = {
     C.CAT_THERMAL: "Thermal fault: inspect gearbox and cooling systems.",
     C.CAT_MECHANICAL: "Mechanical fault: inspect bearings and drive train for vibration sources.",
@@ -139,39 +142,41 @@ _ISSUE = {
 
 
 def health_report(status: DataFrame) -> DataFrame:
-    """Add ``report``: a fixed-layout health text from a gold row."""
-    g = F.col
-    issue = F.coalesce(*[F.when(g("fault_category") == k, F.lit(v)) for k, v in _ISSUE.items()],
+    """Add ``report``: a fixed-layout health text from a gold row.
+    A missing value reads ``n/a``; every report has all lines."""
+    def text(name: str) -> Column:
+        return _or_na(F.col(name).cast("string"))
+
+    def num(name: str, dp: int) -> Column:
+        return _or_na(fmt_num(name, dp))
+
+    def line(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    issue = F.coalesce(*[F.when(F.col("fault_category") == k, F.lit(v)) for k, v in _ISSUE.items()],
                        F.lit("No fault reported."))
     lines = [
-        F.concat(F.lit("Turbine Health Report - "), g("turbine_id")),
-        F.concat(F.lit("Time: "), F.date_format("window_end", "yyyy-MM-dd HH:mm"), F.lit(" UTC")),
-        F.concat(g("fault_category"), F.lit(" - Priority "), g("max_priority").cast("string"),
-                 F.lit("/5 | Dispatch Score: "), fmt_num("dispatch_priority_score", 1),
-                 F.lit("/100 | SLA: "), g("sla_compliance")),
-        F.concat(F.lit("Health Score: "), fmt_num("avg_health_score", 1), F.lit("/100 (min: "),
-                 g("min_health_score").cast("string"), F.lit(") | Degradation Risk: "),
-                 fmt_num("degradation_risk_score", 1), F.lit("/100")),
-        F.concat(F.lit("Uptime: "), fmt_num("uptime_percentage", 1), F.lit("% | Stopped: "),
-                 g("stopped_count").cast("string"), F.lit("/"), g("total_readings").cast("string"),
-                 F.lit(" readings")),
-        F.concat(F.lit("Power Output: "), fmt_num("avg_power_output_kw", 1), F.lit(" kW avg ("),
-                 fmt_num("total_power_output_kw", 1), F.lit(" kW total) | Efficiency: "),
-                 fmt_num("avg_power_efficiency", 1)),
-        F.concat(F.lit("Wind Speed: "), fmt_num("avg_wind_speed", 1), F.lit(" m/s | Rotor RPM: "),
-                 fmt_num("avg_rotor_rpm", 2)),
-        F.concat(F.lit("Temp Differential: "), fmt_num("avg_temp_differential", 1),
-                 F.lit(" C | Gearbox Temp SD: "),
-                 F.coalesce(fmt_num("gearbox_temp_variance", 1), F.lit("n/a"))),
-        F.concat(F.lit("Vibration: "), fmt_num("max_vibration", 2), F.lit(" max (SD: "),
-                 F.coalesce(fmt_num("vibration_variance", 2), F.lit("n/a")), F.lit(")")),
-        F.concat(F.lit("Oil Pressure: "), fmt_num("min_oil_pressure", 1), F.lit(" bar (minimum)")),
-        F.concat(F.lit("Maintenance Alerts: "), g("maintenance_alerts_count").cast("string"),
-                 F.lit(" over "), fmt_num("window_duration_minutes", 1), F.lit(" minutes")),
-        F.concat(F.lit("Action Required: "), g("recommended_action"), F.lit(" - Maintenance window: "),
-                 g("estimated_maintenance_window_days").cast("string"), F.lit(" days")),
-        F.concat(F.lit("Location: "), fmt_num("turbine_lat", 2), F.lit(", "), fmt_num("turbine_lon", 2)),
-        F.concat(F.lit("Issue: "), issue),
+        line("Turbine Health Report - ", text("turbine_id")),
+        line("Time: ", _or_na(F.date_format("window_end", "yyyy-MM-dd HH:mm")), " UTC"),
+        line(text("fault_category"), " - Priority ", text("max_priority"), "/5 | Dispatch Score: ",
+             num("dispatch_priority_score", 1), "/100 | SLA: ", text("sla_compliance")),
+        line("Health Score: ", num("avg_health_score", 1), "/100 (min: ", text("min_health_score"),
+             ") | Degradation Risk: ", num("degradation_risk_score", 1), "/100"),
+        line("Uptime: ", num("uptime_percentage", 1), "% | Stopped: ", text("stopped_count"), "/",
+             text("total_readings"), " readings"),
+        line("Power Output: ", num("avg_power_output_kw", 1), " kW avg (", num("total_power_output_kw", 1),
+             " kW total) | Efficiency: ", num("avg_power_efficiency", 1)),
+        line("Wind Speed: ", num("avg_wind_speed", 1), " m/s | Rotor RPM: ", num("avg_rotor_rpm", 2)),
+        line("Temp Differential: ", num("avg_temp_differential", 1), " C | Gearbox Temp SD: ",
+             num("gearbox_temp_variance", 1)),
+        line("Vibration: ", num("max_vibration", 2), " max (SD: ", num("vibration_variance", 2), ")"),
+        line("Oil Pressure: ", num("min_oil_pressure", 1), " bar (minimum)"),
+        line("Maintenance Alerts: ", text("maintenance_alerts_count"), " over ", num("window_duration_minutes", 1),
+             " minutes"),
+        line("Action Required: ", text("recommended_action"), " - Maintenance window: ",
+             text("estimated_maintenance_window_days"), " days"),
+        line("Location: ", num("turbine_lat", 2), ", ", num("turbine_lon", 2)),
+        line("Issue: ", issue),
     ]
     return status.withColumn("report", F.concat_ws("\n", *lines))
 
@@ -208,13 +213,14 @@ def ticket_id(turbine: Column, at: Column) -> Column:
 
 
 def file_tickets(log: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """File a ticket for every turbine whose latest log row is 'Need to File' (R8).
+    """File a ticket for every turbine whose latest log row is 'Need to File' (R8);
+    rows without a turbine are left alone.
 
     Returns (ticket rows, log rows to append).  The appended row copies the
     latest row, sets status 'Open', the action 'filed a ticket', the new
     ticket id and ``ticket_filed = true``.
     """
-    todo = (latest_per_key(log, ["turbine_id"], log_latest())
+    todo = (latest_per_key(log.filter(F.col("turbine_id").isNotNull()), ["turbine_id"], log_latest())
             .filter(F.col("ticket_status") == C.TICKET_NEED_TO_FILE))
     tid = ticket_id(F.col("turbine_id"), at)
     tickets = todo.select(
@@ -234,9 +240,3 @@ def file_tickets(log: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
         "updated_at": at,
     }).select(*MONITORING_COLUMNS)
     return tickets, appended
-
-
-def agent_cycle(queue: DataFrame, gold: DataFrame, log: DataFrame, at: Column,
-                min_alerts: int = 5, file_above: int = 5) -> DataFrame:
-    """One decision round: the log rows it appends (R5 + R9)."""
-    return monitoring_rows(dispatch_decisions(queue, log, min_alerts, file_above), gold, at)

@@ -31,10 +31,10 @@ def window_aggregates(silver: DataFrame, cfg: PipelineConfig = C.DEFAULT,
     """
     ts = cfg.time_column
     t = F.col
+    # The output names and the statistic behind each.
     aggs = [
         F.count(F.lit(1)).alias("total_readings"),
-        F.sum(F.when(t("maintenance_needed") == True, 1).otherwise(0))  # noqa: E712
-        .cast("long").alias("maintenance_alerts_count"),
+        F.count_if(t("maintenance_needed")).alias("maintenance_alerts_count"),
         F.max("maintenance_priority").alias("max_priority"),
         F.avg("maintenance_priority").alias("avg_priority"),
         F.avg("health_score").alias("avg_health_score"),
@@ -77,7 +77,7 @@ def score_windows(agg: DataFrame, processing_time: Column | None = None,
     })
     s2 = s1.withColumn("sla_compliance", R.sla_label(t=th))
     s3 = s2.withColumn("dispatch_priority_score", R.dispatch_priority(t=th))
-    s4 = s3.withColumn("recommended_action", R.recommended_action())
+    s4 = s3.withColumn("recommended_action", R.recommended_action(t=th))
     return s4.withColumns({
         "estimated_maintenance_window_days": R.maintenance_window_days(),
         "alert_generated_timestamp": processing_time if processing_time is not None

@@ -18,6 +18,7 @@ def sla_performance(gold: DataFrame) -> DataFrame:
     Averages are over window rows (averages of window averages), not
     reading-weighted.  One hash aggregate with partial combine.
     """
+    # The output names and the statistic behind each.
     agg = gold.groupBy(*SLA_KEYS).agg(
         F.avg("uptime_percentage").alias("avg_uptime_percentage"),
         F.min("uptime_percentage").alias("min_uptime_percentage"),
@@ -59,11 +60,6 @@ def dispatch_queue(gold: DataFrame, ordered: bool = True) -> DataFrame:
     return queue
 
 
-def equipment_list(queue: DataFrame) -> DataFrame:
-    """Equipment string as an array of items (F20 array form)."""
-    return queue.withColumn("equipment_items", F.split("equipment_required", ","))
-
-
 # --- incremental SLA rollup --------------------------------------------------------
 # The SLA view's averages are plain means over window rows, so they can be
 # kept as mergeable partials (sums, counts, min, max) and updated with only

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustline.functions import quality as Q
+from gustline.functions import rules as R
 from gustline.operators import dispatch as D
 from gustline.operators import gold as G
 from gustline.operators import reporting as RP
@@ -27,7 +28,7 @@ from gustline.plans import medallion as M
 from gustline.plans import oracle as O
 from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
 from gustline.session import prepare, shared_path
-from gustline.sources import fixtures
+from gustline.sources import fixtures, tables
 from gustline.streaming import medallion as SM
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -104,7 +105,14 @@ def silver_readings(spark, sf_dir):
 def silver_deterministic_dedup(spark, sf_dir):
     """Silver with the partition-independent dedup survivor."""
     bronze = layers(spark, sf_dir).bronze
-    return present(S.clean_readings(bronze, M.as_of(), deterministic=True))
+    return present(S.clean_readings(bronze, M.as_of(), keep="smallest"))
+
+
+@register("silver_latest_dedup", O.with_layers("silver_latest", "SELECT * FROM silver"))
+def silver_latest_dedup(spark, sf_dir):
+    """Silver from deliveries that differ, of which the newest is kept."""
+    bronze = S.to_bronze(fixtures.revised_readings(spark, sf_dir))
+    return present(S.clean_readings(bronze, M.as_of(), keep="latest"))
 
 
 _RULES_SQL = (
@@ -164,8 +172,9 @@ def dispatch_queue(spark, sf_dir):
 
 
 # --- dispatch flow --------------------------------------------------------------
-# Cycle 1 decides at T1 on the whole queue with an empty log, tickets are filed
-# at T2, and cycle 2 decides at T3 against the resulting log.
+# Cycle 1 decides at T1 on the whole queue with an empty log; its rows join those
+# of earlier rounds (``fixtures.seed_log``), tickets are filed at T2, and cycle 2
+# decides against the resulting log.
 T1, T2 = "2024-02-01 00:00:00", "2024-02-01 00:05:00"
 LOG_COLS = tuple(c for c in MONITORING_COLUMNS if c != "id")
 TICKET_OUT_COLS = tuple(c for c in TICKET_COLUMNS if c != "id")
@@ -184,14 +193,16 @@ class DispatchFlow:
 
 
 def dispatch_flow(spark: SparkSession, sf_dir: str) -> DispatchFlow:
-    # Gold feeds four branches of this plan: stage it once.
+    # Gold feeds two branches: stage it once. The candidates (one row per
+    # turbine) and the first round's log rows feed both rounds: stage them too.
     gold = M.stage(layers(spark, sf_dir).gold, "gold_alerts")
-    queue = V.dispatch_queue(gold, ordered=False)
+    queue = M.stage(D.dispatch_candidates(V.dispatch_queue(gold, ordered=False)), "dispatch_candidates")
     t1, t2 = M.as_of(T1), M.as_of(T2)
     d1 = D.dispatch_decisions(queue, D.empty_log(spark))
-    m1 = D.monitoring_rows(d1, gold, t1)
-    tickets, m2 = D.file_tickets(m1, t2)
-    log = m1.unionByName(m2)
+    m1 = M.stage(D.monitoring_rows(d1, gold, t1), "log_rows")
+    earlier = m1.unionByName(fixtures.seed_log(fixtures.load_events(spark, sf_dir)))
+    tickets, m2 = D.file_tickets(earlier, t2)
+    log = earlier.unionByName(m2)
     d2 = D.dispatch_decisions(queue, log)
     return DispatchFlow(queue, gold, d1, m1, tickets, log, d2)
 
@@ -284,6 +295,13 @@ def latest_turbine_status(spark, sf_dir):
     return present(D.latest_status(layers(spark, sf_dir).gold), GOLD_DOUBLES)
 
 
+@register("turbine_status", _dsql(
+    f"SELECT * EXCLUDE (report) REPLACE ({O.r6(*GOLD_DOUBLES)}) FROM reports WHERE turbine_id = 'TURBINE_00007'"))
+def turbine_status(spark, sf_dir):
+    """Latest gold window of one turbine (P13 key lookup)."""
+    return present(D.turbine_status(layers(spark, sf_dir).gold, "TURBINE_00007"), GOLD_DOUBLES)
+
+
 @register("health_reports", _dsql("SELECT turbine_id, report FROM reports"))
 def health_reports(spark, sf_dir):
     """Fixed-layout health report per turbine from its latest window."""
@@ -342,11 +360,12 @@ FROM (
             CAST(sum(fault_count) OVER w AS BIGINT) AS total_faults
   FROM (SELECT batch_id, min(ingestion_timestamp) AS batch_time, count(*) AS record_count,
                count(CASE WHEN fault_code IS NOT NULL THEN 1 END) AS fault_count FROM raw GROUP BY batch_id)
-  WINDOW w AS (ORDER BY batch_time, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  WINDOW w AS (ORDER BY batch_time NULLS FIRST, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )"""))
 def cumulative_fault_rate(spark, sf_dir):
     """Running record/fault totals and fault rate over batches."""
-    return present(RP.cumulative_fault_rate(fixtures.raw_readings(spark, sf_dir)), ("fault_rate_pct",))
+    per_batch = M.stage(RP.batch_summary(fixtures.raw_readings(spark, sf_dir)), "batch_summary")
+    return present(RP.cumulative_fault_rate(per_batch), ("fault_rate_pct",))
 
 
 @register("silver_kpis", O.with_layers("silver", f"""
@@ -364,15 +383,48 @@ def alert_level_distribution(spark, sf_dir):
     return RP.level_distribution(layers(spark, sf_dir).silver)
 
 
-@register("recent_readings", O.with_layers("silver", """
+_RECENT_SQL = """
 SELECT event_timestamp AS "timestamp", turbine_id, power_output_kw AS power_output,
        wind_speed_ms AS wind_speed, nacelle_temp_c AS temperature, alert_level, ingestion_timestamp
 FROM silver
-WHERE event_timestamp >= (SELECT max(event_timestamp) FROM silver) - INTERVAL 1 HOUR
-ORDER BY "timestamp" DESC, ingestion_timestamp DESC, turbine_id LIMIT 1000"""))
+WHERE event_timestamp >= (SELECT max(event_timestamp) FROM silver) - INTERVAL {hours} HOUR
+ORDER BY "timestamp" DESC, ingestion_timestamp DESC, turbine_id LIMIT 1000"""
+
+
+def stored_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver as a stored table, as the dashboard reads it: the newest time and
+    the rows since then come from the files, not from the whole plan twice."""
+    return M.stage(layers(spark, sf_dir).silver, "silver")
+
+
+@register("recent_readings", O.with_layers("silver", _RECENT_SQL.format(hours=1)))
 def recent_readings(spark, sf_dir):
     """Last hour of readings before the newest one, newest first, cap 1000 (P10, O2)."""
-    return present(RP.recent_readings(layers(spark, sf_dir).silver))
+    return present(RP.recent_readings(stored_silver(spark, sf_dir)))
+
+
+@register("power_over_time", O.with_layers("silver", f"""
+SELECT turbine_id, "timestamp", power_output FROM ({_RECENT_SQL.format(hours=24)})"""))
+def power_over_time(spark, sf_dir):
+    """Power by turbine and time over the last day, for a line per turbine."""
+    return present(RP.power_over_time(RP.recent_readings(stored_silver(spark, sf_dir), hours=24)))
+
+
+@register("wind_vs_power", O.with_layers("silver", f"""
+SELECT wind_speed, power_output, alert_level FROM ({_RECENT_SQL.format(hours=24)})"""))
+def wind_vs_power(spark, sf_dir):
+    """Wind speed against power with alert levels over the last day."""
+    return present(RP.wind_vs_power(RP.recent_readings(stored_silver(spark, sf_dir), hours=24)))
+
+
+@register("kpi_summary", O.with_layers("silver", f"""
+SELECT * FROM (SELECT count(*) AS total_records, max("timestamp") AS latest_timestamp FROM raw),
+  (SELECT count(*) AS processed_records, {O.sround("coalesce(avg(power_output_kw), 0.0e0)", 6)} AS avg_power,
+          count(CASE WHEN alert_level = 'CRITICAL' THEN 1 END) AS high_alerts FROM silver)"""))
+def kpi_summary(spark, sf_dir):
+    """Raw freshness and silver KPIs in one row."""
+    lay = layers(spark, sf_dir)
+    return present(RP.kpi_summary(lay.raw, lay.silver), ("avg_power",))
 
 
 @register("latest_readings", O.with_layers("raw", """
@@ -432,21 +484,112 @@ def power_curve_levels(spark, sf_dir):
                               "nacelle_temp_c", "curve_power_kw", "power_temperature_level"),
                    ("curve_power_kw",))
 
-# --- streaming chain -------------------------------------------------------------
-_STREAM_RUNS: dict[tuple[int, str], SM.StreamLayout] = {}
+# --- pipeline run listing ----------------------------------------------------------
+
+_RUNS_CTE = """runs AS (
+  SELECT CAST(event_id AS VARCHAR) AS id,
+    CASE (event_id // 50) % 3 WHEN 0 THEN 'Windmill-pipeline-' WHEN 1 THEN 'fleet_WINDMILL_' ELSE 'other-' END
+      || (event_id // 50) AS name,
+    CASE (event_id // 50) % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'IDLE' WHEN 2 THEN '' WHEN 3 THEN 'update_running' END
+      AS state, 'main' AS catalog, 'user' || user_id || '@example.org' AS target,
+    CASE WHEN (event_id // 50) % 7 = 0 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS last_modified
+  FROM events WHERE event_id % 50 = 1
+), listed AS (
+  SELECT * REPLACE (coalesce(nullif(state, ''), 'UNKNOWN') AS state) FROM runs WHERE lower(name) LIKE '%windmill%'
+)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.pipeline_runs(fixtures.load_events(spark, sf_dir))
+
+
+@register("pipeline_listing", f"""WITH {_RUNS_CTE}
+SELECT id, name, state, split_part(target, '@', 1) AS owner,
+       try_strptime(last_modified, '%Y-%m-%d %H:%M:%S') AS modified_at FROM listed""")
+def pipeline_listing(spark, sf_dir):
+    """Runs matching a name, with state, owner and time."""
+    return present(RP.list_pipelines(runs(spark, sf_dir)).select(
+        "id", "name", "state", R.short_name("target").alias("owner"),
+        R.to_time("last_modified", "yyyy-MM-dd HH:mm:ss").alias("modified_at")))
+
+
+@register("pipeline_listing_capped", f"""WITH {_RUNS_CTE}
+SELECT least(count(*), 5) AS listed FROM listed""")
+def pipeline_listing_capped(spark, sf_dir):
+    """How many runs a listing capped at 5 shows; the cap is off by default."""
+    return RP.list_pipelines(runs(spark, sf_dir), cap=5).agg(F.count(F.lit(1)).alias("listed"))
+
+
+@register("pipeline_status", f"""WITH {_RUNS_CTE}
+SELECT count(*) AS total_pipelines_jobs, count(CASE WHEN upper(state) LIKE '%RUNNING%' THEN 1 END) AS active,
+       count(CASE WHEN upper(state) NOT LIKE '%RUNNING%' THEN 1 END) AS idle FROM listed""")
+def pipeline_status(spark, sf_dir):
+    """Listed, active and idle runs."""
+    return RP.pipeline_status(runs(spark, sf_dir))
+
+
+# --- catalog tables ----------------------------------------------------------------
+
+@register("batches_in_table", O.with_layers("raw", """
+SELECT printf('batch_%s_%06d', strftime(TIMESTAMP '2024-02-01 00:00:00', '%Y%m%d_%H%M%S'), n) AS batch_id,
+       count(*) AS records, count(fault_code) AS faults, 'raw readings' AS comment, 'bronze' AS quality, 0 AS missing_rows
+FROM (SELECT fault_code, CASE WHEN fault_code IS NULL THEN 1 ELSE 2 END AS n FROM raw) GROUP BY n"""))
+def batches_in_table(spark, sf_dir):
+    """Two stamped batches appended to a catalog table that is created if absent,
+    named from the configuration, described and read back; a table that doesn't
+    exist reads as empty (S1-S4, S6, S8, S9, S14)."""
+    raw = fixtures.raw_readings(spark, sf_dir)
+    schema = f"gustline_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{shared_path(spark, 'catalog', schema)}'")
+    before = spark.conf.get("gustline.schema", None)
+    spark.conf.set("gustline.schema", schema)
+    try:
+        name = tables.table_name(spark, "raw_sensor_data")
+        absent = tables.read_table(spark, tables.table_name(spark, "no_such_table"), raw.schema).count()
+        for _ in range(2):  # the second call finds the table
+            tables.create_raw_table(spark, name, comment="raw readings", properties={"quality": "bronze"})
+        for n, part in ((1, raw.filter("fault_code IS NULL")), (2, raw.filter("fault_code IS NOT NULL"))):
+            label = tables.batch_label(M.as_of(T1), F.lit(n))
+            tables.append(tables.with_batch_metadata(part, label, M.as_of(T1)), name)
+        told = {r["key"]: r["value"] for r in tables.describe(spark, name).collect()}
+        per = tables.read_table(spark, name).groupBy("batch_id").agg(
+            F.count(F.lit(1)).alias("records"), F.count("fault_code").alias("faults"))
+        comment = spark.catalog.getTable(name).description
+        return M.stage(per.withColumns({"comment": F.lit(comment), "quality": F.lit(told.get("quality")),
+                                        "missing_rows": F.lit(absent)}), "batches")
+    finally:
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
+        if before is None:
+            spark.conf.unset("gustline.schema")
+        else:
+            spark.conf.set("gustline.schema", before)
+
 
+# --- streaming chain -------------------------------------------------------------
 
-def streamed_tables(spark: SparkSession, sf_dir: str) -> SM.StreamLayout:
+def streamed_tables(spark: SparkSession, sf_dir: str, late: bool = False) -> SM.StreamLayout:
     """Run raw -> silver -> gold as streaming queries over the fixture replayed
-    as three time-ordered file drops (a run after each); once per session and
-    ``sf_dir``."""
-    key = (id(spark), sf_dir)
-    if key not in _STREAM_RUNS:
-        raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
-        layout = SM.StreamLayout.under_shared(spark, f"medallion-{uuid.uuid4().hex}")
-        SM.replay(spark, raw, layout, drops=3, processing_time=M.as_of())
-        _STREAM_RUNS[key] = layout
-    return _STREAM_RUNS[key]
+    as three time-ordered file drops (a run after each), in a folder of its own;
+    with ``late``, the oldest readings of every turbine arrive once more under
+    new ids when the watermark has passed them."""
+    raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
+    layout = SM.StreamLayout.under_shared(spark, f"medallion-{uuid.uuid4().hex}")
+    SM.replay(spark, raw, layout, drops=3, processing_time=M.as_of())
+    if late:
+        first = raw.filter("ingestion_timestamp < TIMESTAMP '2024-01-01 00:03:00'").withColumn(
+            "turbine_id", F.concat(F.lit("LATE_"), F.col("turbine_id")))
+        first.write.mode("append").parquet(f"{layout.root}/raw")
+        SM.run_chain(spark, f"{layout.root}/raw", layout, M.as_of(), sla=True)
+    return layout
+
+
+@register("stream_late_readings", O.with_layers("silver", "SELECT count(*) AS readings, 0 AS late_readings FROM silver"))
+def stream_late_readings(spark, sf_dir):
+    """Streamed silver after readings arrived behind the watermark: all on-time
+    rows, none of the late ones (T5)."""
+    silver = spark.read.parquet(streamed_tables(spark, sf_dir, late=True).silver)
+    late = F.col("turbine_id").startswith("LATE_")
+    return silver.agg(F.count_if(~late).alias("readings"), F.count_if(late).cast("int").alias("late_readings"))
 
 
 @register("stream_silver", O.with_layers("silver", "SELECT * FROM silver"))
@@ -464,9 +607,9 @@ def stream_gold(spark, sf_dir):
 @register("sla_incremental", O.with_layers(
     "sla", f"SELECT * REPLACE ({O.r6(*SLA_DOUBLES, 'sla_compliance_rate', 'breach_rate')}) FROM sla"))
 def sla_incremental(spark, sf_dir):
-    """SLA view maintained from partials: older and newer gold windows are
-    rolled up separately, merged, then finalized (A11, incremental)."""
-    gold = layers(spark, sf_dir).gold
+    """SLA view maintained from partials: older and newer windows of the stored
+    gold table are rolled up separately, merged, then finalized (A11, incremental)."""
+    gold = M.stage(layers(spark, sf_dir).gold, "gold_alerts")
     cut = gold.select(F.percentile_approx("window_start", 0.5)).scalar()
     older = V.sla_partials(gold.filter(F.col("window_start") < cut))
     newer = V.sla_partials(gold.filter(F.col("window_start") >= cut))

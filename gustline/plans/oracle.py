@@ -29,7 +29,8 @@ RAW_CTE = f"""
 ev AS (
   SELECT event_id AS eid, user_id AS uid,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         ts AS "timestamp", event_id % 10 AS t, event_id // 10 AS b
+         ts AS "timestamp", event_id % 10 AS t, event_id // 10 AS b,
+         (event_id // 10) % 241 = 7 AS untimed
   FROM events
 ),
 s1 AS (
@@ -48,31 +49,35 @@ s2 AS (
 s3 AS (
   SELECT
     CASE WHEN eid % 211 = 0 THEN NULL WHEN eid % 223 = 0 THEN ''
-         ELSE printf('TURBINE_%05d', t) END AS turbine_id,
+         ELSE printf('TURBINE_%05d', t + 10 * (eid // 5000)) END AS turbine_id,
     "timestamp",
-    CASE WHEN eid % 227 = 0 THEN 60.0e0 ELSE w0 END AS wind_speed_ms,
+    CASE WHEN eid % 227 = 0 AND NOT untimed THEN 60.0e0 ELSE w0 END AS wind_speed_ms,
     {_h(179424673, 53, 71)} * 0.45e0 - 30 AS wind_direction_deg,
-    rpm AS rotor_rpm,
-    least(2000.0e0, rpm * rpm * 0.8e0) + ({_h(15485863, 3, 29)} - 500) / 20.3e0 AS power_output_kw,
+    CASE WHEN eid % 233 = 13 AND NOT untimed THEN NULL ELSE rpm END AS rotor_rpm,
+    CASE WHEN eid % 229 = 11 AND NOT untimed THEN NULL
+         ELSE least(2000.0e0, rpm * rpm * 0.8e0) + ({_h(15485863, 3, 29)} - 500) / 20.3e0 END AS power_output_kw,
     nac AS nacelle_temp_c,
     nac + 15 + ({_h(32452843, 19, 2)} - 500) / 101
-      + CASE WHEN (eid * 17 + k) % 20 = 0 THEN 40 ELSE 0 END AS gearbox_temp_c,
+      + CASE WHEN eid % 239 = 17 AND NOT untimed THEN 200 WHEN (eid * 17 + k) % 20 = 0 THEN 40 ELSE 0 END
+      AS gearbox_temp_c,
     nac + 10 + ({_h(49979687, 23, 41)} - 500) / 127
       + CASE WHEN (eid * 19 + k) % 33 = 0 THEN 35 ELSE 0 END AS generator_temp_c,
-    0.5e0 + rpm * 0.02e0 + ({_h(67867967, 29, 43)} - 500) / 3331
-      + CASE WHEN t = 7 OR (eid * 23 + k) % 12 = 0 THEN {_h(86028121, 31, 47)} / 450 ELSE 0 END
+    CASE WHEN eid % 257 = 23 AND NOT untimed THEN -1.0e0
+         ELSE 0.5e0 + rpm * 0.02e0 + ({_h(67867967, 29, 43)} - 500) / 3331
+           + CASE WHEN t = 7 OR (eid * 23 + k) % 12 = 0 THEN {_h(86028121, 31, 47)} / 450 ELSE 0 END END
       AS vibration_ms2,
     45 + ({_h(104395301, 37, 53)} - 500) / 125.7e0
       - CASE WHEN (eid * 29 + k) % 16 = 0 THEN {_h(122949823, 41, 59)} / 66 ELSE 0 END
       AS oil_pressure_bar,
-    180 + {_h(198491317, 59, 73)} / 25.3e0 AS brake_pressure_bar,
+    CASE WHEN eid % 251 = 19 AND NOT untimed THEN 400.0e0
+         ELSE 180 + {_h(198491317, 59, 73)} / 25.3e0 END AS brake_pressure_bar,
     CASE WHEN w0 > 15 THEN 15 + (w0 - 15) * 2 ELSE 0.0e0 END AS pitch_angle_deg,
     {_h(179424673, 53, 71)} * 0.45e0 - 30 AS yaw_angle_deg,
     CASE WHEN (eid * 31 + k) % 50 = 0 THEN {_h(141650939, 43, 61)} / 500
          ELSE ({_h(160481183, 47, 67)} - 500) / 1250 END AS tower_lean_deg,
-    32.0e0 + t / 100.0e0 AS location_lat,
+    CASE WHEN eid % 263 = 29 AND NOT untimed THEN 95.0e0 ELSE 32.0e0 + t / 100.0e0 END AS location_lat,
     -101.5e0 + t / 100.0e0 AS location_lon,
-    make_timestamp((1704067200 + b * 15) * 1000000) AS ingestion_timestamp,
+    CASE WHEN untimed THEN NULL ELSE make_timestamp((1704067200 + b * 15) * 1000000) END AS ingestion_timestamp,
     printf('batch_%06d', b) AS batch_id,
     eid
   FROM s2
@@ -106,6 +111,23 @@ raw AS (
   SELECT * EXCLUDE (eid) FROM labelled WHERE eid % 50 = 0
 )"""
 
+# The raw table with a differing second delivery of some readings, and the
+# bronze table in which the latest delivery of a key has won.
+REVISED_CTE = """
+revised AS (
+  SELECT * EXCLUDE (eid) FROM labelled
+  UNION ALL
+  SELECT * EXCLUDE (eid) FROM labelled WHERE eid % 50 = 0
+  UNION ALL
+  SELECT * EXCLUDE (eid) REPLACE ("timestamp" + INTERVAL 1 SECOND AS "timestamp",
+                                  power_output_kw + 7 AS power_output_kw)
+  FROM labelled WHERE eid % 40 = 9
+),
+bronze AS (
+  SELECT * RENAME ("timestamp" AS event_timestamp) FROM revised
+  QUALIFY row_number() OVER (PARTITION BY turbine_id, ingestion_timestamp ORDER BY "timestamp" DESC) = 1
+)"""
+
 BRONZE_CTE = """
 bronze AS (
   SELECT * RENAME ("timestamp" AS event_timestamp) FROM raw
@@ -309,6 +331,7 @@ LAYERS = {
     "raw": [RAW_CTE],
     "bronze": [RAW_CTE, BRONZE_CTE],
     "silver": [RAW_CTE, BRONZE_CTE, SILVER_CTE],
+    "silver_latest": [RAW_CTE, REVISED_CTE, SILVER_CTE],
     "gold": [RAW_CTE, BRONZE_CTE, SILVER_CTE, GOLD_CTE],
     "sla": [RAW_CTE, BRONZE_CTE, SILVER_CTE, GOLD_CTE, SLA_CTE],
     "queue": [RAW_CTE, BRONZE_CTE, SILVER_CTE, GOLD_CTE, QUEUE_CTE],
@@ -338,6 +361,10 @@ def fmt(col: str, dp: int) -> str:
     return f"CAST({snap(col, dp)} AS VARCHAR)"
 
 
+def na(text: str) -> str:
+    return f"coalesce({text}, 'n/a')"
+
+
 REPORT_CTE = f"""
 latest_status AS (
   SELECT * FROM gold
@@ -346,27 +373,26 @@ latest_status AS (
 ),
 reports AS (
   SELECT *, concat_ws(chr(10),
-    'Turbine Health Report - ' || turbine_id,
-    'Time: ' || strftime(window_end, '%Y-%m-%d %H:%M') || ' UTC',
-    fault_category || ' - Priority ' || CAST(max_priority AS VARCHAR) || '/5 | Dispatch Score: '
-      || {fmt('dispatch_priority_score', 1)} || '/100 | SLA: ' || sla_compliance,
-    'Health Score: ' || {fmt('avg_health_score', 1)} || '/100 (min: ' || CAST(min_health_score AS VARCHAR)
-      || ') | Degradation Risk: ' || {fmt('degradation_risk_score', 1)} || '/100',
-    'Uptime: ' || {fmt('uptime_percentage', 1)} || '% | Stopped: ' || CAST(stopped_count AS VARCHAR)
-      || '/' || CAST(total_readings AS VARCHAR) || ' readings',
-    'Power Output: ' || {fmt('avg_power_output_kw', 1)} || ' kW avg (' || {fmt('total_power_output_kw', 1)}
-      || ' kW total) | Efficiency: ' || {fmt('avg_power_efficiency', 1)},
-    'Wind Speed: ' || {fmt('avg_wind_speed', 1)} || ' m/s | Rotor RPM: ' || {fmt('avg_rotor_rpm', 2)},
-    'Temp Differential: ' || {fmt('avg_temp_differential', 1)} || ' C | Gearbox Temp SD: '
-      || coalesce({fmt('gearbox_temp_variance', 1)}, 'n/a'),
-    'Vibration: ' || {fmt('max_vibration', 2)} || ' max (SD: '
-      || coalesce({fmt('vibration_variance', 2)}, 'n/a') || ')',
-    'Oil Pressure: ' || {fmt('min_oil_pressure', 1)} || ' bar (minimum)',
-    'Maintenance Alerts: ' || CAST(maintenance_alerts_count AS VARCHAR) || ' over '
-      || {fmt('window_duration_minutes', 1)} || ' minutes',
-    'Action Required: ' || recommended_action || ' - Maintenance window: '
-      || CAST(estimated_maintenance_window_days AS VARCHAR) || ' days',
-    'Location: ' || {fmt('turbine_lat', 2)} || ', ' || {fmt('turbine_lon', 2)},
+    'Turbine Health Report - ' || {na("turbine_id")},
+    'Time: ' || {na("strftime(window_end, '%Y-%m-%d %H:%M')")} || ' UTC',
+    {na("fault_category")} || ' - Priority ' || {na("CAST(max_priority AS VARCHAR)")} || '/5 | Dispatch Score: '
+      || {na(fmt('dispatch_priority_score', 1))} || '/100 | SLA: ' || {na("sla_compliance")},
+    'Health Score: ' || {na(fmt('avg_health_score', 1))} || '/100 (min: ' || {na("CAST(min_health_score AS VARCHAR)")}
+      || ') | Degradation Risk: ' || {na(fmt('degradation_risk_score', 1))} || '/100',
+    'Uptime: ' || {na(fmt('uptime_percentage', 1))} || '% | Stopped: ' || {na("CAST(stopped_count AS VARCHAR)")}
+      || '/' || {na("CAST(total_readings AS VARCHAR)")} || ' readings',
+    'Power Output: ' || {na(fmt('avg_power_output_kw', 1))} || ' kW avg (' || {na(fmt('total_power_output_kw', 1))}
+      || ' kW total) | Efficiency: ' || {na(fmt('avg_power_efficiency', 1))},
+    'Wind Speed: ' || {na(fmt('avg_wind_speed', 1))} || ' m/s | Rotor RPM: ' || {na(fmt('avg_rotor_rpm', 2))},
+    'Temp Differential: ' || {na(fmt('avg_temp_differential', 1))} || ' C | Gearbox Temp SD: '
+      || {na(fmt('gearbox_temp_variance', 1))},
+    'Vibration: ' || {na(fmt('max_vibration', 2))} || ' max (SD: ' || {na(fmt('vibration_variance', 2))} || ')',
+    'Oil Pressure: ' || {na(fmt('min_oil_pressure', 1))} || ' bar (minimum)',
+    'Maintenance Alerts: ' || {na("CAST(maintenance_alerts_count AS VARCHAR)")} || ' over '
+      || {na(fmt('window_duration_minutes', 1))} || ' minutes',
+    'Action Required: ' || {na("recommended_action")} || ' - Maintenance window: '
+      || {na("CAST(estimated_maintenance_window_days AS VARCHAR)")} || ' days',
+    'Location: ' || {na(fmt('turbine_lat', 2))} || ', ' || {na(fmt('turbine_lon', 2))},
     'Issue: ' || CASE fault_category
       WHEN 'THERMAL' THEN 'Thermal fault: inspect gearbox and cooling systems.'
       WHEN 'MECHANICAL' THEN 'Mechanical fault: inspect bearings and drive train for vibration sources.'
@@ -420,9 +446,31 @@ def log_rows_cte(name: str, decisions: str, at: str) -> str:
 )"""
 
 
+# Log rows of earlier rounds, derived from the events.
+SEED_CTE = """
+seed AS (
+  SELECT CASE WHEN n % 11 = 10 THEN NULL ELSE printf('TURBINE_%05d', eid % 10 + 10 * (eid // 5000)) END AS turbine_id,
+    CASE n % 5 WHEN 1 THEN '' WHEN 2 THEN repeat('Seeded ticket detail ', 12) || eid
+         WHEN 3 THEN 'short ' || eid WHEN 4 THEN rpad('d', 150, 'x') END AS turbine_details_and_status,
+    CAST(n % 100 AS DECIMAL(5,2)) AS dispatch_priority_score, 'MONITORING_REQUIRED' AS recommended_action,
+    CAST(n % 9 AS INTEGER) AS maintenance_alerts_count, 'seeded' AS agent_summary,
+    'seeded' AS last_agent_action_taken, CASE WHEN st = 'Open' THEN 'TKT-SEED-' || eid END AS Ticket_ID,
+    coalesce(st = 'Open', false) AS ticket_filed, st AS ticket_status, seen AS created_at, seen AS updated_at, eid AS id
+  FROM (SELECT event_id AS eid, event_id // 97 AS n,
+               CASE (event_id // 97 + 2) % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Need to File' WHEN 2 THEN 'Closed' END AS st,
+               TIMESTAMP '2024-02-01 00:00:30' + INTERVAL 1 MINUTE * ((event_id // 97) % 3) AS seen
+        FROM events WHERE event_id % 97 = 3)
+),
+log0 AS (
+  SELECT * EXCLUDE (id), id FROM seed UNION ALL SELECT *, NULL AS id FROM m1
+)"""
+
 FILING_CTE = f"""
 todo AS (
-  SELECT * FROM m1 WHERE ticket_status = 'Need to File'
+  SELECT * EXCLUDE (id) FROM (
+    SELECT * FROM log0 WHERE turbine_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY turbine_id ORDER BY updated_at DESC, created_at DESC, id DESC) = 1)
+  WHERE ticket_status = 'Need to File'
 ),
 tickets AS (
   SELECT 'TKT-' || turbine_id || '-' || strftime({T2_SQL}, '%Y%m%d%H%M%S') AS Ticket_ID, turbine_id,
@@ -438,11 +486,11 @@ m2 AS (
   FROM todo
 ),
 log AS (
-  SELECT * FROM m1 UNION ALL SELECT * FROM m2
+  SELECT * EXCLUDE (id) FROM log0 UNION ALL SELECT * FROM m2
 )"""
 
 DISPATCH_CTES = [REPORT_CTE, CANDIDATES_CTE, decisions_cte("d1", None),
-                 log_rows_cte("m1", "d1", T1_SQL), FILING_CTE, decisions_cte("d2", "log")]
+                 log_rows_cte("m1", "d1", T1_SQL), SEED_CTE, FILING_CTE, decisions_cte("d2", "log")]
 LAYERS["dispatch"] = LAYERS["queue"] + DISPATCH_CTES
 
 # Streamed gold holds the windows the 5-minute watermark has closed: append

@@ -1,4 +1,8 @@
-"""Table contracts: schemas and closing column orders of every table."""
+"""Table contracts: schemas and closing column orders of every table.
+
+Fixed values: all column names, orders and types below are those of the tables
+that users of the pipeline already read and write.
+"""
 
 from __future__ import annotations
 
@@ -109,5 +113,5 @@ PIPELINE_RUNS_SCHEMA = T.StructType([
     T.StructField("target", _S), T.StructField("last_modified", _S),
 ])
 
-# Length limits of the operational tables' VARCHAR columns.
+# Length limits of the operational tables' VARCHAR columns.
 VARCHAR_LIMITS = {"turbine_id": 50, "Ticket_ID": 50, "ticket_status": 50}

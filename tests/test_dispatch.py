@@ -93,3 +93,28 @@ def test_queue_columns_and_no_routine(spark):
     scores = lay.gold.select(F.min("degradation_risk_score"), F.max("degradation_risk_score"),
                              F.min("avg_health_score"), F.max("avg_health_score")).first()
     assert 0 <= scores[0] <= scores[1] <= 100 and 0 <= scores[2] <= scores[3] <= 100
+
+
+def test_report_has_all_lines_without_metrics(spark):
+    from gustline.plans import medallion as M
+    status = D.latest_status(M.from_tables(spark, "/root/testdata/sf0.001", M.as_of()).gold).limit(1)
+    full = D.health_report(status).first().report.split("\n")
+    missing = status.select("turbine_id", *[F.lit(None).cast(f.dataType).alias(f.name)
+                                            for f in status.schema.fields if f.name != "turbine_id"])
+    empty = D.health_report(missing).first().report.split("\n")
+    assert len(full) == len(empty) == 14
+    assert [x for x in empty if x.startswith("Power Output")] == ["Power Output: n/a kW avg (n/a kW total) | Efficiency: n/a"]
+
+
+def test_rows_without_a_turbine_are_never_open_nor_filed(spark):
+    log = spark.createDataFrame([log_row(None, "Open", T0), log_row(None, "Need to File", T0)], MONITORING_SCHEMA)
+    assert D.open_turbines(log).count() == 0
+    assert D.file_tickets(log, F.lit("2024-02-01 00:05:00").cast("timestamp"))[0].count() == 0
+
+
+def test_one_turbine_by_key(spark):
+    from gustline.plans import medallion as M
+    gold = M.from_tables(spark, "/root/testdata/sf0.001", M.as_of()).gold
+    one = D.turbine_status(gold, "TURBINE_00003").collect()
+    assert [r.turbine_id for r in one] == ["TURBINE_00003"]
+    assert D.turbine_status(gold, "nobody").count() == 0

@@ -7,6 +7,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from gustline.operators import dispatch as D
+from gustline.plans import catalog
+from gustline.session import clear_shared
 from tests.conftest import SF_SMALL
 
 TABLES = ("events",)
@@ -36,16 +39,34 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    sdf = catalog.queries()[name](spark, SF_SMALL)
     s = pd.DataFrame([r.asDict() for r in sdf.collect()], columns=sdf.columns)
-    d = con.sql(E.oracle_sql()[name]).df()
+    d = con.sql(catalog.oracle_sql()[name]).df()
     assert rows(s) == rows(d)
+    clear_shared(spark)
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(E.queries())
+
+
+def test_ticket_flow_has_rows(spark):
+    """The filing half of the flow is not checked on empty results."""
+    flow = catalog.dispatch_flow(spark, SF_SMALL)
+    assert flow.tickets.count() > 0 and D.open_turbines(flow.log).count() > 0
+    assert flow.decisions2.count() < flow.decisions1.count()
+
+
+def test_every_quality_rule_rejects_rows(spark):
+    assert all(r.failed_records > 0 for r in catalog.quality_violations(spark, SF_SMALL).collect())
+
+
+def test_latest_delivery_differs_from_the_first(spark):
+    latest = catalog.silver_latest_dedup(spark, SF_SMALL)
+    assert latest.exceptAll(catalog.silver_readings(spark, SF_SMALL)).count() > 0
 
 
 def test_entry_smoke(spark):

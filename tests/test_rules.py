@@ -1,5 +1,7 @@
 """Golden-row tests for the scalar rules at their threshold edges."""
 
+import datetime as dt
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -39,6 +41,20 @@ def test_alert_level_by_code(spark):
         assert one(spark, lv, "fault_code string", code) == want
 
 
+def test_alert_level_of_an_empty_code_is_info(spark):
+    lv = R.alert_level()
+    assert one(spark, lv, "fault_code string", "") == "INFO"
+    assert one(spark, lv, "fault_code string", None) == "NORMAL"
+
+
+def test_text_to_time_and_user_name(spark):
+    assert one(spark, R.to_time("x"), "x string", "2024-01-02 03:04:05") == dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert one(spark, R.to_time("x", "dd.MM.yyyy"), "x string", "02.01.2024") == dt.datetime(2024, 1, 2)
+    assert one(spark, R.to_time("x"), "x string", "no time") is None
+    assert one(spark, R.short_name("x"), "x string", "a.b@example.org") == "a.b"
+
+
+
 def test_health_score_edges(spark):
     df = spark.createDataFrame(
         [("X", 5, 1.5, 30.0, 20.0), ("X", 5, 1.51, 30.1, 19.9), (None, 5, 0.1, 0.0, 50.0),
