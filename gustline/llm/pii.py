@@ -9,7 +9,10 @@ programming over the region, with segments of bounded length, chooses the
 boundaries and kinds that are best together. Atoms outside any entity score 0.
 
 Weights are learned here, by gradient ascent on the field's likelihood over a
-bounded sample of documents in which the patterns' own spans are the labels.
+bounded sample of documents. The patterns' own spans are the labels, as they
+stand and rewritten the way people write them too (``rewritten``: "(at)" for @,
+telephone numbers without the country's), so the field adds what the patterns
+miss.
 """
 
 from __future__ import annotations
@@ -38,7 +41,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Regions and candidate segments of the field.
 CORE = re.compile(r"[0-9@]\S{0,120}(?:\x20[(+\[-]?\S{0,40}[0-9@]\S{0,120}|\x20[(\[](?:at|dot)[)\]])*")
+SPELT = re.compile(r"[(\[]at[)\]]\x20?[\w-]{1,63}(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\w-]{1,63})+")
+LOCAL = re.compile(r"[\w.%+-]{1,64}\x20?\Z")
 ATOM = re.compile(r"[^\W_]+|\S")
+GOES_ON = re.compile(r"\x20?[(\[]dot[)\]]|[.\x20-][0-9]|\.\w")
 ADDRESS = re.compile(r"[\w.%+-]+\x20?(?:@|[(\[]at[)\]])\x20?[\w-]+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\w-]+)+")
 NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9])+")
 
@@ -94,12 +100,8 @@ class Region:
 
 def regions(text: str, taken: list[tuple[int, int, int]] = ()) -> list[Region]:
     """Regions that hold candidates not overlapping the spans ``taken``."""
-    out, at, t = [], 0, 0
-    while m := CORE.search(text, at):
-        begin = m.start()
-        while begin > at and begin > m.start() - 64 and not text[begin - 1].isspace():
-            begin -= 1
-        at = m.end()
+    out, t = [], 0
+    for begin, at in _ranges(text):
         while t < len(taken) and taken[t][2] <= begin:
             t += 1
         blocked = []
@@ -113,6 +115,31 @@ def regions(text: str, taken: list[tuple[int, int, int]] = ()) -> list[Region]:
     return out
 
 
+def _ranges(text: str) -> list[tuple[int, int]]:
+    """Where candidates may be: around digits and @, and spelt addresses."""
+    found, at = [], 0
+    while m := CORE.search(text, at):
+        begin = m.start()
+        while begin > at and begin > m.start() - 64 and not text[begin - 1].isspace():
+            begin -= 1
+        at = m.end()
+        found.append((begin, at))
+    if "(at" in text or "[at" in text:
+        for m in SPELT.finditer(text):
+            local = LOCAL.search(text[max(0, m.start() - 65):m.start()])
+            if local:
+                found.append((m.start() - len(local[0]), m.end()))
+        found.sort()
+        merged = []
+        for begin, end in found:
+            if merged and begin <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+            else:
+                merged.append((begin, end))
+        found = merged
+    return found
+
+
 def _region(text: str, begin: int, end: int, blocked: list[tuple[int, int, int]]) -> Region:
     gaps, at = [], begin
     for s in blocked:
@@ -121,7 +148,7 @@ def _region(text: str, begin: int, end: int, blocked: list[tuple[int, int, int]]
     gaps.append((at, end))
     r = Region([], [])
     for lo, hi in gaps:
-        if hi - lo < 6 or not any(c.isdigit() or c == "@" for c in text[lo:hi]):
+        if hi - lo < 6:
             continue
         first = len(r.starts)
         for m in ATOM.finditer(text, lo, hi):
@@ -143,7 +170,7 @@ def _region(text: str, begin: int, end: int, blocked: list[tuple[int, int, int]]
                 elif not ADDRESS.fullmatch(s):
                     continue
                 r.segments.append((i, j, features(s, text[max(0, r.starts[i] - 16):r.starts[i]],
-                                                  text[r.ends[j - 1]:r.ends[j - 1] + 1])))
+                                                  text[r.ends[j - 1]:r.ends[j - 1] + 6])))
     return r
 
 
@@ -160,7 +187,8 @@ def features(s: str, before: str, after: str) -> list[int]:
         f"check={12 <= len(digits) <= 19 and luhn(digits)}",
         f"octets={len(groups) == 4 and shape == 'd.d.d.d' and all(len(g) <= 3 and int(g) <= 255 for g in groups)}",
         "left=" + (before[-1:] if not before[-1:].isalnum() else "a"),
-        "right=" + (after if not after.isalnum() else "a"),
+        "right=" + (after[:1] if not after[:1].isalnum() else "a"),
+        f"goes_on={GOES_ON.match(after) is not None}",
         "word=" + (words[-1] if words else ""),
     ]
     return [zlib.crc32(n.encode()) for n in names]
@@ -250,22 +278,50 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     learned, grads = Field(), defaultdict(float)
     examples = []
     for row in rows.collect():
-        gold = {(s, k, e) for s, k, e in base_spans(row["window"])}
-        examples += [(r, gold) for r in regions(row["window"])]
+        gold = base_spans(row["window"])
+        for text, spans in ((row["window"], gold), rewritten(row["window"], gold)):
+            examples += [(r, set(spans)) for r in regions(text)]
     for _ in range(EPOCHS):
         for r, gold in examples:
             learned.learn(r, gold, grads, RATE)
     return learned
 
 
+def rewritten(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its addresses and telephone numbers written in another way
+    and some card numbers made invalid (which way depends on the span's own
+    text), and the spans that are then in it."""
+    out, moved, at, shift = [], [], 0, 0
+    for s, k, e in spans:
+        if s < at:
+            continue
+        old = new = text[s:e]
+        way = zlib.crc32(old.encode()) % 3
+        if k == 0:
+            local, _, domain = old.partition("@")
+            most, _, last = domain.rpartition(".")
+            new = (f"{local} (at) {domain.replace('.', ' (dot) ')}", f"{local} [at] {domain}",
+                   f"{local} (at) {most} (dot) {last}")[way]
+        elif k == 2 and way:
+            # no card: a shorter number, or a digit that fails the check
+            digits = "".join(c for c in old if c.isdigit())
+            new = digits[:7 + len(digits) % 5] if way == 1 else digits[:-1] + str((int(digits[-1]) + 3) % 10)
+        elif k == 3:
+            rest = re.sub(r"\A\+[0-9]+[\x20-]*", "", old)
+            groups = re.findall("[0-9]+", rest)
+            if sum(map(len, groups)) >= 9:
+                new = (rest, "-".join(groups), " ".join(groups))[way]
+        out += [text[at:s], new]
+        if k != 2 or new == old:
+            moved.append((s + shift, k, s + shift + len(new)))
+        shift += len(new) - len(old)
+        at = e
+    return "".join(out) + text[at:], moved
+
+
 def _windows(text: str) -> list[str]:
-    out, at = [], 0
-    while m := CORE.search(text, at):
-        begin = max(at, m.start() - 64)
-        if m.end() - begin <= 2000:
-            out.append(text[begin:m.end() + 1])
-        at = m.end()
-    return out
+    """The text around each region, with some room before it."""
+    return [text[max(0, begin - 32):end + 1] for begin, end in _ranges(text) if end - begin <= 2000]
 
 
 def find(text: str, learned: Field) -> list[tuple[int, int, int, bool]]:

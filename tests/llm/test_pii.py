@@ -57,10 +57,26 @@ def test_learning_raises_the_likelihood_of_the_labels():
     assert [s for r in P.regions(text) for s in f.decode(r)] == sorted(gold)
 
 
+def test_rewritten_spans_keep_their_places():
+    text = "a b.c@d.example.org, +1 (736) 555-2678; 10.0.0.1 end"
+    new, spans = P.rewritten(text, P.base_spans(text))
+    assert [new[s:e] for s, k, e in spans if k == 1] == ["10.0.0.1"]
+    assert all("@" not in new[s:e] and "at" in new[s:e] for s, k, e in spans if k == 0)
+    assert all("+" not in new[s:e] and "736" in new[s:e] for s, k, e in spans if k == 3)
+
+
+def test_spelt_addresses_and_numbers_without_country_are_added(spark):
+    """Forms that no pattern takes, learned on a table of other documents."""
+    learned = P.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    text = "write to jo.doe22 (at) mail.example (dot) com or call (736) 555-2678 by 2024, version 12.4.0 of 1234567 rows"
+    got = [(P.KINDS[k], text[s:e]) for s, k, e, base in P.find(text, learned)]
+    assert got == [("email", "jo.doe22 (at) mail.example (dot) com"), ("phone", "(736) 555-2678")]
+
+
 def test_base_spans_stay_and_added_ones_do_not_overlap_them(spark):
     docs = cases.documents(spark, TEXTS * 3 + cases.texts(20, 6)).withColumn("personal", F.lit(1)).withColumn(
         "h", F.lit("h"))
-    learned = P.fit(docs)
+    learned = P.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     got = P.detect(docs, learned).collect()
     assert len(got) == docs.count()
     added = 0
