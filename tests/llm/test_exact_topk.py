@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id string, block int"
 
 
 def brute(rows, every, k):
-    ok = [(i, np.floor(1024 * np.array(v, dtype=float)).astype(object)) for i, v, *_ in rows
+    ok = [(i, np.array([math.floor(1024 * float(x)) for x in v], dtype=object)) for i, v, *_ in rows
           if i is not None and v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all()]
     out = []
     for qi, q in ok:
