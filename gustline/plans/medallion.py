@@ -64,9 +64,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The plan is computed once (a reliable ``checkpoint()`` without a
     persist computes it twice), later readers get file statistics and
     pushdown, and a lost executor only costs re-reading files.  Each call
-    writes a fresh directory, so concurrent runs never clobber each other.
+    writes a fresh directory, so concurrent runs never clobber each other;
+    ``session.clear_shared`` removes them when their results have been used.
     """
     spark = df.sparkSession
     path = shared_path(spark, "staged", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
