@@ -1,0 +1,19 @@
+"""The SQL forms of the operators that have one, on the small tables."""
+
+import duckdb
+import pytest
+
+from gustline.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got = queries.queries()[name](spark, SF)
+    names = ", ".join(f'"{c}"' for c in got.columns)
+    want = con.sql(f"SELECT {names} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
