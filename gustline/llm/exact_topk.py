@@ -115,11 +115,11 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     ignored, whatever their names.
     """
     spark = df.sparkSession
-    small = lambda x: F.abs(x) > LARGEST
+    beyond = lambda x: (x > LARGEST) | (x < -LARGEST)
     rows = (df.filter(finite(col(vec_col)) & col(id_col).isNotNull())
             .select(col(id_col).cast("long").alias("id"), quantise(col(vec_col), scale).alias("vec"),
                     F.coalesce(is_query, F.lit(False)).alias("asked"))
-            .filter(~F.exists("vec", small))
+            .filter(~F.exists("vec", beyond))
             .select("id", F.col("vec").cast("array<int>").alias("vec"), "asked"))
     cands = stage(pack_blocks(rows.select("id", "vec"), "<i4", CANDIDATES_PER_BLOCK), "topk-candidates")
     asked = stage(pack_blocks(rows.filter("asked").select("id", "vec"), "<i4", QUERIES_PER_BLOCK), "topk-queries")

@@ -11,6 +11,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id string, block int"
 def brute(rows, every, k):
     ok = [(i, np.array([math.floor(1024 * float(x)) for x in v], dtype=object)) for i, v, *_ in rows
           if i is not None and v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all()]
+    ok = [(i, v) for i, v in ok if all(abs(x) <= X.LARGEST for x in v)]
     out = []
     for qi, q in ok:
         if qi % every == 0:
@@ -35,7 +36,7 @@ def test_ties_repeats_nulls_and_other_lengths(spark):
     rows += [(200 + i, vecs[5], 1, "x", 2) for i in range(40)]  # copies
     rows += [rows[7], rows[10], (300, None, 1, "x", 2), (301, [None, 1.0, 1.0, 1.0], 0, "", 0),
              (302, [float("nan")] * 4, 0, "", 0), (303, [float("inf")] * 4, 0, "", 0), (None, vecs[0], 0, "", 0),
-             (310, [1.0, 2.0], 0, "", 0), (311, [0.5, 0.5], 0, "", 0), (320, [], 0, "", 0)]
+             (304, [-3e38, 3e38, 0.0, 0.0], 0, "", 0), (310, [1.0, 2.0], 0, "", 0), (311, [0.5, 0.5], 0, "", 0), (320, [], 0, "", 0)]
     got, want = run(spark, rows, 10, 7), brute(rows, 10, 7)
     # a repeated query row has its results repeated
     assert sorted(set(got)) == sorted(set(want))
