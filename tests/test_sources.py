@@ -86,3 +86,20 @@ def test_jdbc_partitioned_options():
     t = jdbc.JdbcTarget("jdbc:postgresql://db/x", driver=None)
     o = t.options(dbtable="t", partitionColumn="id", lowerBound="0", upperBound="9", numPartitions="3")
     assert o["partitionColumn"] == "id" and "driver" not in o and "user" not in o
+
+
+def test_batch_writer_completes_a_partial_write(spark, monkeypatch):
+    """The table is a list here: no database may be started."""
+    stored = [("T1", 1, 7)]  # what a failed first attempt at epoch 7 left
+
+    def read_query(spark, target, query):
+        assert query.endswith("WHERE epoch_id = 7")
+        return spark.createDataFrame([r[:2] for r in stored if r[2] == 7], "turbine_id string, n int")
+
+    monkeypatch.setattr(jdbc, "read_query", read_query)
+    monkeypatch.setattr(jdbc, "append_rows", lambda df, target, table: stored.extend(map(tuple, df.collect())))
+    write = jdbc.batch_writer(jdbc.JdbcTarget("jdbc:postgresql://db/x"), "t", ("turbine_id", "n"))
+    batch = spark.createDataFrame([("T1", 1), ("T2", 2)], "turbine_id string, n int")
+    write(batch, 7)
+    write(batch, 7)
+    assert sorted(stored) == [("T1", 1, 7), ("T2", 2, 7)]
