@@ -41,3 +41,13 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 def whole_text(name: str) -> Column:
     """The text column, NULL read as empty."""
     return F.coalesce(col(name).cast("string"), F.lit(""))
+
+
+def smallest_hashes(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """``df`` with ``h``, a hash of the id, cut down to about the ``2 n + 100``
+    rows of the smallest hashes. The bound comes from the row count, so no task
+    and no shuffle holds more than its share of these rows."""
+    rows = df.count()
+    share = min(1.0, (2 * n + 100) / max(rows, 1))
+    bound = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
+    return df.withColumn("h", F.xxhash64(col(id_col))).filter(F.col("h") <= F.lit(bound))

@@ -14,6 +14,8 @@ reads pages without such markup.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import col, replace_columns
+from gustline.llm.common import col, replace_columns, smallest_hashes
 from gustline.llm.html_blocks import Block, blocks
 
 PATH_DIMS, LEAF_DIMS, WORD_DIMS, MEASURES = 96, 32, 32, 8
 INPUT = PATH_DIMS + LEAF_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 24
-FIT_PAGES, FIT_CHARS = 300, 60_000  # the sample: pages, and characters of each at most
-EPOCHS, BATCH, RATE = 8, 32, 0.01
-PAGES_PER_RUN = 64
+FIT_PAGES, FIT_CHARS = 200, 60_000  # the sample: pages, and characters of each at most
+EPOCHS, BATCH, RATE = 7, 32, 0.01
+PAGES_PER_RUN = 256
 
 # Markup words that name parts of a page.
 ASIDE_TAGS = frozenset("nav footer aside form button menu dialog".split())
@@ -57,45 +59,59 @@ def marked_text(block: Block) -> bool | None:
 
 
 # -- vectors of blocks --------------------------------------------------------------
-_PLACES: dict[str, int] = {}
-
-
-def _place(name: str) -> int:
-    got = _PLACES.get(name)
-    if got is None:
-        if len(_PLACES) > 300_000:
-            _PLACES.clear()
-        got = _PLACES[name] = zlib.crc32(name.encode())
-    return got
+class _Places(dict):
+    """Hash of a name or word, remembered within bounds."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[name] = zlib.crc32(name.encode())
+        return got
+
+
+_PLACE = _Places()
+
+
+@functools.lru_cache(maxsize=20_000)
+def _path_vector(path: tuple) -> np.ndarray:
+    """Tags and mark words anywhere in the path, the innermost tag, and whether
+    the path names a part with text or one beside it."""
+    out = np.zeros(PATH_DIMS + LEAF_DIMS + 2, dtype=np.float32)
+    for tag, words in path:
+        out[_PLACE["t:" + tag] % PATH_DIMS] = 1
+        for w in words:
+            out[_PLACE["w:" + w] % PATH_DIMS] = 1
+            if w in ASIDE_WORDS:
+                out[-1] = 1
+        if tag in ASIDE_TAGS or (tag == "header" and not out[-2]):
+            out[-1] = 1
+        if tag in TEXT_TAGS:
+            out[-2] = 1
+    if path:
+        out[PATH_DIMS + _PLACE["l:" + path[-1][0]] % LEAF_DIMS] = 1
+    return out
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     """One row for each block of a page."""
-    out = np.zeros((len(page), INPUT), dtype=np.float32)
-    for k, b in enumerate(page):
-        row = out[k]
-        for tag, words in b.path:
-            row[_place("t:" + tag) % PATH_DIMS] = 1
-            for w in words:
-                row[_place("w:" + w) % PATH_DIMS] = 1
-                if w in ASIDE_WORDS:
-                    row[-1] = 1
-            if tag in ASIDE_TAGS or (tag == "header" and not row[-2]):
-                row[-1] = 1
-            if tag in TEXT_TAGS:
-                row[-2] = 1
-        if b.path:
-            tag, words = b.path[-1]
-            row[PATH_DIMS + _place("l:" + tag) % LEAF_DIMS] = 1
-        tokens = b.text.split()
-        base = PATH_DIMS + LEAF_DIMS
-        places = np.array([_place(t) for t in tokens], dtype=np.int64)
-        np.add.at(row, base + places % WORD_DIMS, np.where(places >> 16 & 1, 1.0, -1.0).astype(np.float32))
-        row[base:base + WORD_DIMS] /= np.sqrt(len(tokens)) * 3
-        size = len(b.text)
-        row[-MEASURES:-2] = (np.log1p(size) / 6, np.log1p(len(tokens)) / 5, b.linked / size,
-                             sum(b.text.count(c) for c in ".,;:!?") / size * 8, k / len(page),
-                             b.text[-1] in ".!?")
+    n, base = len(page), PATH_DIMS + LEAF_DIMS
+    out = np.zeros((n, INPUT), dtype=np.float32)
+    if not n:
+        return out
+    paths = np.stack([_path_vector(b.path) for b in page])
+    out[:, :base], out[:, -2:] = paths[:, :-2], paths[:, -2:]
+    tokens = [b.text.split() for b in page]
+    count = np.array([len(t) for t in tokens])
+    places = np.fromiter(map(_PLACE.__getitem__, itertools.chain.from_iterable(tokens)), np.int64, int(count.sum()))
+    cell = np.repeat(np.arange(n), count) * WORD_DIMS + places % WORD_DIMS
+    sign = np.where(places >> 16 & 1, 1.0, -1.0)
+    words = np.bincount(cell, weights=sign, minlength=n * WORD_DIMS).reshape(n, WORD_DIMS)
+    out[:, base:base + WORD_DIMS] = words / (np.sqrt(count) * 3)[:, None]
+    size = np.array([len(b.text) for b in page])
+    marks = np.array([sum(map(b.text.count, ".,;:!?")) for b in page])
+    out[:, -MEASURES:-2] = np.stack([
+        np.log1p(size) / 6, np.log1p(count) / 5, np.array([b.linked for b in page]) / size, marks / size * 8,
+        np.arange(n) / n, np.array([b.text[-1] in ".!?" for b in page])], axis=1)
     return out
 
 
@@ -200,7 +216,10 @@ class Labeller:
         step = 0
         for _ in range(EPOCHS):
             order = rng.permutation(len(examples))
-            for begin in range(0, len(order), BATCH):
+            # pages of like length go together: little padding
+            order = order[np.argsort([len(examples[k][1]) for k in order], kind="stable")]
+            begins = np.arange(0, len(order), BATCH)
+            for begin in rng.permutation(begins):
                 some = [examples[k] for k in order[begin:begin + BATCH]]
                 x, mask = self.padded([e[0] for e in some])
                 y, known = np.zeros(mask.shape, np.float32), np.zeros(mask.shape, np.float32)
@@ -277,10 +296,9 @@ def _other_layouts(page: list[Block], rng: np.random.Generator) -> Iterator[tupl
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = FIT_PAGES,
         chars: int = FIT_CHARS) -> Labeller:
     """A labeller learned from at most ``sample`` pages of at most ``chars``
-    characters: those with the smallest hash of their id."""
-    chosen = (pages.filter(F.char_length(col(html_col)) <= chars)
-              .select(F.xxhash64(col(id_col)).alias("h"), col(html_col).alias("html"))
-              .orderBy("h", "html").limit(sample).collect())
+    characters: those with the smallest hashes of their ids."""
+    some = smallest_hashes(pages.select(col(id_col).alias("id"), col(html_col).alias("html")), "id", sample)
+    chosen = some.filter(F.char_length("html") <= chars).select("h", "html").orderBy("h", "html").limit(sample).collect()
     rng = np.random.default_rng(9)
     examples = []
     for row in chosen:
