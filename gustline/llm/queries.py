@@ -53,7 +53,7 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document and the text decoded from them (no SQL
     form: tested against the library)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = word_bpe.bpe_decode(word_bpe.bpe_encode(docs, WORD_VOCAB), WORD_VOCAB)
+    coded = word_bpe.bpe_codec(docs, WORD_VOCAB, carry=["doc_id"])
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

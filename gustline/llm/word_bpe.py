@@ -5,8 +5,9 @@ pairs by (merge rank, position). The best pair is taken off the queue and
 merged in the list; entries whose symbols have changed since they were queued
 are stale and skipped. Decoding concatenates the vocabulary strings.
 
-Texts are cut at white space first: no token crosses it and the vocabulary
-drops it, so equal words are encoded once per worker process.
+No token crosses the border of a word, so equal words are encoded once per
+worker process. Texts in ASCII or Latin letters are cut into words by a plain
+pattern, all others piece by piece with Unicode classes.
 
 Supported file layout (checked on load): BPE without unknown token, NFC +
 white space + lower case normaliser, split into contractions, letter runs,
@@ -18,22 +19,35 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+import tokenizers
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustline.llm.common import col, replace_columns, whole_text
 
-CACHE_ENTRIES = 400_000  # distinct words (and texts between white space) remembered per worker process
+CACHE_ENTRIES = 300_000  # words per generation of a worker's memory
 CACHE_CHARS = 40  # longer ones are encoded but not remembered
+ROWS_IN_FLIGHT = 256  # texts whose results are held at a time
 # characters that str.split() takes for white space and the vocabulary does not
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+# Lower-case texts without these characters hold only ASCII and precomposed Latin
+# letters, for which the plain patterns mean the same as the Unicode classes.
+NOT_LATIN = re.compile("[^\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+ASCII_WORDS = re.compile(SHORT + r"|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+LATIN_WORDS = re.compile(SHORT + "|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|[0-9]|[^\\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+WORDS = SHORT + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_alphabet() -> list[str]:
@@ -49,8 +63,33 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Recent(dict):
+    """Results of ``make`` by key in two generations: when the younger one is
+    full it becomes the older, and what isn't asked for again goes. Long keys
+    are not remembered."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > CACHE_CHARS:
+                return got
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class WordBPE:
-    def __init__(self, path: str):
+    """``library``: encode new words with the tokenizers library's own merges
+    instead of ``merge`` (same ids)."""
+
+    def __init__(self, path: str, library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -58,7 +97,7 @@ class WordBPE:
         split, level = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
         if (model["type"] != "BPE" or model["unk_token"] or not model["end_of_word_suffix"]
                 or model["byte_fallback"] or kinds != ["NFC", "Replace", "Lowercase"]
-                or split.get("type") != "Split" or not split.get("invert") or level.get("type") != "ByteLevel"
+                or split.get("type") != "Split" or split["pattern"] != {"Regex": WORDS} or not split.get("invert") or level.get("type") != "ByteLevel"
                 or level.get("use_regex") or spec["decoder"] or spec["post_processor"]):
             raise ValueError(f"{path}: not a word-end BPE file of the supported layout")
         vocab = model["vocab"]
@@ -72,7 +111,7 @@ class WordBPE:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.made.append(vocab[a + b])
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.words = regex.compile(WORDS)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError(f"{path}: added tokens with matching options")
@@ -84,8 +123,9 @@ class WordBPE:
         self.strings = np.full(size, "", dtype=object)
         for s, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = s
-        self.cache: dict[str, bytes] = {}     # text between white space -> ids
-        self.word_ids: dict[str, bytes] = {}  # normalised word -> ids
+        self.model = tokenizers.Tokenizer.from_file(path).model if library else None
+        self.bytes = dict(enumerate(alphabet))
+        self.word_ids = Recent(self._library_word if library else self._word)  # normalised word -> ids
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge a word's symbols to the end. Queue entries are rank * n +
@@ -124,18 +164,17 @@ class WordBPE:
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
-        got = self.word_ids.get(word)
-        if got is None:
-            raw = word.encode()
-            inner = self.inner
-            ids = [inner[b] for b in raw]
-            ids[-1] = self.last[raw[-1]]
-            if None in ids:
-                ids = [x for x in ids if x is not None]
-            got = array("I", self.merge(ids)).tobytes()
-            if len(word) <= CACHE_CHARS:
-                self.word_ids[word] = got
-        return got
+        raw = word.encode()
+        inner = self.inner
+        ids = [inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        if None in ids:
+            ids = [x for x in ids if x is not None]
+        return array("I", self.merge(ids)).tobytes()
+
+    def _library_word(self, word: str) -> bytes:
+        raw = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a piece of text without white space, as little-endian 32-bit."""
@@ -147,30 +186,19 @@ class WordBPE:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower case without context
         chunk = chunk.lower()
         if chunk.isalpha():
-            return self._word(chunk)
-        return b"".join([self._word(w) for w in self.words.findall(chunk)])
+            return self.word_ids[chunk]
+        return b"".join(map(self.word_ids.__getitem__, self.words.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian 32-bit integers."""
-        cache = self.cache
+        low = text.lower()
+        if "<|" not in low:
+            if low.isascii():
+                return b"".join(map(self.word_ids.__getitem__, ASCII_WORDS.findall(low)))
+            if not NOT_LATIN.search(low):
+                return b"".join(map(self.word_ids.__getitem__, LATIN_WORDS.findall(low)))
         chunks = regex.split(r"\s+", text) if SEPARATORS.search(text) else text.split()
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        if len(self.word_ids) > CACHE_ENTRIES:
-            self.word_ids.clear()
-        out = []
-        for c in chunks:
-            got = cache.get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(c) <= CACHE_CHARS:
-                    cache[c] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self._chunk, chunks))
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary strings of the ids, special ones included, joined by
@@ -179,17 +207,8 @@ class WordBPE:
 
 
 @functools.lru_cache(maxsize=4)
-def codec(path: str) -> WordBPE:
-    return WordBPE(path)
-
-
-def encode_column(text: Column, vocab_path: str) -> Column:
-    """Ids of a text column as binary: little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        c = codec(vocab_path)
-        return pd.Series([c.encode(t) for t in texts], dtype=object)
-    return encode(text)
+def codec(path: str, library: bool = False) -> WordBPE:
+    return WordBPE(path, library)
 
 
 def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text") -> DataFrame:
@@ -201,7 +220,11 @@ def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text") -> DataFr
     named like an output are replaced. ``vocab_path`` must be readable on every
     executor.
     """
-    out = replace_columns(df, {"ids": encode_column(whole_text(text_col), vocab_path)})
+    @F.pandas_udf("binary")
+    def encode(texts: pd.Series) -> pd.Series:
+        c = codec(vocab_path)
+        return pd.Series([c.encode(t) for t in texts], dtype=object)
+    out = replace_columns(df, {"ids": encode(whole_text(text_col))})
     return replace_columns(out, {"ids": F.col("ids"), "n_tokens": (F.octet_length("ids") / 4).cast("long")})
 
 
@@ -214,3 +237,26 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "ids") -> DataFram
         c = codec(vocab_path)
         return pd.Series([c.decode(x) for x in ids], dtype=object)
     return replace_columns(df, {"decoded": decode(F.coalesce(col(ids_col), F.lit(b"")))})
+
+
+def bpe_codec(df: DataFrame, vocab_path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``ids``, ``n_tokens`` and ``decoded`` of each text in one pass (one Python
+    process per task, a few hundred texts in flight), after the columns named in
+    ``carry`` (default: all that don't clash with an output). Rows are handled
+    as by ``bpe_encode`` and ``bpe_decode``."""
+    new = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
+                        T.StructField("decoded", T.StringType())])
+    kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in new.names]
+    schema = T.StructType([df.schema[c] for c in kept] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocab_path)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS_IN_FLIGHT):
+                part = batch.slice(begin, ROWS_IN_FLIGHT)
+                ids = [c.encode(t) for t in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                     pa.array([c.decode(x) for x in ids], pa.string())], names=schema.names)
+
+    return df.select(*[col(c) for c in kept], whole_text(text_col).alias("_whole_text")).mapInArrow(run, schema)
