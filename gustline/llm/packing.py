@@ -16,6 +16,7 @@ no shuffle moves token ids: the offsets go to the rows, not the rows to them.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,31 +26,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustline.llm.common import col, stage, whole_text
-from gustline.llm.word_bpe import codec
+from gustline.llm.word_bpe import ROWS_IN_FLIGHT, codec
 
 PREFIX_BLOCK = 1024  # partition totals per block of the two-level prefix sum
 PIECES_PER_BATCH = 4096
 
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, vocab_path: str, end_id: int) -> DataFrame:
-    """id, part, at (tokens of the partition before the document), ids."""
+    """id, part, at (tokens of the partition before the document), n (its own), ids."""
     end = end_id.to_bytes(4, "little")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("id", id_type), T.StructField("part", T.LongType()),
-        T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
+        T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, part, at = codec(vocab_path), TaskContext.get().partitionId(), 0
+        # the ids are the library's: its merges for each word a worker meets first
+        c, part, at = codec(vocab_path, library=True), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [c.encode(t) + end for t in batch.column(1).to_pylist()]
-            starts = []
-            for x in ids:
-                starts.append(at)
-                at += len(x) // 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()),
-                 pa.array(ids, pa.binary())], names=["id", "part", "at", "ids"])
+            for begin in range(0, batch.num_rows, ROWS_IN_FLIGHT):
+                some = batch.slice(begin, ROWS_IN_FLIGHT)
+                ids = [c.encode(t) + end for t in some.column(1).to_pylist()]
+                sizes = [len(x) // 4 for x in ids]
+                starts = list(itertools.accumulate(sizes, initial=at))
+                at = starts.pop()
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()),
+                     pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["id", "part", "at", "n", "ids"])
 
     return docs.select(col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(encode, schema)
 
@@ -58,7 +61,7 @@ def partition_offsets(encoded: DataFrame) -> DataFrame:
     """part, base: the tokens of all earlier partitions. A prefix sum on two
     levels, so no task sees more than ``PREFIX_BLOCK`` totals or one number per
     block."""
-    totals = encoded.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 4).cast("long").alias("n"))
+    totals = encoded.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n"))
     totals = totals.withColumn("block", F.floor(F.col("part") / PREFIX_BLOCK))
     blocks = totals.groupBy("block").agg(F.sum("n").alias("m"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
