@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import col, replace_columns, whole_text
+from gustline.llm.common import col, replace_columns, smallest_hashes, whole_text
 
 KINDS = ("email", "ip", "card", "phone")  # in the order of reports
 FIT_DOCUMENTS = 2000  # documents that the weights are learned from, at most
@@ -263,11 +263,11 @@ def _logsum(xs: list[float]) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         documents: int = FIT_DOCUMENTS) -> Field:
     """Weights learned from at most ``documents`` documents, those with the
-    smallest hash of their id: they are found by id first, so no task holds
-    more than that many ids, and only their regions come to the driver."""
-    chosen = docs.select(F.xxhash64(col(id_col)).alias("h")).distinct().orderBy("h").limit(documents)
-    sample = (docs.select(F.xxhash64(col(id_col)).alias("h"), whole_text(text_col).alias("text"))
-              .join(F.broadcast(chosen), "h", "left_semi"))
+    smallest hashes of their ids; only their regions come to the driver."""
+    some = smallest_hashes(docs.select(col(id_col).alias("id"), whole_text(text_col).alias("text")), "id", documents)
+    # a hash for each document that is learned from
+    chosen = some.select("h").distinct().orderBy("h").limit(documents)
+    sample = some.join(F.broadcast(chosen), "h", "left_semi")
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
