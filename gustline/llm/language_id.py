@@ -29,7 +29,7 @@ DIM = 1024
 N = 3
 SEED = 20
 UNKNOWN = "und"
-BLOCK_CHARS, BLOCK_TEXTS, BLOCK_GRAMS = 1_000_000, 256, 8192
+BLOCK_CHARS, BLOCK_TEXTS, BLOCK_GRAMS = 400_000, 128, 4096
 DENSE_CODES = 1 << 23  # n-gram codes counted in a table; beyond it they are sorted
 
 
