@@ -171,48 +171,75 @@ def _usable(df: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataF
 
 def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
     """Graphs of all shards, written: dim, shard, vecs, graph, entry and, for
-    each vector, its ``k + 1`` smallest ids (no result can hold more of them).
+    each vector, its ``k + 1`` smallest distinct ids with the rows of each, up
+    to ``k``: without a query's own id, at least ``k`` rows or all are left.
     Equal vectors are one node, so copies of one vector don't fill a graph."""
     least = Window.partitionBy("vec").orderBy("id")
-    distinct = stage(rows.select("id", "vec").withColumn("r", F.row_number().over(least)).filter(F.col("r") <= k + 1)
-                     .groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-vectors")
+    counted = rows.groupBy("vec", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
+    distinct = stage(counted.withColumn("r", F.row_number().over(least)).filter(F.col("r") <= k + 1)
+                     .groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
+                     .select("vec", "ids.id", "ids.n"), "ann-vectors")
     shards = max(1, -(-distinct.count() // shard_rows))
     placed = distinct.select(F.size("vec").alias("dim"),
-                             F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "ids")
+                             F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "id", "n")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vec"].to_numpy()).astype("<f4")
         graph, entry = build_graph(x)
-        ids = pdf["ids"].to_numpy()
+        ids = pdf["id"].to_numpy()
         return pd.DataFrame({
             "dim": [x.shape[1]], "shard": pdf["shard"].iloc[:1].to_numpy(), "vecs": [x.tobytes()],
             "graph": [graph.astype("<i4").tobytes()], "entry": [entry],
             "ids": [np.concatenate(ids).astype("<i8").tobytes()],
+            "times": [np.concatenate(pdf["n"].to_numpy()).astype("<i4").tobytes()],
             "copies": [np.array([len(i) for i in ids], dtype="<i4").tobytes()]})
 
     index = placed.groupBy("dim", "shard").applyInPandas(
-        build, "dim int, shard int, vecs binary, graph binary, entry int, ids binary, copies binary")
+        build, "dim int, shard int, vecs binary, graph binary, entry int, ids binary, times binary, copies binary")
     return stage(index, "ann-index"), shards
 
 
+def _nodes(x, graph, entry, q, foreign, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of each query's best ``k + 1`` nodes that hold a row of
+    another id (``foreign`` of queries and nodes); the beam is doubled for
+    queries whose own rows fill it."""
+    ats, nodes, live = [], [], np.arange(len(q))
+    while len(live):
+        met = beam_search(x, graph, entry, q[live], beam)
+        use = (met >= 0) & foreign(live[:, None], met)
+        done = (use.sum(axis=1) >= k) | (met[:, -1] < 0) | (beam >= len(x))
+        at, place = np.nonzero(use & (np.cumsum(use, axis=1) <= k + 1) & done[:, None])
+        ats.append(live[at])
+        nodes.append(met[at, place])
+        live, beam = live[~done], 2 * beam
+    at, node = np.concatenate(ats), np.concatenate(nodes)
+    order = np.argsort(at, kind="stable")
+    return at[order], node[order]
+
+
 def _search(row: dict, k: int, beam: int):
     dim = row["dim"]
     x, q = matrix(row["vecs"], dim, "<f4"), matrix(row["qvecs"], dim, "<f4")
     graph = np.frombuffer(row["graph"], "<i4").reshape(len(x), -1)
-    met = beam_search(x, graph, row["entry"], q, beam)[:, :k + 1]
-    ids, copies = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["copies"], "<i4")
+    qids, ids = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+    times, copies = np.frombuffer(row["times"], "<i4"), np.frombuffer(row["copies"], "<i4")
     first = np.cumsum(copies) - copies
-    at, place = np.nonzero(met >= 0)
-    node = met[at, place]
+    # only a node of a single id can be without another one
+    at, node = _nodes(x, graph, row["entry"], q, lambda a, n: (copies[n] > 1) | (ids[first[n]] != qids[a]), k, beam)
     score = np.zeros(len(node))  # the measure itself: doubles, summed in order
     for d in range(dim):
         score += q[at, d].astype(np.float64) * x[node, d].astype(np.float64)
     n = copies[node]
-    begin = np.cumsum(n) - n
-    member = ids[np.repeat(first[node] - begin, n) + np.arange(n.sum())]
-    at, score = np.repeat(at, n), np.repeat(score, n)
-    other = member != np.frombuffer(row["qids"], "<i8")[at]
-    at, score, member = at[other], score[other], member[other]
+    pair = np.repeat(np.arange(len(node)), n)
+    entry = first[node][pair] + np.arange(len(pair)) - (np.cumsum(n) - n)[pair]
+    other = ids[entry] != qids[at[pair]]
+    pair, entry = pair[other], entry[other]
+    # the rows of each id, up to k of a node
+    rows = times[entry].astype(np.int64)
+    upto = np.cumsum(rows) - rows
+    rows = np.clip(k - (upto - upto[np.searchsorted(pair, pair)]), 0, rows)
+    pair, member = np.repeat(pair, rows), np.repeat(ids[entry], rows)
+    at, score = at[pair], score[pair]
     order = np.lexsort((member, -score, at))
     at, score, member = at[order], score[order], member[order]
     start = np.searchsorted(at, at)

@@ -63,6 +63,29 @@ def test_copies_nulls_zeros_repeats_and_other_lengths(spark):
     assert run(spark, [], 20, 5) == [] and run(spark, rows[:1], 1, 5) == []
 
 
+def test_repeated_query_rows_inside_a_copy_group(spark):
+    rng = np.random.default_rng(9)
+    x = np.float32(rng.normal(0, 1, (40, 6)))
+    hot = np.float32([4, 4, 4, 4, 4, 4]).tolist()
+    rows = [(1001 + i, v.tolist(), 0, "", 1) for i, v in enumerate(x)]
+    rows += [(0, hot, 0, "", 1)] * 2 + [(20, hot, 0, "", 1)] * 30 + [(41 + i, hot, 0, "", 1) for i in range(25)]
+    want = brute(rows, 20, 10)
+    got = run(spark, rows, 20, 10)
+    for q, times in ((0, 2), (20, 30)):
+        own = [(r["vec_id"], round(r["score"], 9)) for r in got if r["query_id"] == q]
+        assert sorted(own) == sorted([(c, round(-s, 9)) for s, c in want[q]] * times)
+
+
+def test_query_id_with_more_vectors_than_the_beam(spark):
+    rng = np.random.default_rng(10)
+    own = np.float32(rng.uniform(4, 5, (150, 6)))
+    rows = [(0, v.tolist(), 0, "", 1) for v in own]
+    rows += [(21 + i, v.tolist(), 0, "", 1) for i, v in enumerate(np.float32(rng.uniform(0.5, 1, (15, 6))))]
+    got = run(spark, rows, 20, 10)
+    assert len([r for r in got if r["query_id"] == 0]) == 150 * 10
+    assert {r["rank"] for r in got if r["query_id"] == 0} == set(range(1, 11))
+
+
 def test_pruning_keeps_diverse_edges():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1], [5, 0]], dtype=np.float32)
     out = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4, -1, 1]]), 4, 1.2)
