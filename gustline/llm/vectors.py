@@ -26,8 +26,8 @@ def finite(vec: Column) -> Column:
 
 def pack_blocks(df: DataFrame, dtype: str, rows_per_block: int, numbers_per_block: int = 2_000_000) -> DataFrame:
     """Pack (id long, vec array) rows of each partition into blocks of one
-    length: ``ids`` (int64), ``vecs`` (row-major ``dtype``), ``peak`` (largest
-    Euclidean norm). Bounded memory: a block closes at ``rows_per_block`` rows
+    length: ``ids`` (int64), ``vecs`` (row-major ``dtype``; of ``<i8`` in
+    ``<i4`` where a block fits it), ``peak`` (largest Euclidean norm). Bounded memory: a block closes at ``rows_per_block`` rows
     or ``numbers_per_block`` components."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -40,10 +40,11 @@ def pack_blocks(df: DataFrame, dtype: str, rows_per_block: int, numbers_per_bloc
             m = np.concatenate(vecs) if vecs else np.zeros((0, dim))
             peak = float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1)).max(initial=0.0))
             made += 1
+            short = dtype == "<i8" and m.size and -2 ** 31 <= m.min() and m.max() < 2 ** 31
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([(part << 32) + made], pa.int64()), "dim": pa.array([dim], pa.int32()),
                 "ids": [np.concatenate(ids).astype("<i8").tobytes()],
-                "vecs": [m.astype(dtype).tobytes()], "peak": [peak]}, schema=arrow_schema)
+                "vecs": [m.astype("<i4" if short else dtype).tobytes()], "peak": [peak]}, schema=arrow_schema)
 
         arrow_schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()),
                                   ("vecs", pa.binary()), ("peak", pa.float64())])

@@ -61,3 +61,22 @@ def test_narrow_intervals_need_several_rounds(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, np.float32(rng.normal(0, 0.2, 6)).tolist(), 0, "", 0) for i in range(50)]
     assert run(spark, rows, 5, 3) == brute(rows, 5, 3)
+
+
+def test_large_components_keep_their_scores(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, np.float32(rng.normal(0, 1, 4)).tolist(), 0, "", 0) for i in range(40)]
+    rows += [(100 + i, np.float32([5e5, 1, -1, i]).tolist(), 0, "", 0) for i in range(5)]
+    rows += [(110 + i, np.float32([-3e6 * i, 4e6, 2.0 ** 26, 1]).tolist(), 0, "", 0) for i in range(12)]
+    # scores around and beyond a long's limit; terms beyond it that cancel
+    rows += [(130, [2.0 ** 21, 0.0, 0.0, 0.0], 0, "", 0), (131, [2.0 ** 22, 0.0, 0.0, 0.0], 0, "", 0),
+             (132, [2.0 ** 22 - 0.25, 0.0, 0.0, 0.0], 0, "", 0), (140, [2.0 ** 30, 2.0 ** 30, 0.0, 0.0], 0, "", 0),
+             (141, [2.0 ** 30, -(2.0 ** 30), 1.0, 0.0], 0, "", 0), (150, [2.0 ** 52, 1.0, 1.0, 1.0], 0, "", 0)]
+    vecs = {r[0]: [math.floor(1024 * x) for x in r[1]] for r in rows}
+    want = []
+    for q in (i for i in vecs if i % 10 == 0):
+        scored = ((sum(a * b for a, b in zip(vecs[q], v)), i) for i, v in vecs.items() if i != q)
+        best = sorted((-s, i) for s, i in scored if abs(s) < 2 ** 63)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert max(abs(w[3]) for w in want) > 2 ** 61
+    assert run(spark, rows, 10, 10) == sorted(want)
