@@ -11,7 +11,8 @@ from dataclasses import dataclass
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object canvas select".split())
+RAW = frozenset("script style noscript textarea title iframe".split())  # without an end tag, up to the page's end
+NO_TEXT = frozenset("svg canvas object select template".split())  # without an end tag, only the tag itself
 # an opening tag of the key closes an open one of these, up to the nearest of the stops
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -43,15 +44,31 @@ def _tag_end(page: str, at: int) -> int:
     return end + 1 if end >= 0 else -1
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Places behind the opening tags of an element and behind their end tags;
+    an end tag closes the nearest one open, unclosed ones are left out."""
+    out, opened = {}, []
+    for m in re.compile(f"<(/?){re.escape(name)}(?=[\\s/>])", re.I).finditer(page):
+        end = _tag_end(page, m.end())
+        if m[1]:
+            if opened:
+                out[opened.pop()] = end if end >= 0 else len(page)
+        elif end >= 0 and page[end - 2:end] != "/>":
+            opened.append(end)
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. Comments, declarations, scripts,
-    styles and other raw elements give none; a tag cut off by the page's end is
-    no text."""
+    styles and other raw elements give none; drawings, templates and choices
+    give none up to their end tag. A tag cut off by the page's end is no
+    text."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked = links = 0
     where: tuple = ()
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -112,6 +129,11 @@ def blocks(page: str) -> list[Block]:
             if at < 0:
                 break
             continue
+        if name in NO_TEXT:
+            if name not in ends:
+                ends[name] = _ends(page, name)
+            at = ends[name].get(at, at)
+            continue
         if name not in INLINE:
             closed, stops = CLOSES.get(name, (set(), set()))
             for k in range(len(stack) - 1, -1, -1):

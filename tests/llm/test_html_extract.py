@@ -33,6 +33,23 @@ def test_blocks_of_broken_pages(page):
     blocks(page)
 
 
+@pytest.mark.parametrize("name", ["svg", "canvas", "object", "select", "template"])
+def test_text_behind_an_unclosed_element_stays(name):
+    def texts(page):
+        return [b.text for b in blocks(page)]
+
+    own = f"<{name} id='x'>"
+    assert texts(f"<p>one</p>{own}<p>two</p><p>three</p>") == ["one", "two", "three"]
+    assert texts(f"{own}<p>one</p>{own}no</{name}><p>two</p>") == ["one", "two"]
+    assert texts(f"<p>one</p>{own}no{own}no</{name}>no</{name.upper()} ><p>two</p><{name}/><p>three") == [
+        "one", "two", "three"]
+
+
+@pytest.mark.parametrize("name", ["script", "style", "textarea", "title", "iframe", "noscript"])
+def test_unclosed_raw_text_reaches_the_end(name):
+    assert [b.text for b in blocks(f"<p>one</p><{name}><p>two</p>")] == ["one"]
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(3)
     model = H.Labeller.fresh()
