@@ -74,7 +74,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((begin, 0, m.end()))
                 taken = m.end()
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        # without leading zeros: int() refuses very long strings
+        parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:

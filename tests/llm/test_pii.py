@@ -38,6 +38,13 @@ def test_base_spans_equal_the_plain_patterns():
     assert P.base_spans("1" * 200_000) == []  # no quadratic search
 
 
+def test_octets_of_very_many_zeros():
+    t = "a 1.1.1." + "0" * 5000 + "1 b 1.2.3." + "0" * 5000 + " c 1.1.1." + "0" * 5000 + "256 d"
+    assert P.base_spans(t) == [(2, 1, 5009), (t.index("1.2"), 1, t.index(" c"))]
+    assert P.base_spans("1.1.1." + "9" * 5000) == []
+    P.regions(t, P.base_spans(t))
+
+
 def test_field_decodes_the_best_set_of_segments():
     """Dynamic programming against all sets of non-overlapping segments."""
     r = P.Region([0, 2, 4, 6], [1, 3, 5, 7], [(0, 2, [1]), (1, 3, [2]), (2, 4, [3]), (0, 4, [4])])
