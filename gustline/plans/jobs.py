@@ -4,8 +4,8 @@ Each layer is written once and the next layer reads the written files, so a
 failed or lost executor only costs the layer being written, and every later
 reader gets file statistics and partition pruning.  Silver is partitioned by
 ingest date; ``read_days`` lists only the days it is asked for.  A day is
-written by ``files_per_day`` tasks (its turbines are dealt out among them), so
-one large day is neither one task nor thousands of small files.
+written by ``files_per_day`` tasks (its readings are dealt out among them), so
+one large day, or one turbine's, is neither one task nor thousands of small files.
 Writes go to a fresh directory per run under the given root (shared storage),
 then the caller can swap a catalog table or a pointer to it.
 """
@@ -46,8 +46,9 @@ class RefreshOutput:
 
 
 def spread_days(silver: DataFrame, files_per_day: int) -> DataFrame:
-    """Deal each day's rows out to ``files_per_day`` tasks by turbine."""
-    salt = F.pmod(F.xxhash64("turbine_id"), F.lit(files_per_day))
+    """Deal each day's rows out to ``files_per_day`` tasks by reading,
+    so a turbine with most of a day's rows goes to all of them."""
+    salt = F.pmod(F.xxhash64("turbine_id", "ingestion_timestamp"), F.lit(files_per_day))
     return silver.repartition(PARTITION_COL, salt)
 
 

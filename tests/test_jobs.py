@@ -37,6 +37,18 @@ def test_one_day_is_written_by_several_tasks(spark):
     assert full >= 3
 
 
+def test_one_turbines_day_is_written_by_several_tasks(spark):
+    one = spark.range(4000).select(F.lit("TURBINE_00001").alias("turbine_id"), F.lit("2024-01-01").cast("date").alias("ingest_date"),
+                                   F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ingestion_timestamp"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = J.spread_days(one, 8).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(tasks) >= 3 and max(t["count"] for t in tasks) < 4000 * 0.7
+
+
 def test_days_are_pruned(spark):
     root = shared_path(spark, "refresh-test", uuid.uuid4().hex)
     out = J.refresh(spark, fixtures.raw_readings(spark, SF_SMALL), root, M.as_of())
