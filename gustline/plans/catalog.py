@@ -406,14 +406,16 @@ def recent_readings(spark, sf_dir):
 @register("power_over_time", O.with_layers("silver", f"""
 SELECT turbine_id, "timestamp", power_output FROM ({_RECENT_SQL.format(hours=24)})"""))
 def power_over_time(spark, sf_dir):
-    """Power by turbine and time over the last day, for a line per turbine."""
+    """Power by turbine and time, for a line per turbine: the newest 1000 readings
+    of the last day, not all of them (R10)."""
     return present(RP.power_over_time(RP.recent_readings(stored_silver(spark, sf_dir), hours=24)))
 
 
 @register("wind_vs_power", O.with_layers("silver", f"""
 SELECT wind_speed, power_output, alert_level FROM ({_RECENT_SQL.format(hours=24)})"""))
 def wind_vs_power(spark, sf_dir):
-    """Wind speed against power with alert levels over the last day."""
+    """Wind speed against power with alert levels: the newest 1000 readings of the
+    last day, not all of them (R10)."""
     return present(RP.wind_vs_power(RP.recent_readings(stored_silver(spark, sf_dir), hours=24)))
 
 
