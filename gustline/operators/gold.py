@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustline import config as C
 from gustline.config import PipelineConfig
+from gustline.functions import moments as MO
 from gustline.functions import rules as R
 from gustline.schemas import GOLD_COLUMNS, GOLD_EXTENDED_COLUMNS
 
@@ -98,3 +99,59 @@ def maintenance_alerts(silver: DataFrame, processing_time: Column | None = None,
     cols = GOLD_COLUMNS + (GOLD_EXTENDED_COLUMNS if extended else ())
     scored = score_windows(window_aggregates(silver, cfg, position), processing_time, cfg)
     return scored.select(*cols)
+
+
+# --- gold kept from partials -------------------------------------------------------
+# A window group's readings may arrive in several parts (late deliveries, several
+# ingest jobs). Each part is reduced to one row of mergeable states per group; merged
+# rows give the same aggregates as one pass over all readings.
+
+_STATES = (("maintenance_priority", "avg_priority"), ("health_score", "avg_health_score"),
+           ("power_efficiency_ratio", "avg_power_efficiency"), ("power_output_kw", "avg_power_output_kw"),
+           ("temperature_differential_c", "avg_temp_differential"), ("gearbox_temp_c", None),
+           ("vibration_ms2", "avg_vibration"), ("wind_speed_ms", "avg_wind_speed"), ("rotor_rpm", "avg_rotor_rpm"),
+           ("oil_pressure_bar", "avg_oil_pressure"))
+_DEVIATIONS = (("gearbox_temp_c", "gearbox_temp_variance"), ("vibration_ms2", "vibration_variance"))
+_COUNTS = ("total_readings", "maintenance_alerts_count", "generating_count", "stopped_count")
+_LARGEST = ("max_priority", "max_gearbox_temp", "max_generator_temp", "max_vibration", "window_end")
+_SMALLEST = ("min_health_score", "min_oil_pressure", "window_start")
+
+
+def gold_partials(silver: DataFrame, cfg: PipelineConfig = C.DEFAULT) -> DataFrame:
+    """One row of mergeable states per window group of a part of the readings."""
+    ts = cfg.time_column
+    t = F.col
+    plain = [
+        F.count(F.lit(1)).alias("total_readings"), F.count_if(t("maintenance_needed")).alias("maintenance_alerts_count"),
+        F.count_if(t("operating_status") == C.STATUS_GENERATING).alias("generating_count"),
+        F.count_if(t("operating_status") == C.STATUS_STOPPED).alias("stopped_count"),
+        F.sum("power_output_kw").alias("total_power_output_kw"),
+        F.max("maintenance_priority").alias("max_priority"), F.max("gearbox_temp_c").alias("max_gearbox_temp"),
+        F.max("generator_temp_c").alias("max_generator_temp"), F.max("vibration_ms2").alias("max_vibration"),
+        F.max(ts).alias("window_end"), F.min("health_score").alias("min_health_score"),
+        F.min("oil_pressure_bar").alias("min_oil_pressure"), F.min(ts).alias("window_start"),
+        F.min_by(F.struct("location_lat", "location_lon"), ts).alias("position"),
+    ]
+    return (silver.groupBy("turbine_id", F.window(ts, cfg.window).alias("time_window"), "fault_category", "alert_level")
+            .agg(*plain, *[MO.moments(c).alias(f"{c}_state") for c, _ in _STATES]))
+
+
+def merge_gold_partials(*parts: DataFrame) -> DataFrame:
+    """Partials of several parts as one row per window group."""
+    return (MO.union_all(parts).groupBy("turbine_id", "time_window", "fault_category", "alert_level").agg(
+        *[F.sum(c).alias(c) for c in (*_COUNTS, "total_power_output_kw")], *[F.max(c).alias(c) for c in _LARGEST],
+        F.min_by("position", "window_start").alias("position"), *[F.min(c).alias(c) for c in _SMALLEST],
+        *[MO.merge_moments(f"{c}_state").alias(f"{c}_state") for c, _ in _STATES]))
+
+
+def gold_from_partials(partials: DataFrame, processing_time: Column | None = None,
+                       cfg: PipelineConfig = C.DEFAULT, extended: bool = False) -> DataFrame:
+    """The gold table (as ``maintenance_alerts``) from merged partials."""
+    agg = partials.select(
+        "turbine_id", "time_window", "fault_category", "alert_level", *_COUNTS, "total_power_output_kw",
+        *_LARGEST, *_SMALLEST, F.col("position.location_lat").alias("turbine_lat"),
+        F.col("position.location_lon").alias("turbine_lon"),
+        *[MO.mean(f"{c}_state").alias(name) for c, name in _STATES if name],
+        *[MO.stddev_samp(f"{c}_state").alias(name) for c, name in _DEVIATIONS])
+    cols = GOLD_COLUMNS + (GOLD_EXTENDED_COLUMNS if extended else ())
+    return score_windows(agg, processing_time, cfg).select(*cols)

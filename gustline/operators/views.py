@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustline import config as C
+from gustline.functions import moments as MO
 from gustline.functions import rules as R
 from gustline.schemas import QUEUE_COLUMNS
 
@@ -61,20 +62,23 @@ def dispatch_queue(gold: DataFrame, ordered: bool = True) -> DataFrame:
 
 
 # --- incremental SLA rollup --------------------------------------------------------
-# The SLA view's averages are plain means over window rows, so they can be
-# kept as mergeable partials (sums, counts, min, max) and updated with only
-# the new gold windows instead of re-reading all of gold.
+# The SLA view's averages are plain means over the window rows that have a value,
+# so they can be kept as mergeable states (functions/moments.py) next to counts,
+# minima and maxima, and updated with only the new gold windows.
 
-_SUMS = (("uptime_percentage", "sum_uptime"), ("avg_power_output_kw", "sum_avg_power"),
-         ("total_power_output_kw", "total_power_generated_kw"),
-         ("avg_power_efficiency", "sum_efficiency"), ("avg_health_score", "sum_health"),
-         ("degradation_risk_score", "sum_risk"))
+_MEANS = (("uptime_percentage", "uptime_state", "avg_uptime_percentage"),
+          ("avg_power_output_kw", "power_state", "avg_power_generation_kw"),
+          ("avg_power_efficiency", "efficiency_state", "avg_efficiency_ratio"),
+          ("avg_health_score", "health_state", "overall_health_score"),
+          ("degradation_risk_score", "risk_state", "avg_degradation_risk"))
 
 
 def sla_partials(gold: DataFrame) -> DataFrame:
-    """Mergeable per-turbine partial aggregates of a batch of gold windows."""
+    """Mergeable per-turbine partial aggregates of a batch of gold windows.
+    A window without a value counts as a period but not towards that mean."""
     return gold.groupBy(*SLA_KEYS).agg(
-        *[F.sum(src).alias(dst) for src, dst in _SUMS],
+        *[MO.moments(src).alias(state) for src, state, _ in _MEANS],
+        F.sum("total_power_output_kw").alias("total_power_generated_kw"),
         F.min("uptime_percentage").alias("min_uptime_percentage"),
         F.count_if(F.col("sla_compliance") == C.SLA_COMPLIANT).alias("compliant_periods"),
         F.count_if(F.col("sla_compliance") == C.SLA_BREACH).alias("breach_periods"),
@@ -83,13 +87,20 @@ def sla_partials(gold: DataFrame) -> DataFrame:
     )
 
 
+def _states_only(partials: DataFrame) -> DataFrame:
+    lacking = [state for _, state, _ in _MEANS if state not in partials.columns]
+    if lacking:
+        raise ValueError(f"stored SLA partials of an older layout lack {', '.join(lacking)}: "
+                         "their means can't be continued, rebuild them from the gold table")
+    return partials
+
+
 def merge_sla_partials(*parts: DataFrame) -> DataFrame:
-    """Combine partials (e.g. the stored ones and those of new windows)."""
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return allp.groupBy(*SLA_KEYS).agg(
-        *[F.sum(dst).alias(dst) for _, dst in _SUMS],
+    """Combine partials (e.g. the stored ones and those of new windows), each
+    with one row per turbine and position."""
+    return MO.union_all([_states_only(p) for p in parts]).groupBy(*SLA_KEYS).agg(
+        *[MO.merge_moments(state).alias(state) for _, state, _ in _MEANS],
+        F.sum("total_power_generated_kw").alias("total_power_generated_kw"),
         F.min("min_uptime_percentage").alias("min_uptime_percentage"),
         *[F.sum(c).alias(c) for c in ("compliant_periods", "breach_periods", "total_periods")],
         F.max("last_updated").alias("last_updated"),
@@ -98,19 +109,38 @@ def merge_sla_partials(*parts: DataFrame) -> DataFrame:
 
 def sla_from_partials(partials: DataFrame) -> DataFrame:
     """The SLA view (same columns as ``sla_performance``) from partials."""
-    n = F.col("total_periods")
-    out = partials.select(
-        *SLA_KEYS,
-        (F.col("sum_uptime") / n).alias("avg_uptime_percentage"),
-        "min_uptime_percentage", "compliant_periods", "breach_periods", "total_periods",
-        (F.col("sum_avg_power") / n).alias("avg_power_generation_kw"),
-        "total_power_generated_kw",
-        (F.col("sum_efficiency") / n).alias("avg_efficiency_ratio"),
-        (F.col("sum_health") / n).alias("overall_health_score"),
-        (F.col("sum_risk") / n).alias("avg_degradation_risk"),
+    average = {name: MO.mean(state).alias(name) for _, state, name in _MEANS}
+    out = _states_only(partials).select(
+        *SLA_KEYS, average["avg_uptime_percentage"], "min_uptime_percentage", "compliant_periods", "breach_periods",
+        "total_periods", average["avg_power_generation_kw"], "total_power_generated_kw",
+        average["avg_efficiency_ratio"], average["overall_health_score"], average["avg_degradation_risk"],
         "last_updated",
     ).withColumns({
         "sla_compliance_rate": R.rate_pct("compliant_periods", "total_periods"),
         "breach_rate": R.rate_pct("breach_periods", "total_periods"),
     })
     return out.withColumn("performance_tier", R.performance_tier())
+
+
+# --- per-turbine deviation ---------------------------------------------------------
+
+_SPREAD = (("gearbox_temp_c", "gearbox_state", "gearbox_temp"), ("vibration_ms2", "vibration_state", "vibration"))
+
+
+def deviation_partials(silver: DataFrame) -> DataFrame:
+    """States of gearbox temperature and vibration per turbine."""
+    return silver.groupBy("turbine_id").agg(*[MO.moments(src).alias(state) for src, state, _ in _SPREAD])
+
+
+def merge_deviation_partials(*parts: DataFrame) -> DataFrame:
+    return MO.union_all(parts).groupBy("turbine_id").agg(
+        *[MO.merge_moments(state).alias(state) for _, state, _ in _SPREAD])
+
+
+def turbine_deviation(partials: DataFrame) -> DataFrame:
+    """Readings with a value, their mean and sample deviation, per turbine."""
+    out = []
+    for _, state, name in _SPREAD:
+        out += [F.col(state)["n"].alias(f"{name}_readings"), MO.mean(state).alias(f"{name}_mean"),
+                MO.stddev_samp(state).alias(f"{name}_deviation")]
+    return partials.select("turbine_id", *out)
