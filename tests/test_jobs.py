@@ -23,30 +23,19 @@ def test_refresh_writes_every_layer(spark):
     assert first.dispatch_priority_score == 100.0
 
 
-def test_one_day_is_written_by_several_tasks(spark):
-    silver = M.from_tables(spark, SF_SMALL, M.as_of()).silver.withColumn("ingest_date", F.to_date("ingestion_timestamp"))
-    assert silver.select("ingest_date").distinct().count() == 1
-    spread = J.spread_days(silver, 8)
-    assert spread.select(F.pmod(F.xxhash64("turbine_id"), F.lit(8)).alias("s"), "ingest_date").distinct().count() >= 4
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        full = spread.groupBy(F.spark_partition_id().alias("p")).count().count()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    assert full >= 3
-
-
 def test_one_turbines_day_is_written_by_several_tasks(spark):
-    one = spark.range(4000).select(F.lit("TURBINE_00001").alias("turbine_id"), F.lit("2024-01-01").cast("date").alias("ingest_date"),
-                                   F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ingestion_timestamp"))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    """Rebalancing splits a day by size, whoever its readings belong to."""
+    one = spark.range(60_000).select(
+        F.lit("TURBINE_00001").alias("turbine_id"), F.lit("2024-01-01").cast("date").alias("ingest_date"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("event_timestamp"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "60000")  # only the columns it needs are moved
     try:
-        tasks = J.spread_days(one, 8).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        tasks = J.spread_days(one).groupBy(F.spark_partition_id().alias("p")).count().collect()
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    assert len(tasks) >= 3 and max(t["count"] for t in tasks) < 4000 * 0.7
+        spark.conf.set(size, before)
+    assert len(tasks) >= 3 and max(t["count"] for t in tasks) < 60_000 * 0.7
 
 
 def test_days_are_pruned(spark):
