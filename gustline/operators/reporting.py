@@ -109,9 +109,9 @@ def level_distribution(df: DataFrame, col: str = "alert_level") -> DataFrame:
 
 
 def recent_readings(silver: DataFrame, as_of: Column | None = None, hours: int = 1,
-                    limit: int = 1000) -> DataFrame:
+                    limit: int | None = 1000) -> DataFrame:
     """Readings of the last ``hours`` before ``as_of``, newest first, at most
-    ``limit`` (P10, O2, R10).  ``as_of`` defaults to the newest event time in
+    ``limit`` of them, or all in no order with ``limit=None`` (P10, O2, R10).  ``as_of`` defaults to the newest event time in
     the table (a scalar subquery), so the report is reproducible.  On a stored
     table the time filter reaches the scan."""
     ts = F.col("event_timestamp")
@@ -121,10 +121,35 @@ def recent_readings(silver: DataFrame, as_of: Column | None = None, hours: int =
         F.col("event_timestamp").alias("timestamp"), "turbine_id",
         F.col("power_output_kw").alias("power_output"), F.col("wind_speed_ms").alias("wind_speed"),
         F.col("nacelle_temp_c").alias("temperature"), "alert_level", "ingestion_timestamp")
+    if limit is None:
+        return recent
     return recent.orderBy(F.col("timestamp").desc(), F.col("ingestion_timestamp").desc(),
                           "turbine_id").limit(limit)
 
 
+def four_extremes(readings: DataFrame, value_col: str, width: str, key_col: str = "turbine_id",
+                  time_col: str = "timestamp", tie_col: str = "ingestion_timestamp") -> DataFrame:
+    """A line per key thinned out for drawing (R10): of every key and time bucket
+    of ``width`` the first, last, lowest and highest reading, each row once.
+
+    A line drawn through them covers the same ends and peaks as the whole
+    series, at four rows a bucket at most, and every key with a reading stays.
+    One aggregate with a partial combine, so a busy key is thinned out before
+    the shuffle. Rows without a value can be first or last, not lowest or
+    highest; of equal values the earliest is the lowest and the latest the
+    highest. Rows without a time are left out.
+    """
+    t, v = F.col(time_col), F.col(value_col)
+    row = F.struct(t.alias(time_col), F.col(tie_col).alias(tie_col), v.alias(value_col))
+    by_time = F.struct(t, F.col(tie_col))
+    by_value = F.when(v.isNotNull(), F.struct(v, t, F.col(tie_col)))
+    per = readings.filter(t.isNotNull()).groupBy(key_col, F.window(t, width)["start"].alias("bucket")).agg(
+        F.array(F.min_by(row, by_time), F.max_by(row, by_time), F.min_by(row, by_value), F.max_by(row, by_value))
+        .alias("kept"))
+    rows = F.filter(F.array_distinct("kept"), lambda r: r.isNotNull())
+    return per.select(key_col, "bucket", F.explode(rows).alias("r")).select(key_col, "bucket", "r.*")
+
+
 def power_over_time(recent: DataFrame) -> DataFrame:
     """Power by turbine and time, for a line per turbine (R10), from
     ``recent_readings``."""
@@ -214,10 +239,14 @@ def open_ticket_details(log: DataFrame, preview_chars: int = 150) -> DataFrame:
 
 def list_pipelines(runs: DataFrame, term: str = "windmill", cap: int | None = None) -> DataFrame:
     """Runs whose name contains ``term`` (case-insensitive); state defaults to
-    'UNKNOWN' (P12, F32).  ``cap`` limits the listing and is off by default (O4)."""
+    'UNKNOWN' (P12, F32).  ``cap`` keeps the ``cap`` most recently modified ones,
+    in that order, and is off by default (O4)."""
     out = (runs.filter(F.lower(F.col("name")).contains(term.lower()))
            .withColumn("state", R.or_default("state", "UNKNOWN")))
-    return out.limit(cap) if cap else out
+    if cap is None:
+        return out
+    modified = R.to_time("last_modified", "yyyy-MM-dd HH:mm:ss")
+    return out.orderBy(modified.desc_nulls_last(), "id").limit(cap)
 
 
 def pipeline_status(runs: DataFrame, term: str = "windmill") -> DataFrame:

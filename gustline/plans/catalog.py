@@ -8,6 +8,7 @@ clock), the same on the SQL side.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from gustline.plans import medallion as M
 from gustline.plans import oracle as O
 from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
 from gustline.session import prepare, shared_path
-from gustline.sources import fixtures, tables
+from gustline.sources import files, fixtures, tables
 from gustline.streaming import medallion as SM
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -193,10 +194,11 @@ class DispatchFlow:
 
 
 def dispatch_flow(spark: SparkSession, sf_dir: str) -> DispatchFlow:
-    # Gold feeds two branches: stage it once. The candidates (one row per
-    # turbine) and the first round's log rows feed both rounds: stage them too.
-    gold = M.stage(layers(spark, sf_dir).gold, "gold_alerts")
-    queue = M.stage(D.dispatch_candidates(V.dispatch_queue(gold, ordered=False)), "dispatch_candidates")
+    # Gold and the queue are read from the refreshed tables. The candidates (one
+    # row per turbine) and the first round's log rows feed both rounds: stage them.
+    store = stored_tables(spark, sf_dir)
+    gold = store.read(spark, J.GOLD)
+    queue = M.stage(D.dispatch_candidates(store.read(spark, J.QUEUE)), "dispatch_candidates")
     t1, t2 = M.as_of(T1), M.as_of(T2)
     d1 = D.dispatch_decisions(queue, D.empty_log(spark))
     m1 = M.stage(D.monitoring_rows(d1, gold, t1), "log_rows")
@@ -298,8 +300,9 @@ def latest_turbine_status(spark, sf_dir):
 @register("turbine_status", _dsql(
     f"SELECT * EXCLUDE (report) REPLACE ({O.r6(*GOLD_DOUBLES)}) FROM reports WHERE turbine_id = 'TURBINE_00007'"))
 def turbine_status(spark, sf_dir):
-    """Latest gold window of one turbine (P13 key lookup)."""
-    return present(D.turbine_status(layers(spark, sf_dir).gold, "TURBINE_00007"), GOLD_DOUBLES)
+    """Latest gold window of one turbine, looked up in the stored table."""
+    gold = stored_tables(spark, sf_dir).read(spark, J.GOLD)
+    return present(D.turbine_status(gold, "TURBINE_00007"), GOLD_DOUBLES)
 
 
 @register("health_reports", _dsql("SELECT turbine_id, report FROM reports"))
@@ -391,32 +394,57 @@ WHERE event_timestamp >= (SELECT max(event_timestamp) FROM silver) - INTERVAL {h
 ORDER BY "timestamp" DESC, ingestion_timestamp DESC, turbine_id LIMIT 1000"""
 
 
-def stored_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver as a stored table, as the dashboard reads it: the newest time and
-    the rows since then come from the files, not from the whole plan twice."""
-    return M.stage(layers(spark, sf_dir).silver, "silver")
+def stored_tables(spark: SparkSession, sf_dir: str) -> J.RefreshOutput:
+    """The refreshed tables of these readings, as the dashboards read them. The
+    first call of an application runs the refresh job; later ones resolve its
+    current version, until the events change."""
+    events = f"{sf_dir}/events.parquet"
+    state = hashlib.sha256(f"{events} {files.modified(spark, events)}".encode()).hexdigest()[:32]
+    root = shared_path(spark, "dashboard", state)
+    return J.current(spark, root) or J.refresh(spark, fixtures.raw_readings(spark, sf_dir), root, M.as_of())
 
 
 @register("recent_readings", O.with_layers("silver", _RECENT_SQL.format(hours=1)))
 def recent_readings(spark, sf_dir):
     """Last hour of readings before the newest one, newest first, cap 1000 (P10, O2)."""
-    return present(RP.recent_readings(stored_silver(spark, sf_dir)))
+    return present(stored_tables(spark, sf_dir).recent_readings(spark))
+
+
+_DAY_SQL = """
+SELECT turbine_id, event_timestamp AS "timestamp", power_output_kw AS power_output, wind_speed_ms AS wind_speed,
+       alert_level, ingestion_timestamp
+FROM silver WHERE event_timestamp >= (SELECT max(event_timestamp) FROM silver) - INTERVAL 24 HOUR"""
 
 
 @register("power_over_time", O.with_layers("silver", f"""
-SELECT turbine_id, "timestamp", power_output FROM ({_RECENT_SQL.format(hours=24)})"""))
+SELECT turbine_id, "timestamp", power_output FROM ({_DAY_SQL})"""))
 def power_over_time(spark, sf_dir):
-    """Power by turbine and time, for a line per turbine: the newest 1000 readings
-    of the last day, not all of them (R10)."""
-    return present(RP.power_over_time(RP.recent_readings(stored_silver(spark, sf_dir), hours=24)))
+    """Power by turbine and time over the whole last day, a line per turbine."""
+    return present(RP.power_over_time(stored_tables(spark, sf_dir).recent_readings(spark, hours=24, limit=None)))
 
 
 @register("wind_vs_power", O.with_layers("silver", f"""
-SELECT wind_speed, power_output, alert_level FROM ({_RECENT_SQL.format(hours=24)})"""))
+SELECT wind_speed, power_output, alert_level FROM ({_DAY_SQL})"""))
 def wind_vs_power(spark, sf_dir):
-    """Wind speed against power with alert levels: the newest 1000 readings of the
-    last day, not all of them (R10)."""
-    return present(RP.wind_vs_power(RP.recent_readings(stored_silver(spark, sf_dir), hours=24)))
+    """Wind speed against power with alert levels, all readings of the last day."""
+    return present(RP.wind_vs_power(stored_tables(spark, sf_dir).recent_readings(spark, hours=24, limit=None)))
+
+
+@register("power_day_series", O.with_layers("silver", f"""
+SELECT turbine_id, bucket, "timestamp", ingestion_timestamp, power_output
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, "timestamp") AS bucket FROM ({_DAY_SQL}))
+QUALIFY 1 IN (
+  row_number() OVER (PARTITION BY turbine_id, bucket ORDER BY "timestamp", ingestion_timestamp),
+  row_number() OVER (PARTITION BY turbine_id, bucket ORDER BY "timestamp" DESC, ingestion_timestamp DESC),
+  CASE WHEN power_output IS NOT NULL THEN
+    row_number() OVER (PARTITION BY turbine_id, bucket ORDER BY power_output NULLS LAST, "timestamp", ingestion_timestamp) END,
+  CASE WHEN power_output IS NOT NULL THEN
+    row_number() OVER (PARTITION BY turbine_id, bucket ORDER BY power_output DESC NULLS LAST, "timestamp" DESC, ingestion_timestamp DESC) END)"""))
+def power_day_series(spark, sf_dir):
+    """The last day's power lines thinned out to the first, last, lowest and
+    highest reading of each turbine and six hours (R10)."""
+    day = stored_tables(spark, sf_dir).recent_readings(spark, hours=24, limit=None)
+    return present(RP.four_extremes(day, "power_output", "6 hours"))
 
 
 @register("kpi_summary", O.with_layers("silver", f"""
@@ -425,8 +453,8 @@ SELECT * FROM (SELECT count(*) AS total_records, max("timestamp") AS latest_time
           count(CASE WHEN alert_level = 'CRITICAL' THEN 1 END) AS high_alerts FROM silver)"""))
 def kpi_summary(spark, sf_dir):
     """Raw freshness and silver KPIs in one row."""
-    lay = layers(spark, sf_dir)
-    return present(RP.kpi_summary(lay.raw, lay.silver), ("avg_power",))
+    silver = stored_tables(spark, sf_dir).read(spark, J.SILVER)
+    return present(RP.kpi_summary(fixtures.raw_readings(spark, sf_dir), silver), ("avg_power",))
 
 
 @register("latest_readings", O.with_layers("raw", """
@@ -489,13 +517,12 @@ def power_curve_levels(spark, sf_dir):
 # --- pipeline run listing ----------------------------------------------------------
 
 _RUNS_CTE = """runs AS (
-  SELECT CAST(event_id AS VARCHAR) AS id,
-    CASE (event_id // 50) % 3 WHEN 0 THEN 'Windmill-pipeline-' WHEN 1 THEN 'fleet_WINDMILL_' ELSE 'other-' END
-      || (event_id // 50) AS name,
-    CASE (event_id // 50) % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'IDLE' WHEN 2 THEN '' WHEN 3 THEN 'update_running' END
+  SELECT CAST(n AS VARCHAR) AS id,
+    CASE n % 3 WHEN 0 THEN 'Windmill-pipeline-' WHEN 1 THEN 'fleet_WINDMILL_' ELSE 'other-' END || n AS name,
+    CASE n % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'IDLE' WHEN 2 THEN '' WHEN 3 THEN 'update_running' END
       AS state, 'main' AS catalog, 'user' || user_id || '@example.org' AS target,
-    CASE WHEN (event_id // 50) % 7 = 0 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS last_modified
-  FROM events WHERE event_id % 50 = 1
+    CASE WHEN n % 7 = 0 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS last_modified
+  FROM (SELECT event_id // 10 AS n, min(user_id) AS user_id, max(ts) AS ts FROM events GROUP BY ALL)
 ), listed AS (
   SELECT * REPLACE (coalesce(nullif(state, ''), 'UNKNOWN') AS state) FROM runs WHERE lower(name) LIKE '%windmill%'
 )"""
@@ -516,10 +543,11 @@ def pipeline_listing(spark, sf_dir):
 
 
 @register("pipeline_listing_capped", f"""WITH {_RUNS_CTE}
-SELECT least(count(*), 5) AS listed FROM listed""")
+SELECT id, name, state FROM listed
+ORDER BY try_strptime(last_modified, '%Y-%m-%d %H:%M:%S') DESC NULLS LAST, id LIMIT 100""")
 def pipeline_listing_capped(spark, sf_dir):
-    """How many runs a listing capped at 5 shows; the cap is off by default."""
-    return RP.list_pipelines(runs(spark, sf_dir), cap=5).agg(F.count(F.lit(1)).alias("listed"))
+    """The 100 most recently modified matching runs: the cap is the feature."""
+    return RP.list_pipelines(runs(spark, sf_dir), cap=100).select("id", "name", "state")
 
 
 @register("pipeline_status", f"""WITH {_RUNS_CTE}
@@ -609,16 +637,44 @@ def stream_gold(spark, sf_dir):
 @register("sla_incremental", O.with_layers(
     "sla", f"SELECT * REPLACE ({O.r6(*SLA_DOUBLES, 'sla_compliance_rate', 'breach_rate')}) FROM sla"))
 def sla_incremental(spark, sf_dir):
-    """SLA view maintained from partials: older and newer windows of the stored
-    gold table are rolled up separately, merged, then finalized (A11, incremental)."""
+    """SLA view maintained from partials: three parts of the stored gold table are
+    rolled up separately, merged, then finalized (A11, incremental)."""
     gold = M.stage(layers(spark, sf_dir).gold, "gold_alerts")
-    cut = gold.select(F.percentile_approx("window_start", 0.5)).scalar()
-    older = V.sla_partials(gold.filter(F.col("window_start") < cut))
-    newer = V.sla_partials(gold.filter(F.col("window_start") >= cut))
-    return present(V.sla_from_partials(V.merge_sla_partials(older, newer)),
+    parts = [V.sla_partials(gold.filter(c)) for c in _thirds("window_start")]
+    return present(V.sla_from_partials(V.merge_sla_partials(*parts)),
                    SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
 
 
+def _thirds(*cols: str) -> list:
+    """Three filters that deal rows out by a hash of ``cols``."""
+    part = F.pmod(F.xxhash64(*cols), F.lit(3))
+    return [part == n for n in range(3)]
+
+
+@register("gold_incremental", O.with_layers(
+    "gold", f"SELECT * REPLACE ({O.r6(*GOLD_EXT_DOUBLES)}) FROM gold_ext"))
+def gold_incremental(spark, sf_dir):
+    """Gold kept from partials: the readings arrive in three parts that share
+    their windows, each reduced to states, merged and scored (A1-A10)."""
+    silver = M.stage(layers(spark, sf_dir).silver, "silver")
+    parts = [G.gold_partials(silver.filter(c)) for c in _thirds("batch_id")]
+    return present(G.gold_from_partials(G.merge_gold_partials(*parts), M.as_of(), extended=True), GOLD_EXT_DOUBLES)
+
+
+@register("turbine_deviation", O.with_layers("silver", f"""
+SELECT turbine_id, count(gearbox_temp_c) AS gearbox_temp_readings, {O.sround("avg(gearbox_temp_c)", 6)} AS gearbox_temp_mean,
+  {O.sround("stddev_samp(gearbox_temp_c)", 6)} AS gearbox_temp_deviation, count(vibration_ms2) AS vibration_readings,
+  {O.sround("avg(vibration_ms2)", 6)} AS vibration_mean, {O.sround("stddev_samp(vibration_ms2)", 6)} AS vibration_deviation
+FROM silver GROUP BY turbine_id"""))
+def turbine_deviation(spark, sf_dir):
+    """Mean and deviation of gearbox temperature and vibration per turbine, merged
+    from three parts of the readings (A9)."""
+    silver = M.stage(layers(spark, sf_dir).silver.select("turbine_id", "batch_id", "gearbox_temp_c", "vibration_ms2"), "spread")
+    parts = [V.deviation_partials(silver.filter(c)) for c in _thirds("batch_id")]
+    return present(V.turbine_deviation(V.merge_deviation_partials(*parts)),
+                   ("gearbox_temp_mean", "gearbox_temp_deviation", "vibration_mean", "vibration_deviation"))
+
+
 # --- batch refresh job ---------------------------------------------------------------
 
 @register("refreshed_dispatch_queue", O.with_layers(
@@ -636,7 +692,7 @@ def refreshed_sla_performance(spark, sf_dir):
     """SLA view as written by the batch refresh job."""
     out = J.refresh(spark, fixtures.raw_readings(spark, sf_dir),
                     shared_path(spark, "refresh", uuid.uuid4().hex), M.as_of())
-    return present(out.read(spark, "sla_performance_dashboard"),
+    return present(out.read(spark, J.SLA),
                    SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
 
 

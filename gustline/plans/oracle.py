@@ -449,17 +449,20 @@ def log_rows_cte(name: str, decisions: str, at: str) -> str:
 # Log rows of earlier rounds, derived from the events.
 SEED_CTE = """
 seed AS (
-  SELECT CASE WHEN n % 11 = 10 THEN NULL ELSE printf('TURBINE_%05d', eid % 10 + 10 * (eid // 5000)) END AS turbine_id,
+  SELECT CASE WHEN n % 11 = 10 THEN NULL ELSE printf('TURBINE_%05d', no) END AS turbine_id,
     CASE n % 5 WHEN 1 THEN '' WHEN 2 THEN repeat('Seeded ticket detail ', 12) || eid
          WHEN 3 THEN 'short ' || eid WHEN 4 THEN rpad('d', 150, 'x') END AS turbine_details_and_status,
     CAST(n % 100 AS DECIMAL(5,2)) AS dispatch_priority_score, 'MONITORING_REQUIRED' AS recommended_action,
     CAST(n % 9 AS INTEGER) AS maintenance_alerts_count, 'seeded' AS agent_summary,
     'seeded' AS last_agent_action_taken, CASE WHEN st = 'Open' THEN 'TKT-SEED-' || eid END AS Ticket_ID,
     coalesce(st = 'Open', false) AS ticket_filed, st AS ticket_status, seen AS created_at, seen AS updated_at, eid AS id
-  FROM (SELECT event_id AS eid, event_id // 97 AS n,
-               CASE (event_id // 97 + 2) % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Need to File' WHEN 2 THEN 'Closed' END AS st,
-               TIMESTAMP '2024-02-01 00:00:30' + INTERVAL 1 MINUTE * ((event_id // 97) % 3) AS seen
-        FROM events WHERE event_id % 97 = 3)
+  FROM (
+    SELECT eid, no, no + q AS n,
+      CASE (no + q // 50) % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Need to File' WHEN 2 THEN 'Closed' END AS st,
+      CASE WHEN q % 50 = 7 AND no % 3 != 0
+           THEN TIMESTAMP '2024-02-01 00:00:30' + INTERVAL 1 SECOND * (CASE WHEN no % 2 = 0 THEN 60 * (q // 100) ELSE 25 * (q // 50) END)
+           ELSE TIMESTAMP '2024-01-31 12:00:00' + INTERVAL 1 MINUTE * q END AS seen
+    FROM (SELECT event_id AS eid, event_id % 10 + 10 * (event_id // 5000) AS no, (event_id // 10) % 500 AS q FROM events))
 ),
 log0 AS (
   SELECT * EXCLUDE (id), id FROM seed UNION ALL SELECT *, NULL AS id FROM m1

@@ -33,7 +33,6 @@ NULL_POWER, NULL_RPM, BAD_TEMPERATURE = (229, 11), (233, 13), (239, 17)
 BAD_PRESSURE, BAD_VIBRATION, BAD_POSITION = (251, 19), (257, 23), (263, 29)
 NULL_TIME_BATCH = (241, 7)         # batches without an ingestion time
 REVISED_EVERY = (40, 9)            # events delivered again with other values
-SEED_EVERY = (97, 3)               # events that give a row of the seeded log
 
 
 def _h(p: int, q: int, r: int) -> str:
@@ -133,19 +132,22 @@ def revised_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seed_log(events: DataFrame) -> DataFrame:
-    """Dispatch log rows of earlier rounds, one per 97 events: open, needed,
-    closed and missing statuses; missing, empty, 150-character and longer
-    details; equal update times; some rows without a turbine."""
-    every, first = SEED_EVERY
-    rows = events.filter(f"event_id % {every} = {first}").selectExpr(
-        "event_id AS eid", f"event_id div {every} AS n")
+    """Dispatch log rows of earlier rounds, one per event: open, needed, closed
+    and missing statuses; missing, empty, 150-character and longer details;
+    some rows without a turbine. Two turbines of three also have rows behind
+    the first round's, those of even turbines with equal update times."""
+    farm = f"eid % 10 + 10 * (eid div {EVENTS_PER_FARM})"
+    rows = events.selectExpr("event_id AS eid").selectExpr(
+        "eid", f"{farm} AS no", f"(eid div 10) % {EVENTS_PER_FARM // 10} AS q")
+    rows = rows.selectExpr("eid", "no", "q", "q div 50 AS g", "no + q AS n", "q % 50 = 7 AND no % 3 != 0 AS newer")
     rows = rows.selectExpr(
-        "eid", "n", "CASE (n + 2) % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Need to File' WHEN 2 THEN 'Closed' END AS st",
-        "timestamp_seconds(unix_seconds(TIMESTAMP '2024-02-01 00:00:00') + 60 * (n % 3) + 30) AS at")
+        "eid", "no", "n", "CASE (no + g) % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Need to File' WHEN 2 THEN 'Closed' END AS st",
+        "timestamp_seconds(CASE WHEN newer THEN unix_seconds(TIMESTAMP '2024-02-01 00:00:30')"
+        " + CASE WHEN no % 2 = 0 THEN 60 * (g div 2) ELSE 25 * g END"
+        " ELSE unix_seconds(TIMESTAMP '2024-01-31 12:00:00') + 60 * q END) AS at")
     return rows.selectExpr(
         "eid AS id",
-        "CASE WHEN n % 11 = 10 THEN NULL"
-        f" ELSE format_string('TURBINE_%05d', eid % 10 + 10 * (eid div {EVENTS_PER_FARM})) END AS turbine_id",
+        "CASE WHEN n % 11 = 10 THEN NULL ELSE format_string('TURBINE_%05d', no) END AS turbine_id",
         "CASE n % 5 WHEN 1 THEN '' WHEN 2 THEN concat(repeat('Seeded ticket detail ', 12), eid)"
         " WHEN 3 THEN concat('short ', eid) WHEN 4 THEN rpad('d', 150, 'x') END AS turbine_details_and_status",
         "CAST(n % 100 AS DECIMAL(5,2)) AS dispatch_priority_score", "'MONITORING_REQUIRED' AS recommended_action",
@@ -156,11 +158,13 @@ def seed_log(events: DataFrame) -> DataFrame:
 
 
 def pipeline_runs(events: DataFrame) -> DataFrame:
-    """A listing of pipeline runs, one per 50 events: names with and without the
-    search term in either case, running, idle, empty and missing states."""
-    rows = events.filter("event_id % 50 = 1").selectExpr("event_id AS eid", "event_id div 50 AS n", "user_id", "ts")
-    return rows.selectExpr(
-        "CAST(eid AS STRING) AS id",
+    """A listing of pipeline runs, one per ingest batch (modified at its newest
+    event, owned by its smallest user): names with and without the search term
+    in either case, running, idle, empty and missing states."""
+    batches = events.groupBy(F.expr(f"event_id div {READINGS_PER_BATCH}").alias("n")).agg(
+        F.min("user_id").alias("user_id"), F.max("ts").alias("ts"))
+    return batches.selectExpr(
+        "CAST(n AS STRING) AS id",
         "concat(CASE n % 3 WHEN 0 THEN 'Windmill-pipeline-' WHEN 1 THEN 'fleet_WINDMILL_' ELSE 'other-' END, n) AS name",
         "CASE n % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'IDLE' WHEN 2 THEN '' WHEN 3 THEN 'update_running' END AS state",
         "'main' AS catalog", "concat('user', user_id, '@example.org') AS target",

@@ -273,5 +273,8 @@ def read_sla_view(spark: SparkSession, layout: StreamLayout) -> DataFrame:
     """The SLA view from the newest committed partials version."""
     from gustline.operators import views as V
 
-    parts = spark.read.parquet(f"{layout.sla_partials}/epoch={_epochs(spark, layout.sla_partials)[-1]}")
-    return V.sla_from_partials(parts)
+    epochs = _epochs(spark, layout.sla_partials)
+    if not epochs:  # no gold window has been closed yet
+        empty = S.clean_readings(S.to_bronze(spark.createDataFrame([], RAW_SENSOR_SCHEMA)), F.current_timestamp())
+        return V.sla_performance(G.maintenance_alerts(empty))
+    return V.sla_from_partials(spark.read.parquet(f"{layout.sla_partials}/epoch={epochs[-1]}"))

@@ -45,7 +45,8 @@ def test_query_matches_oracle(spark, con, name):
     s = pd.DataFrame([r.asDict() for r in sdf.collect()], columns=sdf.columns)
     d = con.sql(catalog.oracle_sql()[name]).df()
     assert rows(s) == rows(d)
-    clear_shared(spark)
+    for folder in ("staged", "streams", "refresh", "catalog"):
+        clear_shared(spark, folder)
 
 
 def test_every_query_has_oracle():
