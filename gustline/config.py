@@ -132,3 +132,7 @@ class PipelineConfig:
 
 
 DEFAULT = PipelineConfig()
+
+# Folders of the views that follow a stream, below the stream's root.
+QUEUE_STORE, TOTALS_STORE = "dispatch_queue_store", "batch_totals_store"
+CHECKED_SILVER, EVENT_LOG_STORE = "checked_silver", "event_log"

@@ -40,12 +40,13 @@ def sla_performance(gold: DataFrame) -> DataFrame:
     return rated.withColumn("performance_tier", R.performance_tier())
 
 
-def dispatch_queue(gold: DataFrame, ordered: bool = True) -> DataFrame:
+def dispatch_queue(gold: DataFrame, ordered: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """Non-routine windows with work estimates, most urgent first.
 
     The filter and CASE columns are narrow; the only wide step is the final
     ordering, which is a presentation sort (range-partitioned, parallel).
-    Pass ``ordered=False`` on streams or when the consumer sorts.
+    Pass ``ordered=False`` on streams or when the consumer sorts; ``extra``
+    gold columns are kept behind the queue's own.
     """
     queue = (gold
              .filter(F.col("recommended_action") != C.ACT_ROUTINE)
@@ -54,7 +55,7 @@ def dispatch_queue(gold: DataFrame, ordered: bool = True) -> DataFrame:
                  "crew_size_required": R.crew_size(),
                  "equipment_required": R.equipment(),
              })
-             .select(*QUEUE_COLUMNS))
+             .select(*QUEUE_COLUMNS, *extra))
     if ordered:
         queue = queue.orderBy(F.col("dispatch_priority_score").desc(),
                               F.col("estimated_maintenance_window_days").asc())

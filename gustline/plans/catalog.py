@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustline import config as C
 from gustline.functions import quality as Q
 from gustline.functions import rules as R
 from gustline.operators import dispatch as D
@@ -30,7 +31,9 @@ from gustline.plans import oracle as O
 from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
 from gustline.session import prepare, shared_path
 from gustline.sources import files, fixtures, tables
+from gustline.sources.ticket_log import TicketLog
 from gustline.streaming import medallion as SM
+from gustline.streaming import upkeep as UP
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -735,6 +738,105 @@ def stream_sla_incremental(spark, sf_dir):
     return present(SM.read_sla_view(spark, layout), SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
 
 
+# --- views that follow the stream -----------------------------------------------------
+
+_CLOSED_CTE = """
+closed AS (
+  SELECT * FROM gold_ext WHERE bucket_end <= (SELECT max(ingestion_timestamp) FROM silver) - INTERVAL 5 MINUTES
+),""" + O.QUEUE_CTE.replace("FROM gold ", "FROM closed ")
+
+
+def raw_drops(spark: SparkSession, sf_dir: str, layout: SM.StreamLayout, n: int = 3):
+    """Write the raw readings as ``n`` time-ordered file drops, one at a time;
+    yields the folder after each."""
+    raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
+    for part in SM.time_slices(raw, n=n):
+        raw.filter(part).write.mode("append").parquet(f"{layout.root}/raw")
+        yield f"{layout.root}/raw"
+
+
+def finished(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@register("stream_dispatch_queue", O.with_layers(
+    "gold", f"SELECT * REPLACE ({O.r6(*QUEUE_DOUBLES)}) FROM queue", extra=_CLOSED_CTE))
+def stream_dispatch_queue(spark, sf_dir):
+    """Queue kept current by keyed upserts over the gold stream: three file drops
+    and a run after each (T6)."""
+    layout = SM.StreamLayout.under_shared(spark, f"queue-{uuid.uuid4().hex}")
+    schema = None
+    for folder in raw_drops(spark, sf_dir, layout):
+        SM.run_chain(spark, folder, layout, M.as_of())
+        if schema is None and SM._has_files(spark, layout.gold):
+            schema = spark.read.parquet(layout.gold).schema
+        if schema is not None:
+            finished(UP.start_queue_refresh(spark, layout, schema))
+    return present(UP.read_queue_view(spark, layout, schema), QUEUE_DOUBLES)
+
+
+@register("stream_cumulative_fault_rate", REGISTRY["cumulative_fault_rate"][1])
+def stream_cumulative_fault_rate(spark, sf_dir):
+    """Running totals carried over micro-batches: three file drops, the middle
+    one last, so that it shifts what the newest batches start from (A13)."""
+    layout = SM.StreamLayout.under_shared(spark, f"totals-{uuid.uuid4().hex}")
+    raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
+    first, middle, last = SM.time_slices(raw, n=3)
+    for part in (first, last, middle):
+        raw.filter(part).write.mode("append").parquet(f"{layout.root}/raw")
+        finished(UP.start_totals(spark, f"{layout.root}/raw", layout))
+    return present(UP.read_running_totals(spark, layout), ("fault_rate_pct",))
+
+
+@register("stream_event_log", _VIOLATIONS_SQL)
+def stream_event_log(spark, sf_dir):
+    """Rows that each quality rule rejects, added up over the event log that the
+    micro-batches wrote themselves (T7, P5)."""
+    layout = SM.StreamLayout.under_shared(spark, f"log-{uuid.uuid4().hex}")
+    for folder in raw_drops(spark, sf_dir, layout):
+        finished(UP.start_checked_silver(spark, folder, layout, M.as_of()))
+    rules = [r.name for r in Q.SILVER_EXPECTATIONS]
+    total = UP.read_event_log(spark, layout).agg(*[F.sum(c).alias(c) for c in ("total_records", *rules)])
+    return total.unpivot("total_records", rules, "rule", "failed_records")
+
+
+@register("stream_checked_silver", O.with_layers("silver", "SELECT * FROM silver"))
+def stream_checked_silver(spark, sf_dir):
+    """Silver rows written by the batches that log themselves."""
+    layout = SM.StreamLayout.under_shared(spark, f"log-{uuid.uuid4().hex}")
+    for folder in raw_drops(spark, sf_dir, layout):
+        finished(UP.start_checked_silver(spark, folder, layout, M.as_of()))
+    return present(UP.read_checked_silver(spark, layout))
+
+
+def compacted_log(spark: SparkSession, sf_dir: str) -> TicketLog:
+    """The ticket flow's log as a stored table: earlier rounds, compacted, then
+    the first round's rows and the filings as deltas, of which the former are compacted as well."""
+    flow = dispatch_flow(spark, sf_dir)
+    log = TicketLog(spark, shared_path(spark, "tickets", uuid.uuid4().hex))
+    log.append(fixtures.seed_log(fixtures.load_events(spark, sf_dir)))
+    log.compact()
+    log.append(flow.log1)
+    log.compact()
+    log.append(D.file_tickets(log.state(), M.as_of(T2))[1])
+    return log
+
+
+@register("open_tickets_compacted", REGISTRY["open_tickets"][1])
+def open_tickets_compacted(spark, sf_dir):
+    """Open turbines from the stored log's snapshot and the deltas behind it."""
+    state = compacted_log(spark, sf_dir).state()
+    return present(state.filter(F.col("ticket_status") == C.TICKET_OPEN).select("turbine_id", "ticket_status"))
+
+
+@register("ticket_status_history", REGISTRY["ticket_status_breakdown"][1])
+def ticket_status_history(spark, sf_dir):
+    """Rows per status over all that was ever appended to the stored log."""
+    return RP.ticket_status_breakdown(compacted_log(spark, sf_dir).history())
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
