@@ -23,12 +23,13 @@ def _position(col: str, time_col: str, how: str) -> Column:
 
 
 def window_aggregates(silver: DataFrame, cfg: PipelineConfig = C.DEFAULT,
-                      position: str = "earliest") -> DataFrame:
+                      position: str = "earliest", extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Per (turbine, tumbling bucket, fault category, alert level) aggregates (A1-A10).
 
     Every aggregate is algebraic (count/sum/avg/min/max/stddev/min_by), so
     Spark plans a partial aggregate before the shuffle and a hot turbine is
-    pre-combined on the map side.
+    pre-combined on the map side.  ``extra_keys`` may add columns that a window
+    determines (a storage key): the groups stay the same.
     """
     ts = cfg.time_column
     t = F.col
@@ -63,7 +64,7 @@ def window_aggregates(silver: DataFrame, cfg: PipelineConfig = C.DEFAULT,
     ]
     return (silver
             .groupBy(F.col("turbine_id"), F.window(ts, cfg.window).alias("time_window"),
-                     F.col("fault_category"), F.col("alert_level"))
+                     F.col("fault_category"), F.col("alert_level"), *extra_keys)
             .agg(*aggs))
 
 
@@ -90,14 +91,14 @@ def score_windows(agg: DataFrame, processing_time: Column | None = None,
 
 def maintenance_alerts(silver: DataFrame, processing_time: Column | None = None,
                        cfg: PipelineConfig = C.DEFAULT, extended: bool = False,
-                       position: str = "earliest") -> DataFrame:
+                       position: str = "earliest", extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Gold table (33 columns; ``extended`` adds bucket bounds and 4 more aggregates).
 
     ``window_start``/``window_end`` are the first and last reading times of
     the group, not the bucket bounds (those are ``bucket_start``/``bucket_end``).
     """
     cols = GOLD_COLUMNS + (GOLD_EXTENDED_COLUMNS if extended else ())
-    scored = score_windows(window_aggregates(silver, cfg, position), processing_time, cfg)
+    scored = score_windows(window_aggregates(silver, cfg, position, extra_keys), processing_time, cfg)
     return scored.select(*cols)
 
 

@@ -96,19 +96,20 @@ DEDUP = {"any": dedup_readings, "smallest": dedup_deterministic, "latest": dedup
 
 def silver_candidates(bronze: DataFrame, processing_time: Column | None = None,
                       t: Thresholds = C.DEFAULT.thresholds, keep: str = "any",
-                      keys=DEDUP_KEYS) -> DataFrame:
+                      keys=DEDUP_KEYS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Deduplicated, enriched rows in silver column order, before the rules.
-    ``keep``: which of several deliveries stays, any, the smallest or the latest."""
+    ``keep``: which of several deliveries stays, any, the smallest or the latest;
+    ``extra`` columns of the input are kept behind silver's own."""
     deduped = DEDUP[keep](bronze, keys)
-    return enrich(standardize(deduped), processing_time, t).select(*SILVER_COLUMNS)
+    return enrich(standardize(deduped), processing_time, t).select(*SILVER_COLUMNS, *extra)
 
 
 def clean_readings(bronze: DataFrame, processing_time: Column | None = None,
                    t: Thresholds = C.DEFAULT.thresholds, rules=Q.SILVER_EXPECTATIONS,
-                   keep: str = "any", keys=DEDUP_KEYS) -> DataFrame:
+                   keep: str = "any", keys=DEDUP_KEYS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Silver table: dedup -> standardize -> enrich -> quality rules (31 columns).
 
     The rules see the output columns, so e.g. the wind rule tests the
     rounded wind speed.
     """
-    return Q.expect_or_drop(silver_candidates(bronze, processing_time, t, keep, keys), rules)
+    return Q.expect_or_drop(silver_candidates(bronze, processing_time, t, keep, keys, extra), rules)

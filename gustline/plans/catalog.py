@@ -25,6 +25,7 @@ from gustline.operators import gold as G
 from gustline.operators import reporting as RP
 from gustline.operators import silver as S
 from gustline.operators import views as V
+from gustline.plans import colocated as CO
 from gustline.plans import jobs as J
 from gustline.plans import medallion as M
 from gustline.plans import oracle as O
@@ -738,6 +739,40 @@ def stream_sla_incremental(spark, sf_dir):
     return present(SM.read_sla_view(spark, layout), SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
 
 
+# --- co-located storage ----------------------------------------------------------------
+
+def colocated(spark: SparkSession, sf_dir: str) -> CO.Colocated:
+    """Raw and gold as bucketed tables in a catalog schema of their own."""
+    schema = f"gustline_{uuid.uuid4().hex}"
+    folder = shared_path(spark, "catalog", schema)
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{folder}'")
+    return CO.Colocated(spark, schema, folder, buckets=16)
+
+
+def from_colocated(spark: SparkSession, sf_dir: str, view: Callable[[CO.Colocated], DataFrame]) -> DataFrame:
+    """A view of the co-located tables, staged before the tables are dropped."""
+    store = colocated(spark, sf_dir)
+    try:
+        store.store_raw(fixtures.raw_readings(spark, sf_dir))
+        store.store_gold(store.gold(M.as_of()))
+        return M.stage(view(store), "colocated")
+    finally:
+        spark.sql(f"DROP SCHEMA {store.schema} CASCADE")
+
+
+@register("colocated_sla_performance", REGISTRY["sla_performance"][1])
+def colocated_sla_performance(spark, sf_dir):
+    """SLA rollup of gold bucketed by turbine, itself made from raw bucketed by
+    turbine and hour: no exchange in either (A1, A11, D1)."""
+    return present(from_colocated(spark, sf_dir, lambda t: t.sla()), SLA_DOUBLES + ("sla_compliance_rate", "breach_rate"))
+
+
+@register("colocated_candidates", REGISTRY["dispatch_candidates"][1])
+def colocated_candidates(spark, sf_dir):
+    """Latest queue row per turbine from gold bucketed by turbine."""
+    return present(from_colocated(spark, sf_dir, lambda t: D.dispatch_candidates(t.queue())), QUEUE_DOUBLES)
+
+
 # --- views that follow the stream -----------------------------------------------------
 
 _CLOSED_CTE = """
