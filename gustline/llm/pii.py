@@ -21,6 +21,7 @@ import math
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -44,6 +45,12 @@ CORE = re.compile(r"[0-9@]\S{0,120}(?:\x20[(+\[-]?\S{0,40}[0-9@]\S{0,120}|\x20[(
 SPELT = re.compile(r"[(\[]at[)\]]\x20?[\w-]{1,63}(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\w-]{1,63})+")
 LOCAL = re.compile(r"[\w.%+-]{1,64}\x20?\Z")
 ATOM = re.compile(r"[^\W_]+|\S")
+OCTETS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+NUMBER_HEAD = re.compile(r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,18}")  # the longest number that starts here
+LEAST_CHARS, MOST_CHARS = 7, 96  # of one entity
+BEFORE, AFTER = 16, 6  # characters of context that features look at
+ZEROS = str.maketrans("123456789", "000000000")
+REMEMBERED = 50_000
 GOES_ON = re.compile(r"\x20?[(\[]dot[)\]]|[.\x20-][0-9]|\.\w")
 ADDRESS = re.compile(r"[\w.%+-]+\x20?(?:@|[(\[]at[)\]])\x20?[\w-]+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\w-]+)+")
 NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9])+")
@@ -101,20 +108,44 @@ class Region:
 
 
 def regions(text: str, taken: list[tuple[int, int, int]] = ()) -> list[Region]:
-    """Regions that hold candidates not overlapping the spans ``taken``."""
-    out, t = [], 0
-    for begin, at in _ranges(text):
+    """Regions that hold candidates not overlapping the spans ``taken``, with
+    their features (for learning; ``Scorer`` gathers none)."""
+    found = (_region(text, _gaps(begin, end, blocked)) for begin, end, blocked in _open_ranges(text, taken))
+    return [r for r in found if r.segments]
+
+
+def _open_ranges(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list]]:
+    """Each range with the spans of ``taken`` that reach into it."""
+    t = 0
+    for begin, end in _ranges(text):
         while t < len(taken) and taken[t][2] <= begin:
             t += 1
         blocked = []
-        for s in taken[t:]:
-            if s[0] >= at:
+        for n in range(t, len(taken)):
+            if taken[n][0] >= end:
                 break
-            blocked.append(s)
-        r = _region(text, begin, at, blocked)
-        if r.segments:
-            out.append(r)
-    return out
+            blocked.append(taken[n])
+        yield begin, end, blocked
+
+
+def _zeroed(text: str, ranges: list[tuple[int, int, list]]) -> str:
+    """The text with zeros for the digits in and around the ranges."""
+    parts, at = [], 0
+    for begin, end, _ in ranges:
+        lo, hi = max(at, begin - BEFORE), end + AFTER
+        parts += [text[at:lo], text[lo:hi].translate(ZEROS)]
+        at = max(at, hi)
+    return "".join(parts) + text[at:]
+
+
+def _gaps(begin: int, end: int, blocked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the blocked spans leave of a range."""
+    gaps, at = [], begin
+    for s in blocked:
+        gaps.append((at, s[0]))
+        at = max(at, s[2])
+    gaps.append((at, end))
+    return [(lo, hi) for lo, hi in gaps if hi - lo >= 6]
 
 
 def _ranges(text: str) -> list[tuple[int, int]]:
@@ -142,16 +173,17 @@ def _ranges(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def _region(text: str, begin: int, end: int, blocked: list[tuple[int, int, int]]) -> Region:
-    gaps, at = [], begin
-    for s in blocked:
-        gaps.append((at, s[0]))
-        at = max(at, s[2])
-    gaps.append((at, end))
+def _is_candidate(s: str) -> bool:
+    """Whether a segment has the outline of a number or an address. All digits
+    count alike."""
+    if NUMBER.fullmatch(s):
+        return 7 <= sum(c.isdigit() for c in s) <= 19
+    return ADDRESS.fullmatch(s) is not None
+
+
+def _region(text: str, gaps: list[tuple[int, int]]) -> Region:
     r = Region([], [])
     for lo, hi in gaps:
-        if hi - lo < 6:
-            continue
         first = len(r.starts)
         for m in ATOM.finditer(text, lo, hi):
             r.starts.append(m.start())
@@ -164,36 +196,180 @@ def _region(text: str, begin: int, end: int, blocked: list[tuple[int, int, int]]
                 if not text[r.ends[j - 1] - 1].isalnum():
                     continue
                 s = text[r.starts[i]:r.ends[j - 1]]
-                if len(s) < 7 or len(s) > 96:
-                    continue
-                if NUMBER.fullmatch(s):
-                    if not 7 <= sum(c.isdigit() for c in s) <= 19:
-                        continue
-                elif not ADDRESS.fullmatch(s):
-                    continue
-                r.segments.append((i, j, features(s, text[max(0, r.starts[i] - 16):r.starts[i]],
-                                                  text[r.ends[j - 1]:r.ends[j - 1] + 6])))
+                if LEAST_CHARS <= len(s) <= MOST_CHARS and _is_candidate(s):
+                    r.segments.append((i, j, features(s, text[max(0, r.starts[i] - BEFORE):r.starts[i]],
+                                                      text[r.ends[j - 1]:r.ends[j - 1] + AFTER])))
     return r
 
 
 def features(s: str, before: str, after: str) -> list[int]:
     """Numbers (hashes) of the features of one whole segment."""
-    digits = "".join(c for c in s if c.isdigit())
+    names = _shape_features(s) + _left_features(before) + _right_features(after)
+    names += [f"check={_checks(s)}", f"octets={_octets(s)}"]
+    return [zlib.crc32(n.encode()) for n in names]
+
+
+def _shape_features(s: str) -> list[str]:
+    """What a segment looks like with all digits alike."""
     shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "d", s))
     groups = re.findall("[0-9]+", s)
-    words = re.findall(r"[^\W\d_]+", before.lower())
-    names = [
-        "bias", "shape=" + shape, "chars=" + "".join(sorted(set(shape))), f"digits={len(digits)}",
+    return [
+        "bias", "shape=" + shape, "chars=" + "".join(sorted(set(shape))), f"digits={sum(c.isdigit() for c in s)}",
         f"first={s[0] if not s[0].isalnum() else shape[0]}", f"groups={len(groups)}",
         "sizes=" + "-".join(str(len(g)) for g in groups[:6]),
-        f"check={12 <= len(digits) <= 19 and luhn(digits)}",
-        f"octets={len(groups) == 4 and shape == 'd.d.d.d' and all(len(g) <= 3 and int(g) <= 255 for g in groups)}",
-        "left=" + (before[-1:] if not before[-1:].isalnum() else "a"),
-        "right=" + (after[:1] if not after[:1].isalnum() else "a"),
-        f"goes_on={GOES_ON.match(after) is not None}",
-        "word=" + (words[-1] if words else ""),
     ]
-    return [zlib.crc32(n.encode()) for n in names]
+
+
+def _left_features(before: str) -> list[str]:
+    words = re.findall(r"[^\W\d_]+", before.lower())
+    return ["left=" + (before[-1:] if not before[-1:].isalnum() else "a"), "word=" + (words[-1] if words else "")]
+
+
+def _right_features(after: str) -> list[str]:
+    return ["right=" + (after[:1] if not after[:1].isalnum() else "a"), f"goes_on={GOES_ON.match(after) is not None}"]
+
+
+def _checks(s: str) -> bool:
+    digits = "".join(c for c in s if c.isdigit())
+    return 12 <= len(digits) <= 19 and luhn(digits)
+
+
+def _octets(s: str) -> bool:
+    return OCTETS.fullmatch(s) is not None and all(int(g) <= 255 for g in s.split("."))
+
+
+# -- scores of candidates, remembered by what they look like ---------------------------
+class Scorer:
+    """Best entities of a region without its candidates being gathered.
+
+    Two places of a text that look alike, digits apart, have the same
+    candidates with the same scores but for the check digit and the octets.
+    They are worked out once per look (the characters an entity and its context
+    may take, with digits as zeros) and kept within bounds, and only those
+    that could gain are kept: a segment whose score isn't above zero never
+    betters leaving its atoms out. The program then takes one look-up for each
+    atom, however many digits a text holds.
+    """
+
+    def __init__(self, weights: dict[tuple[int, int], float]):
+        self.weights = weights
+        self.looks: dict[tuple, list] = {}
+        self.segments: dict[str, tuple | None] = {}
+        self.left: dict[str, list[float]] = {}
+        self.right: dict[str, list[float]] = {}
+        self.flags = {(c, o): self._sum([f"check={c}", f"octets={o}"]) for c in (False, True) for o in (False, True)}
+
+    def _sum(self, names: list[str]) -> list[float]:
+        features = [zlib.crc32(n.encode()) for n in names]
+        return [sum(self.weights.get((f, k), 0.0) for f in features) for k in range(len(KINDS))]
+
+    def _kept(self, sums: dict[str, list[float]], text: str, named) -> list[float]:
+        got = sums.get(text)
+        if got is None:
+            if len(sums) > REMEMBERED:
+                sums.clear()
+            got = sums[text] = self._sum(named(text))
+        return got
+
+    def _segment(self, s: str) -> tuple | None:
+        """(scores by kind, may check, may be octets) of a segment with zeros for
+        digits; None if it is no candidate."""
+        if s in self.segments:
+            return self.segments[s]
+        if len(self.segments) > REMEMBERED:
+            self.segments.clear()
+        got = None
+        if _is_candidate(s):
+            n = sum(c.isdigit() for c in s)
+            got = (self._sum(_shape_features(s)), 12 <= n <= 19, OCTETS.fullmatch(s) is not None)
+        self.segments[s] = got
+        return got
+
+    def _look(self, tail: str, room: int, reach: int, before: str) -> list[tuple]:
+        """(atoms, length, variants) of the candidates that start here and are at
+        most ``reach`` long; variants by (check, octets): (kind, score) of the
+        best kind, None if not above 0."""
+        out, left = [], self._kept(self.left, before, _left_features)
+        for n, m in enumerate(ATOM.finditer(tail, 0, room), 1):
+            if n > MAX_ATOMS or m.end() > reach:
+                break
+            if m.end() < LEAST_CHARS or not tail[m.end() - 1].isalnum():
+                continue
+            got = self._segment(tail[:m.end()])
+            if got is None:
+                continue
+            scores, may_check, may_octets = got
+            right = self._kept(self.right, tail[m.end():m.end() + AFTER], _right_features)
+            variants = {}
+            for check in {False, may_check}:
+                for octets in {False, may_octets}:
+                    total = [a + b + c + d for a, b, c, d in zip(scores, left, right, self.flags[check, octets])]
+                    most = max(total)
+                    variants[check, octets] = (total.index(most), most) if most > 0 else None
+            if any(variants.values()):
+                out.append((n, m.end(), variants))
+        return out
+
+    def best(self, text: str, plain: str, gaps: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, kind, end) of the best entities of the gaps of one range;
+        ``plain`` is the text with zeros for digits."""
+        out = []
+        for lo, hi in gaps:
+            addresses = any(mark in plain[lo:hi] for mark in ("@", "at)", "at]"))
+            starts, ends = [], []
+            for m in ATOM.finditer(plain, lo, hi):
+                starts.append(m.start())
+                ends.append(m.end())
+            n = len(starts)
+            best, back = [0.0] * (n + 1), [None] * (n + 1)
+            gain, via = {}, {}  # of the ends ahead: the best way to them so far
+            for i in range(n):
+                if i and i in gain:
+                    value = gain.pop(i)
+                    how = via.pop(i)
+                    best[i], back[i] = (value, how) if value > best[i - 1] else (best[i - 1], None)
+                elif i:
+                    best[i] = best[i - 1]
+                at = starts[i]
+                reach = min(hi, at + MOST_CHARS)
+                if not addresses:
+                    number = NUMBER_HEAD.match(plain, at, reach)
+                    if not number:
+                        continue
+                    reach = number.end()
+                elif not (plain[at].isalnum() or plain[at] in "+("):
+                    continue
+                context, tail = plain[max(0, at - BEFORE):at], plain[at:reach + AFTER]
+                key = (context, tail, reach - at, hi - at if hi - at < len(tail) else -1)
+                look = self.looks.get(key)
+                if look is None:
+                    if len(self.looks) > REMEMBERED:
+                        self.looks.clear()
+                    look = self.looks[key] = self._look(tail, min(hi - at, len(tail)), reach - at, context)
+                for atoms, length, variants in look:
+                    if len(variants) == 1:
+                        got = variants[False, False]
+                    else:
+                        s = text[at:at + length]
+                        got = variants.get((_checks(s), _octets(s)))
+                    if got is None:
+                        continue
+                    j, value = i + atoms, best[i] + got[1]
+                    if value > gain.get(j, -math.inf):
+                        gain[j], via[j] = value, (i, got[0])
+            if n:
+                value = gain.get(n, -math.inf)
+                best[n], back[n] = (value, via[n]) if value > best[n - 1] else (best[n - 1], None)
+            own, j = [], n
+            while j:
+                if back[j] is None:
+                    j -= 1
+                else:
+                    i, k = back[j]
+                    own.append((starts[i], k, ends[j - 1]))
+                    j = i
+            out += own[::-1]
+        return out
 
 
 # -- the field -----------------------------------------------------------------------
@@ -202,6 +378,7 @@ class Field:
 
     def __init__(self, weights: dict[tuple[int, int], float] | None = None):
         self.weights: dict[tuple[int, int], float] = weights or {}
+        self.scorer: Scorer | None = None
 
     def scored(self, r: Region) -> list[tuple[int, int, int, float, list[int]]]:
         """(first, end, kind, score, features) by end."""
@@ -210,7 +387,7 @@ class Field:
         return sorted(out, key=lambda x: x[1])
 
     def decode(self, r: Region) -> list[tuple[int, int, int]]:
-        """The best set of entities, as (start, kind, end)."""
+        """The best set of entities of a region, as (start, kind, end)."""
         n = len(r.starts)
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         by_end = defaultdict(list)
@@ -231,9 +408,21 @@ class Field:
                 j = i
         return out[::-1]
 
+    def added(self, text: str, taken: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+        """The best set of entities of each region of a text that don't overlap
+        the spans ``taken``, as (start, kind, end)."""
+        if self.scorer is None:
+            self.scorer = Scorer(self.weights)
+        ranges, out = list(_open_ranges(text, taken)), []
+        plain = _zeroed(text, ranges) if ranges else text
+        for begin, end, blocked in ranges:
+            out += self.scorer.best(text, plain, _gaps(begin, end, blocked))
+        return out
+
     def learn(self, r: Region, gold: set[tuple[int, int, int]], grads: dict, rate: float) -> None:
         """One step of gradient ascent (steps shrink with a weight's squared
         gradients so far, ``grads``)."""
+        self.scorer = None
         segments, n = self.scored(r), len(r.starts)
         ending, starting = defaultdict(list), defaultdict(list)
         for s in segments:
@@ -330,8 +519,7 @@ def find(text: str, learned: Field) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, base) of all personal data in a text."""
     base = base_spans(text)
     spans = [(*s, True) for s in base]
-    for r in regions(text, base):
-        spans += [(*s, False) for s in learned.decode(r)]
+    spans += [(*s, False) for s in learned.added(text, base)]
     return sorted(spans)
 
 

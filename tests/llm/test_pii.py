@@ -54,6 +54,40 @@ def test_field_decodes_the_best_set_of_segments():
     assert f.decode(r) == [(0, 3, 7)]
 
 
+def test_remembered_looks_decode_like_gathered_candidates():
+    """``added`` against the program over gathered candidates."""
+    import random
+
+    rng = random.Random(8)
+    pieces = ["(736) 555-2678", "4111 1111 1111 1111", "10.0.0.256", "1 2 3 4 5 6 7 8 9", "jo (at) mail.example (dot) com", "word",
+              "a@b", "x@y.example", "+49 30 1234567", "1234567", "12.04.2024 13:55", "٣٤٥ 1234567", "0" * 30, ", ", "(", "\n", "Straße5 77 88 99 00"]
+    kinds = range(len(P.KINDS))
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    names = sorted({f for t in texts for r in P.regions(t) for _, _, fs in r.segments for f in fs})
+    f = P.Field({(n, k): rng.uniform(-1.2, 1.3) for n in names for k in kinds})
+    found = 0
+    for t in texts:
+        base = P.base_spans(t)
+        want = [s for r in P.regions(t, base) for s in f.decode(r)]
+        assert f.added(t, base) == want and f.added(t) == [s for r in P.regions(t) for s in f.decode(r)], t
+        found += len(want)
+    assert found > 200
+
+
+def test_a_megabyte_of_digits_is_searched_within_seconds(spark):
+    import random
+    import time
+
+    learned = P.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(2)
+    numbers = " ".join(str(rng.randint(0, 10 ** rng.randint(1, 8))) for _ in range(180_000))
+    table = "\n".join(",".join(f"{rng.uniform(0, 1000):.{rng.randint(0, 4)}f}" for _ in range(10)) for _ in range(16_000))
+    for text in ("1 " * 500_000, numbers, table, "7" * 1_000_000):
+        began = time.process_time()
+        P.find(text, learned)
+        assert time.process_time() - began < 40  # seconds where a machine is not slowed down
+
+
 def test_learning_raises_the_likelihood_of_the_labels():
     text = "call +1 (736) 555-2678 now"
     gold = set(P.base_spans(text))
