@@ -24,9 +24,10 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import col, replace_columns, whole_text
+from gustline.llm.common import col, replace_columns, stage, whole_text
 
 MARK, NOT_MARK = "", ""
+MATCHES_PER_CHUNK = 128
 MAX_EXACT = 64  # strings that a part of an expression may stand for before it counts as open
 
 
@@ -200,24 +201,54 @@ def candidates(docs: DataFrame, key: Column, text: Column, rules: tuple[Rule, ..
 
 
 # -- spans ------------------------------------------------------------------------------
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
-    """array<struct<start, no, end>> of the rule's matches, in text order."""
+    """array<struct<start, no, end>> of the rule's matches, in text order.
+
+    An array can only be added to by copying it, so the pieces between marks
+    are gone through in chunks of bounded length whose results are joined once:
+    the time per match doesn't grow with their number."""
     parts = 3 if rule.grouped else 2  # pieces per match, with the one before it
     marked = F.regexp_replace(text, rule.java, f"{MARK}$1{MARK}$2{MARK}" if rule.grouped else f"{MARK}$0{MARK}")
-    pieces = F.transform(F.split(marked, MARK), F.char_length)
     kind = "array<struct<start:int,no:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("begin"),
-                     F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, size: Column) -> Column:
-        turn = acc["n"] % parts
-        begin = F.when(turn == 1, acc["at"]).otherwise(acc["begin"])
-        hit = (turn == parts - 1) & (size >= rule.least)
-        span = F.array(F.struct(begin.alias("start"), F.lit(number).alias("no"), (acc["at"] + size).alias("end")))
-        return F.struct((acc["at"] + size).alias("at"), (acc["n"] + 1).alias("n"), begin.alias("begin"),
-                        F.when(hit, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    chunk = parts * MATCHES_PER_CHUNK
+
+    def spans_of(sizes: Column, first: Column) -> Column:
+        """Matches of one chunk, which begins with the piece before a match."""
+        start = F.struct(first.alias("at"), F.lit(0).alias("n"), F.lit(0).alias("begin"),
+                         F.array().cast(kind).alias("out"))
+
+        def step(acc: Column, size: Column) -> Column:
+            turn = acc["n"] % parts
+            begin = F.when(turn == 1, acc["at"]).otherwise(acc["begin"])
+            hit = (turn == parts - 1) & (size >= rule.least)
+            span = F.array(F.struct(begin.alias("start"), F.lit(number).alias("no"), (acc["at"] + size).alias("end")))
+            return F.struct((acc["at"] + size).alias("at"), (acc["n"] + 1).alias("n"), begin.alias("begin"),
+                            F.when(hit, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+    def begins(chunks: Column) -> Column:
+        """Where each chunk begins in the text."""
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(totals, start, lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def all_spans(sizes: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / chunk).cast("int"))
+        chunks = F.transform(places, lambda c: F.slice(sizes, c * chunk + 1, F.lit(chunk)))
+        return _let(chunks, lambda cs: _let(begins(cs), lambda at: F.flatten(
+            F.transform(cs, lambda c, n: spans_of(c, F.get(at, n))))))
+
+    # most texts have no match, which leaves one piece
+    found = _let(F.transform(F.split(marked, MARK), F.char_length), lambda sizes: F.when(
+        F.size(sizes) > 1, all_spans(sizes)).otherwise(F.array().cast(kind)))
+    return found
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -233,7 +264,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = whole_text(text_col)
     key = F.xxhash64(col(id_col), text)
-    found = candidates(docs, key, text, rules)
+    # written, so that its size is known before any text moves: where the
+    # candidates are few they are sent to the texts
+    found = stage(candidates(docs, key, text, rules), "secret-candidates")
     known = "_rules"
     while known in docs.columns:
         known = "_" + known

@@ -96,3 +96,28 @@ def test_query_over_the_whole_table(spark):
         assert r["spans"] == ",".join(told)
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
+
+
+def test_time_per_match_does_not_grow_with_their_number(spark):
+    """Ten times the matches in one text: about ten times the time."""
+    import time
+
+    def took(n):
+        docs = spark.range(1).select("id", F.concat_ws(" ", F.transform(
+            F.sequence(F.lit(1), F.lit(n)), lambda i: F.md5(i.cast("string")))).alias("text"))
+        docs = docs.withColumnRenamed("id", "doc_id")
+        began = time.perf_counter()
+        got = S.scan(docs).select(F.size("secrets").alias("n"), F.get("secrets", F.lit(n - 1)).alias("last")).collect()[0]
+        assert got.n == n and tuple(got["last"]) == ((n - 1) * 33, 2, n * 33 - 1)
+        return time.perf_counter() - began
+
+    took(2_000)
+    small, large = took(10_000), took(100_000)
+    assert large < 20 * small + 5
+
+
+def test_few_candidates_reach_the_texts_without_a_shuffle(spark, tmp_path):
+    """The texts of a large table stay where they are."""
+    spark.range(20_000).selectExpr("id AS doc_id", "concat('no harm ', id, CASE WHEN id % 1000 = 0 THEN ' password=abcdefghijklmnop' ELSE '' END) AS text").write.parquet(f"{tmp_path}/docs")
+    p = S.scan(spark.read.parquet(f"{tmp_path}/docs")).select("doc_id", "secrets")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p and "Python" not in p
