@@ -24,7 +24,7 @@ MARKS = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*
 WORDS = re.compile(r"[a-z]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     """Text (references decoded, white space as one space) and where it stood:
     ``path`` names the open tags, outermost first, and the words of their

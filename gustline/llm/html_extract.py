@@ -33,7 +33,10 @@ INPUT = PATH_DIMS + LEAF_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 24
 FIT_PAGES, FIT_CHARS = 200, 60_000  # the sample: pages, and characters of each at most
 EPOCHS, BATCH, RATE = 7, 32, 0.01
-PAGES_PER_RUN = 256
+MOST_WORDS = 0.4
+PAGES_PER_RUN, BLOCKS_PER_RUN = 256, 20_000  # labelled together at most
+BLOCKS_PER_PART = 4096  # of a page that is longer than a run
+CHARS_PER_CUT = 4_000_000  # of the pages that are cut into blocks at a time
 
 # Markup words that name parts of a page.
 ASIDE_TAGS = frozenset("nav footer aside form button menu dialog".split())
@@ -92,8 +95,10 @@ def _path_vector(path: tuple) -> np.ndarray:
     return out
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row for each block of a page."""
+def vectors(page: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row for each block of a page, or of a part of it that begins at
+    block ``first`` of ``total``. Words that are repeated again and again count
+    up to a bound, so that they don't drown the path."""
     n, base = len(page), PATH_DIMS + LEAF_DIMS
     out = np.zeros((n, INPUT), dtype=np.float32)
     if not n:
@@ -106,12 +111,12 @@ def vectors(page: list[Block]) -> np.ndarray:
     cell = np.repeat(np.arange(n), count) * WORD_DIMS + places % WORD_DIMS
     sign = np.where(places >> 16 & 1, 1.0, -1.0)
     words = np.bincount(cell, weights=sign, minlength=n * WORD_DIMS).reshape(n, WORD_DIMS)
-    out[:, base:base + WORD_DIMS] = words / (np.sqrt(count) * 3)[:, None]
+    out[:, base:base + WORD_DIMS] = np.clip(words / (np.sqrt(count) * 3)[:, None], -MOST_WORDS, MOST_WORDS)
     size = np.array([len(b.text) for b in page])
     marks = np.array([sum(map(b.text.count, ".,;:!?")) for b in page])
     out[:, -MEASURES:-2] = np.stack([
         np.log1p(size) / 6, np.log1p(count) / 5, np.array([b.linked for b in page]) / size, marks / size * 8,
-        np.arange(n) / n, np.array([b.text[-1] in ".!?" for b in page])], axis=1)
+        (first + np.arange(n)) / (total or n), np.array([b.text[-1] in ".!?" for b in page])], axis=1)
     return out
 
 
@@ -120,9 +125,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray):
-    """Hidden states (steps x pages x HIDDEN) of one direction, and what the way
-    back needs. Steps behind a page's end (mask 0) keep the state."""
+def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, learning: bool = True):
+    """Hidden states (steps x pages x HIDDEN) of one direction and, if
+    ``learning``, what the way back needs. Steps behind a page's end (mask 0)
+    keep the state."""
     steps, pages, _ = x.shape
     z_in = x @ w + b
     h, c = np.zeros((pages, HIDDEN), x.dtype), np.zeros((pages, HIDDEN), x.dtype)
@@ -134,13 +140,26 @@ def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.n
         m = mask[t][:, None]
         c_new = f * c + i * g
         tanh = np.tanh(c_new)
-        kept.append((h, c, i, f, o, g, tanh))
+        if learning:
+            kept.append((h, c, i, f, o, g, tanh))
         h = m * (o * tanh) + (1 - m) * h
         c = m * c_new + (1 - m) * c
         hs.append(h)
     return np.stack(hs), kept
 
 
+def _states(z_in: np.ndarray, u: np.ndarray, h: np.ndarray, c: np.ndarray):
+    """Hidden states of one direction over a part of one page, from the state
+    (h, c) before it; and the state behind it."""
+    out = np.empty((len(z_in), HIDDEN), z_in.dtype)
+    for t in range(len(z_in)):
+        z = z_in[t] + h @ u
+        gates = _sigmoid(z[:3 * HIDDEN])
+        c = gates[HIDDEN:2 * HIDDEN] * c + gates[:HIDDEN] * np.tanh(z[3 * HIDDEN:])
+        out[t] = h = gates[2 * HIDDEN:] * np.tanh(c)
+    return out, h, c
+
+
 def _lstm_back(x, mask, w, u, kept, dhs):
     dw, du, db = np.zeros_like(w), np.zeros_like(u), np.zeros(w.shape[1], w.dtype)
     dh, dc = np.zeros_like(dhs[0]), np.zeros_like(dhs[0])
@@ -187,15 +206,34 @@ class Labeller:
             x[:len(p), k], mask[:len(p), k] = p, 1
         return x, mask
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
+    def forward(self, x: np.ndarray, mask: np.ndarray, learning: bool = True):
         """Probability of main text (steps x pages). The backward direction
         starts at the padding, which leaves its state at zero."""
         w = self.weights
-        hf, kf = _lstm(x, mask, w["wf"], w["uf"], w["cf"])
-        hb, kb = _lstm(x[::-1], mask[::-1], w["wb"], w["ub"], w["cb"])
+        hf, kf = _lstm(x, mask, w["wf"], w["uf"], w["cf"], learning)
+        hb, kb = _lstm(x[::-1], mask[::-1], w["wb"], w["ub"], w["cb"], learning)
         both = np.concatenate([hf, hb[::-1], x], axis=2)
         return _sigmoid((both @ w["out"] + w["bias"])[:, :, 0]), (both, kf, kb)
 
+    def long_page(self, page: list[Block]) -> np.ndarray:
+        """Whether each block of one page is main text, part by part: each
+        direction carries its state from part to part and adds to one number
+        per block, so neither vectors nor states of the whole page are held."""
+        w, n = self.weights, len(page)
+        logits = np.full(n, w["bias"][0], np.float32)
+        parts = [(b, min(b + BLOCKS_PER_PART, n)) for b in range(0, n, BLOCKS_PER_PART)]
+        h = c = np.zeros(HIDDEN, np.float32)
+        for begin, end in parts:
+            x = vectors(page[begin:end], begin, n)
+            hs, h, c = _states(x @ w["wf"] + w["cf"], w["uf"], h, c)
+            logits[begin:end] += (hs @ w["out"][:HIDDEN] + x @ w["out"][2 * HIDDEN:])[:, 0]
+        h = c = np.zeros(HIDDEN, np.float32)
+        for begin, end in reversed(parts):
+            x = vectors(page[begin:end], begin, n)[::-1]
+            hs, h, c = _states(x @ w["wb"] + w["cb"], w["ub"], h, c)
+            logits[begin:end] += (hs @ w["out"][HIDDEN:2 * HIDDEN])[::-1, 0]
+        return logits > 0
+
     def gradients(self, x, mask, y, known) -> dict[str, np.ndarray]:
         """Of the mean cross entropy over the ``known`` labels."""
         w = self.weights
@@ -234,22 +272,35 @@ class Labeller:
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Which blocks of each page are main text. Pages of like length go
-        through together."""
+        through together, very long ones in parts. A labeller that has learned
+        nothing goes by the pages' own markup (``by_markup``)."""
+        if not self.weights:
+            return [by_markup(p) for p in pages]
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
         begin = 0
         while begin < len(order):
             run = order[begin:begin + PAGES_PER_RUN]
-            while len(run) > 1 and len(pages[run[-1]]) * len(run) > 20_000:
+            while len(run) > 1 and len(pages[run[-1]]) * len(run) > BLOCKS_PER_RUN:
                 run = run[:len(run) // 2]
-            x, mask = self.padded([vectors(pages[k]) for k in run])
-            p, _ = self.forward(x, mask)
-            for n, k in enumerate(run):
-                out[k] = p[:len(pages[k]), n] > 0.5
+            if len(pages[run[-1]]) > BLOCKS_PER_RUN:
+                out[run[0]] = self.long_page(pages[run[0]])
+            else:
+                x, mask = self.padded([vectors(pages[k]) for k in run])
+                p, _ = self.forward(x, mask, learning=False)
+                for n, k in enumerate(run):
+                    out[k] = p[:len(pages[k]), n] > 0.5
             begin += len(run)
         return out
 
 
+def by_markup(page: list[Block]) -> np.ndarray:
+    """Main text by a page's own markup alone: the blocks that it marks as text;
+    where it marks none, all that it doesn't mark as something else."""
+    known = [marked_text(b) for b in page]
+    return np.array([k if any(known) else k is None for k in known], bool)
+
+
 # -- learning ------------------------------------------------------------------------------
 def _other_layouts(page: list[Block], rng: np.random.Generator) -> Iterator[tuple[list[Block], np.ndarray]]:
     """The page's main text and other blocks in a layout drawn at random."""
@@ -265,7 +316,11 @@ def _other_layouts(page: list[Block], rng: np.random.Generator) -> Iterator[tupl
     blocks_, labels = [], []
 
     def add(b: Block, path: tuple, label: bool) -> None:
-        blocks_.append(Block(b.text, path, b.linked))
+        text, linked = b.text, b.linked
+        if rng.random() < 0.06:  # a few words again and again, in the text as beside it
+            some = " ".join(text.split()[:int(rng.integers(1, 9))])
+            text, linked = " ".join([some] * int(rng.integers(4, 120))), 0
+        blocks_.append(Block(text, path, linked))
         labels.append(label)
 
     def aside(inside: tuple) -> None:
@@ -295,10 +350,12 @@ def _other_layouts(page: list[Block], rng: np.random.Generator) -> Iterator[tupl
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = FIT_PAGES,
         chars: int = FIT_CHARS) -> Labeller:
-    """A labeller learned from at most ``sample`` pages of at most ``chars``
-    characters: those with the smallest hashes of their ids."""
-    some = smallest_hashes(pages.select(col(id_col).alias("id"), col(html_col).alias("html")), "id", sample)
-    chosen = some.filter(F.char_length("html") <= chars).select("h", "html").orderBy("h", "html").limit(sample).collect()
+    """A labeller learned from at most ``sample`` pages: of those of at most
+    ``chars`` characters the ones with the smallest hashes of their ids. Without
+    such a page, or without one whose markup tells anything, it has no weights
+    and goes by the markup of the pages it is shown."""
+    short = pages.select(col(id_col).alias("id"), col(html_col).alias("html")).filter(F.char_length("html") <= chars)
+    chosen = smallest_hashes(short, "id", sample).select("h", "html").orderBy("h", "html").limit(sample).collect()
     rng = np.random.default_rng(9)
     examples = []
     for row in chosen:
@@ -310,12 +367,26 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
         for _ in range(2):
             for other, labels in _other_layouts(page, rng):
                 examples.append((vectors(other), labels.astype(np.float32), np.ones(len(other), np.float32)))
+    if not examples:
+        return Labeller({})
     labeller = Labeller.fresh()
-    if examples:
-        labeller.learn(examples)
+    labeller.learn(examples)
     return labeller
 
 
+def _by_length(pages: pd.Series) -> Iterator[list[str]]:
+    """Pages in their order, as many at a time as have a bounded length together."""
+    held, size = [], 0
+    for p in pages:
+        if held and (size + len(p) > CHARS_PER_CUT or len(held) == 2 * PAGES_PER_RUN):
+            yield held
+            held, size = [], 0
+        held.append(p)
+        size += len(p)
+    if held:
+        yield held
+
+
 def extract(pages: DataFrame, labeller: Labeller, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text``, the main text (blocks in page order joined by one
     space, character references decoded, white space as single spaces), and
@@ -323,13 +394,15 @@ def extract(pages: DataFrame, labeller: Labeller, html_col: str = "html") -> Dat
 
     A narrow map over whole pages. NULL html is an empty page; a page without
     main text has an empty one; repeated rows each keep their own; input
-    columns named like an output are replaced.
+    columns named like an output are replaced. Pages are cut into blocks a few
+    million characters at a time; a page of any length is labelled as a whole,
+    with memory for its blocks and one number each.
     """
     @F.pandas_udf("string")
     def main_text(pages: pd.Series) -> pd.Series:
         out = []
-        for begin in range(0, len(pages), 512):
-            cut = [blocks(p) for p in pages.iloc[begin:begin + 512]]
+        for some in _by_length(pages):
+            cut = [blocks(p) for p in some]
             out += [" ".join(b.text for b, keep in zip(page, label) if keep)
                     for page, label in zip(cut, labeller.label(cut))]
         return pd.Series(out, dtype=object)
