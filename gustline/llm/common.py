@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.session import shared_path
+from gustline.session import clear_shared, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet under the cluster's shared folder and read
     it back: later jobs (and executors replacing lost ones) read the files
     instead of recomputing the lineage."""
+    return stage_in(df, f"{name}-{uuid.uuid4().hex}")
+
+
+def stage_in(df: DataFrame, folder: str) -> DataFrame:
+    """``stage`` into a folder that the caller names, to ``unstage`` it later."""
     spark = df.sparkSession
-    path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(spark, "llm", folder)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(spark: SparkSession, folder: str) -> None:
+    """Remove a staged folder that nothing reads any more."""
+    clear_shared(spark, "llm", folder)
+
+
 def col(name: str) -> Column:
     """A top-level column whatever characters its name holds."""
     return F.col("`" + name.replace("`", "``") + "`")

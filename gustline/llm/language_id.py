@@ -14,6 +14,7 @@ bound once. All sums are of integers, hence the same on any partitioning.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,7 @@ DIM = 1024
 N = 3
 SEED = 20
 UNKNOWN = "und"
+CHANCE_DEVIATIONS, LEAST_GRAMS = 2.0, 50  # of ``recognised``
 BLOCK_CHARS, BLOCK_TEXTS, BLOCK_GRAMS = 400_000, 128, 4096
 DENSE_CODES = 1 << 23  # n-gram codes counted in a table; beyond it they are sorted
 
@@ -156,6 +158,37 @@ class Profiles:
         return langs, scores
 
 
+    def chance(self, texts: list[str], langs: list[str]) -> tuple[list[float], list[int]]:
+        """The cosine that each text's letters are expected to reach with its
+        language when they stand in any order, and its number of n-grams.
+
+        Letters drawn one by one make n-gram vectors whose mean is the product
+        of the permuted mean letter vectors; the cosine of a bundle of so many
+        of them follows from that mean and the spread around it.
+        """
+        p = self.vectors.astype(np.float64)
+        p /= np.maximum(np.sqrt((p ** 2).sum(axis=1, keepdims=True)), 1e-300)
+        place = {lang: k for k, lang in enumerate(self.languages)}
+        a, dim, out, sizes, at = alphabet(self.vectors.shape[1]), self.vectors.shape[1], [], [], 0
+        for block in _blocks(texts):
+            owner, code, base = _codes(a, block)
+            n = np.bincount(owner, minlength=len(block))
+            first = code // base ** (N - 1)
+            letters = np.bincount(owner * base + first, minlength=len(block) * base).reshape(len(block), base)
+            mean = letters @ a.vectors()[:base].astype(np.float64) / np.maximum(n, 1)[:, None]
+            gram = np.ones((len(block), dim))
+            for k in range(N):
+                gram *= np.roll(mean, k, axis=1)
+            size = (gram ** 2).sum(axis=1)
+            expected = np.sqrt(size + (dim - size) / np.maximum(n, 1))
+            for k, row in enumerate(gram):
+                lang = place.get(langs[at + k])
+                out.append(0.0 if lang is None else float(row @ p[lang] / max(expected[k], 1e-300)))
+            sizes += n.tolist()
+            at += len(block)
+        return out, sizes
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim: int = DIM) -> Profiles:
     """Profiles learned from all rows with a language; the driver receives
     languages x ``dim`` numbers. NULL texts and texts without letters add
@@ -222,6 +255,25 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
     return replace_columns(out, {"lang_pred": F.col(got)["lang"], "score": F.col(got)["score"]}).drop(got)
 
 
+def recognised(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which no language is told: NULL texts and texts
+    without a letter, and those whose cosine is not above what their own
+    letters reach in any order by more than ``CHANCE_DEVIATIONS`` standard deviations of
+    a chance cosine. Texts of fewer than ``LEAST_GRAMS`` n-grams are too short for that and
+    stay. Repeated rows share their fate; columns and their order are kept."""
+    slack = CHANCE_DEVIATIONS / math.sqrt(max(profiles.vectors.shape[1], 1))
+
+    @F.pandas_udf("boolean")
+    def told(texts: pd.Series) -> pd.Series:
+        some = texts.tolist()
+        langs, scores = profiles.predict(some)
+        chances, sizes = profiles.chance(some, langs)
+        return pd.Series([lang != UNKNOWN and (n < LEAST_GRAMS or score > c + slack)
+                          for lang, score, c, n in zip(langs, scores, chances, sizes)], dtype=bool)
+
+    return docs.filter(told(whole_text(text_col)))
+
+
 def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
     """Whether a row is kept from learning: crc32 of the id's text, modulo
     ``folds``, is ``fold``. A NULL id is not held out."""

@@ -232,16 +232,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id. Of repeated rows of that id the one with the smallest content
     hash stays; rows with a NULL id stay only where no linked row has an id,
     one per component. Columns and their order are those of ``docs``."""
-    mark = "_keep"
-    while mark in docs.columns:
-        mark = "_" + mark
-    named = docs.withColumn(mark, F.xxhash64(*[col(c) for c in docs.columns]))
+    columns = [col(c) for c in docs.columns]
+    # 128 bits of the whole row: one column that isn't NULL, so the rows are dealt
+    # out once, for the join and for the choice among repeated rows
+    parts = [F.xxhash64(*columns), F.xxhash64(*[c.isNull() for c in columns], *columns)]
+    key = "_row_key"
+    while key in docs.columns:
+        key = "_" + key
     found = near_duplicates(replace_columns(docs, {id_col: F.struct(
-        col(id_col).isNull().alias("none"), col(id_col).alias("id"),
-        F.xxhash64(*[col(c) for c in docs.columns]).alias("hash"))}), id_col, text_col, words_per_shingle)
-    kept = found.filter(col(id_col) == F.col("component_id")).select(
-        F.col(f"`{id_col}`.id").alias("k"), F.col(f"`{id_col}`.hash").alias("h")).distinct()
-    out = named.join(kept, named[mark].eqNullSafe(kept["h"]) & named[id_col].eqNullSafe(kept["k"]), "left_semi")
-    one = Window.partitionBy(mark, col(id_col)).orderBy(F.lit(0))
-    return (out.withColumn("_n" + mark, F.row_number().over(one)).filter(F.col("_n" + mark) == 1)
-            .drop("_n" + mark, mark).select(*[col(c) for c in docs.columns]))
+        col(id_col).isNull().alias("none"), col(id_col).alias("id"), parts[0].alias("hash"), parts[1].alias("more"))}),
+        id_col, text_col, words_per_shingle)
+    row = F.concat_ws(":", F.col(f"`{id_col}`.hash").cast("string"), F.col(f"`{id_col}`.more").cast("string"))
+    kept = stage(found.filter(col(id_col) == F.col("component_id")).select(row.alias(key)).distinct(), "simhash-kept")
+    named = docs.withColumn(key, F.concat_ws(":", *[p.cast("string") for p in parts]))
+    one = Window.partitionBy(key).orderBy(F.lit(0))
+    return (named.join(kept, key, "left_semi").withColumn("_n" + key, F.row_number().over(one))
+            .filter(F.col("_n" + key) == 1).select(*columns))
