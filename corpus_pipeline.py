@@ -3,8 +3,9 @@
 Stages, each over all its predecessor kept, each written as parquet and read
 again by the next:
 
-1. ``language_id``: documents in which no language can be told go (NULL texts
-   and texts without a letter); all others stay.
+1. ``language_id``: documents in which no language can be told go: NULL texts,
+   texts without a letter, and texts no closer to their language than their own
+   letters in any order are (random letters, a word over and over).
 2. ``simhash_dedup``: of each near-duplicate component one document stays, that
    of the smallest id.
 3. ``secret_scan``: secrets are replaced by a mask; documents stay. ``n_chars``
@@ -16,19 +17,20 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustline.llm import language_id, packing, secrets, simhash
-from gustline.llm.common import col, stage, table
+from gustline.llm.common import col, stage_in, table, unstage
 from gustline.llm.queries import SEQUENCE_TOKENS, WORD_VOCAB
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     profiles = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    return (language_id.predict(docs, profiles).filter(F.col("lang_pred") != language_id.UNKNOWN)
-            .select(*[col(c) for c in docs.columns]))
+    return language_id.recognised(docs, profiles)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's output is removed once the next one's
+    has been written; that of the last but one stays for the result."""
+    docs, earlier = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = f"pipeline-{name}-{uuid.uuid4().hex}"
+        docs = stage_in(step(spark, docs, sf_dir), folder)
+        if earlier:
+            unstage(spark, earlier)
+        earlier = folder
     return STAGES[-1][1](spark, docs, sf_dir)
