@@ -29,7 +29,7 @@ from gustline.plans import colocated as CO
 from gustline.plans import jobs as J
 from gustline.plans import medallion as M
 from gustline.plans import oracle as O
-from gustline.schemas import MONITORING_COLUMNS, TICKET_COLUMNS
+from gustline.schemas import MONITORING_COLUMNS, MONITORING_SCHEMA, TICKET_COLUMNS
 from gustline.session import prepare, shared_path
 from gustline.sources import files, fixtures, tables
 from gustline.sources.ticket_log import TicketLog
@@ -599,6 +599,29 @@ def batches_in_table(spark, sf_dir):
             spark.conf.set("gustline.schema", before)
 
 
+@register("operational_tables", _dsql(f"""
+SELECT ticket_status, count(*) AS rows, CAST(0 AS BIGINT) AS alerts, CAST(0 AS BIGINT) AS filed,
+       {O.T1_SQL} AS first_created, {O.T1_SQL} AS last_updated
+FROM seed WHERE turbine_id IS NOT NULL GROUP BY ticket_status"""))
+def operational_tables(spark, sf_dir):
+    """The dispatch log as an operational catalog table with its length limits:
+    rows appended without counts, flags and times get the defaults (S13)."""
+    schema = f"gustline_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{shared_path(spark, 'catalog', schema)}'")
+    try:
+        log, _ = tables.create_operational_tables(spark, prefix=f"{schema}.")
+        rows = fixtures.seed_log(fixtures.load_events(spark, sf_dir)).filter("turbine_id IS NOT NULL")
+        tables.append_operational(rows.select("id", "turbine_id", "ticket_status", "turbine_details_and_status"), log,
+                                  MONITORING_SCHEMA, now=M.as_of(T1))
+        per = spark.table(log).groupBy("ticket_status").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("maintenance_alerts_count").alias("alerts"),
+            F.count_if("ticket_filed").alias("filed"), F.min("created_at").alias("first_created"),
+            F.max("updated_at").alias("last_updated"))
+        return present(M.stage(per, "operational"))
+    finally:
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
+
+
 # --- streaming chain -------------------------------------------------------------
 
 def streamed_tables(spark: SparkSession, sf_dir: str, late: bool = False) -> SM.StreamLayout:
@@ -626,6 +649,21 @@ def stream_late_readings(spark, sf_dir):
     return silver.agg(F.count_if(~late).alias("readings"), F.count_if(late).cast("int").alias("late_readings"))
 
 
+@register("stream_bronze_continuous", O.with_layers("bronze", "SELECT * FROM bronze"))
+def stream_bronze_continuous(spark, sf_dir):
+    """Bronze written by a query that keeps running, fed by three file drops."""
+    layout = SM.StreamLayout.under_shared(spark, f"bronze-{uuid.uuid4().hex}")
+    query = None
+    try:
+        for folder in raw_drops(spark, sf_dir, layout):
+            query = query or SM.start_bronze(spark, folder, layout, trigger={"processingTime": "1 second"})
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
+    return present(spark.read.parquet(layout.bronze))
+
+
 @register("stream_silver", O.with_layers("silver", "SELECT * FROM silver"))
 def stream_silver(spark, sf_dir):
     """Silver table written by the streaming query."""
