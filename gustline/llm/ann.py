@@ -163,12 +163,31 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
 
 # -- tables ----------------------------------------------------------------------
 def _usable(df: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
+    """The rows that take part: floats stay floats, any other components are doubles."""
     vec = col(vec_col)
+    kind = "array<float>" if _is_float(df, vec_col) else "array<double>"
     return (df.filter(finite(vec) & col(id_col).isNotNull() & F.exists(vec, lambda x: x != 0))
-            .select(col(id_col).cast("long").alias("id"), vec.cast("array<float>").alias("vec"),
+            .select(col(id_col).cast("long").alias("id"), vec.cast(kind).alias("vec"),
                     F.coalesce(is_query, F.lit(False)).alias("asked")))
 
 
+def _is_float(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.simpleString() == "array<float>"
+
+
+def _stored(raw, n: int, dim: int) -> np.ndarray:
+    """``n`` vectors as they were given, floats or doubles."""
+    return matrix(raw, dim, "<f4" if len(raw) == 4 * n * dim else "<f8")
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Floats for the graph, which only proposes: doubles are first scaled by
+    their largest component, which keeps the order of inner products."""
+    if x.dtype.itemsize == 4:
+        return x
+    return (x / (np.abs(x).max(initial=0) or 1)).astype("<f4")
+
+
 def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
     """Graphs of all shards, written: dim, shard, vecs, graph, entry and, for
     each vector, its ``k + 1`` smallest distinct ids with the rows of each, up
@@ -184,8 +203,8 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[
                              F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "id", "n")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["vec"].to_numpy()).astype("<f4")
-        graph, entry = build_graph(x)
+        x = np.stack(pdf["vec"].to_numpy())
+        graph, entry = build_graph(_narrow(x))
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({
             "dim": [x.shape[1]], "shard": pdf["shard"].iloc[:1].to_numpy(), "vecs": [x.tobytes()],
@@ -219,13 +238,14 @@ def _nodes(x, graph, entry, q, foreign, k: int, beam: int) -> tuple[np.ndarray,
 
 def _search(row: dict, k: int, beam: int):
     dim = row["dim"]
-    x, q = matrix(row["vecs"], dim, "<f4"), matrix(row["qvecs"], dim, "<f4")
-    graph = np.frombuffer(row["graph"], "<i4").reshape(len(x), -1)
     qids, ids = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["ids"], "<i8")
     times, copies = np.frombuffer(row["times"], "<i4"), np.frombuffer(row["copies"], "<i4")
+    x, q = _stored(row["vecs"], len(copies), dim), _stored(row["qvecs"], len(qids), dim)
+    graph = np.frombuffer(row["graph"], "<i4").reshape(len(x), -1)
     first = np.cumsum(copies) - copies
     # only a node of a single id can be without another one
-    at, node = _nodes(x, graph, row["entry"], q, lambda a, n: (copies[n] > 1) | (ids[first[n]] != qids[a]), k, beam)
+    foreign = lambda a, n: (copies[n] > 1) | (ids[first[n]] != qids[a])
+    at, node = _nodes(_narrow(x), graph, row["entry"], _narrow(q), foreign, k, beam)
     score = np.zeros(len(node))  # the measure itself: doubles, summed in order
     for d in range(dim):
         score += q[at, d].astype(np.float64) * x[node, d].astype(np.float64)
@@ -251,7 +271,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             beam: int = BEAM) -> DataFrame:
     """The ``k`` rows of largest inner product found for each query row:
     ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (the inner product in
-    doubles); ties to the smaller id. ``is_query`` is a condition on the columns
+    doubles of the vectors as given); ties to the smaller id. ``is_query`` is a condition on the columns
     of ``df``.
 
     Every row is indexed and every query searches every shard. Rows with a NULL
@@ -264,7 +284,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     """
     rows = _usable(df, id_col, vec_col, is_query)
     index, shards = build_index(rows, k)
-    asked = stage(pack_blocks(rows.filter("asked").select("id", "vec"), "<f4", QUERIES_PER_BLOCK), "ann-queries")
+    asked = stage(pack_blocks(rows.filter("asked").select("id", "vec"), "<f4" if _is_float(df, vec_col) else "<f8",
+                              QUERIES_PER_BLOCK), "ann-queries")
     sent = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
                         F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
     kind = pa.schema([("qblock", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64()),

@@ -86,6 +86,25 @@ def test_query_id_with_more_vectors_than_the_beam(spark):
     assert {r["rank"] for r in got if r["query_id"] == 0} == set(range(1, 11))
 
 
+def test_doubles_keep_their_digits(spark):
+    rng = np.random.default_rng(11)
+    # far beyond a float's range and, in pairs, closer than its digits
+    x = rng.normal(0, 1e100, (50, 6)).repeat(2, axis=0)
+    x[1::2] *= 1 + 1e-12
+    x[7] = 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(200, [float("inf")] + [1.0] * 5), (220, [0.0] * 6), (240, None)]
+    want = []
+    for i in range(0, 100, 20):
+        # a plain sum, one product after the other
+        scores = {c: float(np.cumsum(x[i] * x[c])[-1]) for c in range(100) if c != i}
+        ranked = sorted(scores.items(), key=lambda s: (-s[1], s[0]))
+        want += [(i, rank, c, s) for rank, (c, s) in enumerate(ranked, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=99).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_pruning_keeps_diverse_edges():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1], [5, 0]], dtype=np.float32)
     out = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4, -1, 1]]), 4, 1.2)
