@@ -150,13 +150,17 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
             .filter(~F.exists("vec", beyond)))
     cands = stage(pack_blocks(rows.select("id", "vec"), "<i8", CANDIDATES_PER_BLOCK), "topk-candidates")
     asked = stage(pack_blocks(rows.filter("asked").select("id", "vec"), "<i8", QUERIES_PER_BLOCK), "topk-queries")
-    most = cands.agg(F.max("peak").alias("c")).first()["c"] or 0.0
+    made = cands.agg(F.max("peak").alias("c"), F.count(F.lit(1)).alias("n"),
+                     F.max(F.shiftright("block", 32)).alias("last")).first()
+    most = made["c"] or 0.0
     reach = int(most * (asked.agg(F.max("peak").alias("q")).first()["q"] or 0.0) * (1 + 1e-9)) + 2
     reach = min(reach, MOST)
 
-    # the grid: candidate blocks keep to one group, query blocks go to each
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = cands.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"), "dim",
+    # the grid: candidate blocks are dealt to the groups in turn, query blocks go
+    # to each; no more groups than blocks, or than tasks that the join has
+    groups = max(1, min(made["n"], int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    turn = F.shiftright("block", 32) + F.col("block").bitwiseAND(2 ** 32 - 1) * ((made["last"] or 0) + 1)
+    left = cands.select(F.pmod(turn, F.lit(groups).cast("long")).alias("g"), "dim",
                         F.col("ids").alias("cids"), F.col("vecs").alias("cvecs"), F.col("peak").alias("cpeak"))
     right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "dim",
                          F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"),
