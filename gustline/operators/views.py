@@ -40,6 +40,15 @@ def sla_performance(gold: DataFrame) -> DataFrame:
     return rated.withColumn("performance_tier", R.performance_tier())
 
 
+def in_dispatch_order(queue: DataFrame) -> DataFrame:
+    """Most urgent first, then the shorter maintenance window (O1). Thousands of
+    windows share these two, so the rows of a tie are ordered too, by turbine
+    and time: the range partitions of the sort can cut a tie, and the order is
+    the same in every run."""
+    return queue.orderBy(F.col("dispatch_priority_score").desc(), F.col("estimated_maintenance_window_days").asc(),
+                         "turbine_id", "window_start", "fault_category")
+
+
 def dispatch_queue(gold: DataFrame, ordered: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """Non-routine windows with work estimates, most urgent first.
 
@@ -56,10 +65,7 @@ def dispatch_queue(gold: DataFrame, ordered: bool = True, extra: tuple[str, ...]
                  "equipment_required": R.equipment(),
              })
              .select(*QUEUE_COLUMNS, *extra))
-    if ordered:
-        queue = queue.orderBy(F.col("dispatch_priority_score").desc(),
-                              F.col("estimated_maintenance_window_days").asc())
-    return queue
+    return in_dispatch_order(queue) if ordered else queue
 
 
 # --- incremental SLA rollup --------------------------------------------------------

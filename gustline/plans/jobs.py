@@ -139,5 +139,4 @@ def current(spark: SparkSession, root: str) -> RefreshOutput | None:
 
 def read_queue(spark: SparkSession, out: RefreshOutput) -> DataFrame:
     """The stored queue in dispatch order (tables do not keep order; sort at read)."""
-    return out.read(spark, QUEUE).orderBy(
-        F.col("dispatch_priority_score").desc(), F.col("estimated_maintenance_window_days").asc())
+    return V.in_dispatch_order(out.read(spark, QUEUE))

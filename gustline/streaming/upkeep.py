@@ -63,8 +63,7 @@ def start_queue_refresh(spark: SparkSession, layout: SM.StreamLayout, gold_schem
 
 def read_queue_view(spark: SparkSession, layout: SM.StreamLayout, gold_schema: T.StructType) -> DataFrame:
     """The queue in dispatch order."""
-    return queue_store(spark, layout, gold_schema).read().select(*QUEUE_COLUMNS).orderBy(
-        F.col("dispatch_priority_score").desc(), F.col("estimated_maintenance_window_days").asc())
+    return V.in_dispatch_order(queue_store(spark, layout, gold_schema).read().select(*QUEUE_COLUMNS))
 
 
 # --- running totals (A13) --------------------------------------------------------------

@@ -4,6 +4,7 @@ plans combine map-side before shuffling."""
 from pyspark.sql import functions as F
 
 from gustline.operators import dispatch as D
+from gustline.operators import views as V
 from gustline.plans import medallion as M
 from gustline.sources import fixtures
 from tests.conftest import SF_SMALL
@@ -45,3 +46,24 @@ def test_hot_keys_are_combined_before_the_shuffle(spark):
     latest = D.latest_status(lay.gold)
     p = latest._jdf.queryExecution().executedPlan().toString()
     assert p.count("WindowGroupLimit") >= 2  # partial (map side) and final
+
+
+def test_equal_priorities_are_dealt_to_several_sort_tasks(spark):
+    n = 20000
+    rows = spark.range(n, numPartitions=8).select(
+        F.format_string("TURBINE_%05d", F.col("id") % 40).alias("turbine_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 15).alias("window_start"),
+        F.lit("COOLING").alias("fault_category"), F.lit(90.0).alias("dispatch_priority_score"),
+        F.lit(1).alias("estimated_maintenance_window_days"), "id")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = V.in_dispatch_order(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    sizes = {}
+    for r in got:
+        sizes[r["task"]] = sizes.get(r["task"], 0) + 1
+    assert len(got) == n and len(sizes) >= 6 and max(sizes.values()) < n / 3
+    assert [(r["turbine_id"], r["window_start"]) for r in got] == sorted((r["turbine_id"], r["window_start"]) for r in got)
