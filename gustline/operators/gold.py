@@ -116,11 +116,22 @@ _DEVIATIONS = (("gearbox_temp_c", "gearbox_temp_variance"), ("vibration_ms2", "v
 _COUNTS = ("total_readings", "maintenance_alerts_count", "generating_count", "stopped_count")
 _LARGEST = ("max_priority", "max_gearbox_temp", "max_generator_temp", "max_vibration", "window_end")
 _SMALLEST = ("min_health_score", "min_oil_pressure", "window_start")
+_POSITION = ("turbine_lat", "turbine_lon")
 
 
-def gold_partials(silver: DataFrame, cfg: PipelineConfig = C.DEFAULT) -> DataFrame:
-    """One row of mergeable states per window group of a part of the readings."""
+def gold_partials(silver: DataFrame, cfg: PipelineConfig = C.DEFAULT, tasks: int | None = None) -> DataFrame:
+    """One row of mergeable states per window group of a part of the readings.
+
+    ``tasks``: the readings are dealt to so many tasks by turbine and window, and
+    combined there. A part has few readings of a group, and a group's states are
+    wider than those, so less is moved than with states combined on the map side;
+    parts dealt to equally many tasks are merged in place, and what a task
+    reads stays the same if ``tasks`` grows with the readings.
+    """
     ts = cfg.time_column
+    windowed = silver.withColumn("time_window", F.window(ts, cfg.window))
+    if tasks:
+        windowed = windowed.repartition(tasks, "turbine_id", "time_window")
     t = F.col
     plain = [
         F.count(F.lit(1)).alias("total_readings"), F.count_if(t("maintenance_needed")).alias("maintenance_alerts_count"),
@@ -131,9 +142,10 @@ def gold_partials(silver: DataFrame, cfg: PipelineConfig = C.DEFAULT) -> DataFra
         F.max("generator_temp_c").alias("max_generator_temp"), F.max("vibration_ms2").alias("max_vibration"),
         F.max(ts).alias("window_end"), F.min("health_score").alias("min_health_score"),
         F.min("oil_pressure_bar").alias("min_oil_pressure"), F.min(ts).alias("window_start"),
-        F.min_by(F.struct("location_lat", "location_lon"), ts).alias("position"),
+        # two plain columns: a struct can't be kept in a hash aggregate's buffers
+        F.min_by("location_lat", ts).alias("turbine_lat"), F.min_by("location_lon", ts).alias("turbine_lon"),
     ]
-    return (silver.groupBy("turbine_id", F.window(ts, cfg.window).alias("time_window"), "fault_category", "alert_level")
+    return (windowed.groupBy("turbine_id", "time_window", "fault_category", "alert_level")
             .agg(*plain, *[MO.moments(c).alias(f"{c}_state") for c, _ in _STATES]))
 
 
@@ -141,7 +153,7 @@ def merge_gold_partials(*parts: DataFrame) -> DataFrame:
     """Partials of several parts as one row per window group."""
     return (MO.union_all(parts).groupBy("turbine_id", "time_window", "fault_category", "alert_level").agg(
         *[F.sum(c).alias(c) for c in (*_COUNTS, "total_power_output_kw")], *[F.max(c).alias(c) for c in _LARGEST],
-        F.min_by("position", "window_start").alias("position"), *[F.min(c).alias(c) for c in _SMALLEST],
+        *[F.min_by(c, "window_start").alias(c) for c in _POSITION], *[F.min(c).alias(c) for c in _SMALLEST],
         *[MO.merge_moments(f"{c}_state").alias(f"{c}_state") for c, _ in _STATES]))
 
 
@@ -150,8 +162,7 @@ def gold_from_partials(partials: DataFrame, processing_time: Column | None = Non
     """The gold table (as ``maintenance_alerts``) from merged partials."""
     agg = partials.select(
         "turbine_id", "time_window", "fault_category", "alert_level", *_COUNTS, "total_power_output_kw",
-        *_LARGEST, *_SMALLEST, F.col("position.location_lat").alias("turbine_lat"),
-        F.col("position.location_lon").alias("turbine_lon"),
+        *_LARGEST, *_SMALLEST, *_POSITION,
         *[MO.mean(f"{c}_state").alias(name) for c, name in _STATES if name],
         *[MO.stddev_samp(f"{c}_state").alias(name) for c, name in _DEVIATIONS])
     cols = GOLD_COLUMNS + (GOLD_EXTENDED_COLUMNS if extended else ())

@@ -699,7 +699,8 @@ def gold_incremental(spark, sf_dir):
     """Gold kept from partials: the readings arrive in three parts that share
     their windows, each reduced to states, merged and scored (A1-A10)."""
     silver = M.stage(layers(spark, sf_dir).silver, "silver")
-    parts = [G.gold_partials(silver.filter(c)) for c in _thirds("batch_id")]
+    tasks = M.tasks_for(silver)
+    parts = [G.gold_partials(silver.filter(c), tasks=tasks) for c in _thirds("batch_id")]
     return present(G.gold_from_partials(G.merge_gold_partials(*parts), M.as_of(), extended=True), GOLD_EXT_DOUBLES)
 
 

@@ -57,6 +57,12 @@ def from_tables(spark: SparkSession, sf_dir: str, processing_time: Column | None
     return build(fixtures.raw_readings(spark, sf_dir), processing_time, cfg)
 
 
+def tasks_for(stored: DataFrame, rows_per_task: int = 250_000) -> int:
+    """Tasks for a shuffle of a stored table, so that one task's share stays the
+    same however large the table is (its rows are counted from the file footers)."""
+    return max(stored.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // rows_per_task))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Materialize ``df`` as parquet in the shared checkpoint folder and
     return a DataFrame reading it.
