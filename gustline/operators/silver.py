@@ -7,6 +7,8 @@ inputs (``dedup_readings`` needs a watermark on a stream; see
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from gustline.functions import quality as Q
 from gustline.functions import rules as R
 from gustline.schemas import SILVER_COLUMNS
 
-DEDUP_KEYS = ("turbine_id", "ingestion_timestamp")
+# The time comes first: the aggregates sort by these, and the first 8 bytes of a value,
+# which a sort compares without opening the rows, tell times apart but not turbine names.
+DEDUP_KEYS = ("ingestion_timestamp", "turbine_id")
 
 
 def to_bronze(raw: DataFrame) -> DataFrame:
@@ -96,20 +100,24 @@ DEDUP = {"any": dedup_readings, "smallest": dedup_deterministic, "latest": dedup
 
 def silver_candidates(bronze: DataFrame, processing_time: Column | None = None,
                       t: Thresholds = C.DEFAULT.thresholds, keep: str = "any",
-                      keys=DEDUP_KEYS, extra: tuple[str, ...] = ()) -> DataFrame:
+                      keys=DEDUP_KEYS, extra: tuple[str, ...] = (),
+                      arrange: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Deduplicated, enriched rows in silver column order, before the rules.
     ``keep``: which of several deliveries stays, any, the smallest or the latest;
-    ``extra`` columns of the input are kept behind silver's own."""
-    deduped = DEDUP[keep](bronze, keys)
+    ``extra`` columns of the input, or that ``arrange`` adds, are kept behind silver's
+    own. ``arrange`` lays the deduplicated rows out for storage before they
+    are enriched, while they are narrower."""
+    deduped = arrange(DEDUP[keep](bronze, keys))
     return enrich(standardize(deduped), processing_time, t).select(*SILVER_COLUMNS, *extra)
 
 
 def clean_readings(bronze: DataFrame, processing_time: Column | None = None,
                    t: Thresholds = C.DEFAULT.thresholds, rules=Q.SILVER_EXPECTATIONS,
-                   keep: str = "any", keys=DEDUP_KEYS, extra: tuple[str, ...] = ()) -> DataFrame:
+                   keep: str = "any", keys=DEDUP_KEYS, extra: tuple[str, ...] = (),
+                   arrange: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Silver table: dedup -> standardize -> enrich -> quality rules (31 columns).
 
     The rules see the output columns, so e.g. the wind rule tests the
     rounded wind speed.
     """
-    return Q.expect_or_drop(silver_candidates(bronze, processing_time, t, keep, keys, extra), rules)
+    return Q.expect_or_drop(silver_candidates(bronze, processing_time, t, keep, keys, extra, arrange), rules)

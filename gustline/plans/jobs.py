@@ -86,11 +86,11 @@ class RefreshOutput:
         return RP.recent_readings(index.read_from(since).drop(PARTITION_COL), as_of, hours, limit)
 
 
-def spread_days(silver: DataFrame) -> DataFrame:
-    """Silver clustered by ingest date and event day, sorted by event time. The
+def spread_days(readings: DataFrame) -> DataFrame:
+    """Readings clustered by ingest date and event day, sorted by event time. The
     rebalancing merges small pieces and splits large ones by size, so neither a large day nor
     one turbine's readings are one task."""
-    return (silver.withColumn("_day", F.to_date(EVENT_TIME)).hint("rebalance", PARTITION_COL, "_day")
+    return (readings.withColumn("_day", F.to_date(EVENT_TIME)).hint("rebalance", PARTITION_COL, "_day")
             .sortWithinPartitions(PARTITION_COL, EVENT_TIME).drop("_day"))
 
 
@@ -111,14 +111,14 @@ def refresh(spark: SparkSession, raw: DataFrame, root: str, processing_time: Col
     versions = Versions(spark, root)
     folder = versions.new_folder("run")
     out = RefreshOutput(versions.path(folder))
-    silver = S.clean_readings(S.to_bronze(raw), processing_time, cfg.thresholds)
-    silver = silver.withColumn(PARTITION_COL, F.to_date(cfg.time_column))
+    silver = S.clean_readings(S.to_bronze(raw), processing_time, cfg.thresholds, extra=(PARTITION_COL,),
+                              arrange=lambda df: spread_days(df.withColumn(PARTITION_COL, F.to_date(cfg.time_column))))
 
     def write(df: DataFrame, table: str, how=lambda df, path: df.write.parquet(path)) -> None:
         how(df, out.path(table))
         out.schemas[table] = json.loads(df.schema.json())
 
-    write(silver, SILVER, lambda df, path: spread_days(df).write.partitionBy(PARTITION_COL)
+    write(silver, SILVER, lambda df, path: df.write.partitionBy(PARTITION_COL)
           .option("maxRecordsPerFile", rows_per_file).parquet(path))
     write_manifest(out.stored(spark, SILVER), EVENT_TIME, out.path(f"{SILVER}_manifest"))
     write(G.maintenance_alerts(out.read(spark, SILVER), processing_time, cfg), GOLD, write_gold)

@@ -41,6 +41,14 @@ def _h(p: int, q: int, r: int) -> str:
     return f"(((eid % 1000) * {p % 1000} + (k % 1000) * {q % 1000} + (uid % 1000) * {r % 1000}) % 1000)"
 
 
+def _padded(prefix: str, number: str, digits: int) -> str:
+    """SQL for ``format_string('<prefix>%0<digits>d', number)``, without Java's
+    formatter (slow, a row at a time) where the number has at most that many digits."""
+    return (f"CASE WHEN {number} BETWEEN 0 AND {10 ** digits - 1}"
+            f" THEN concat('{prefix}', lpad(CAST({number} AS STRING), {digits}, '0'))"
+            f" ELSE format_string('{prefix}%0{digits}d', {number}) END")
+
+
 def readings_from_events(events: DataFrame, revisions: bool = False) -> DataFrame:
     """``events`` -> raw sensor table (22 columns, with duplicate deliveries;
     with ``revisions`` also deliveries that differ from the first).
@@ -72,7 +80,7 @@ def readings_from_events(events: DataFrame, revisions: bool = False) -> DataFram
     s3 = s2.selectExpr(
         f"CASE WHEN eid % {NULL_ID_EVERY} = 0 THEN CAST(NULL AS STRING)"
         f" WHEN eid % {EMPTY_ID_EVERY} = 0 THEN ''"
-        f" ELSE format_string('TURBINE_%05d', t + 10 * (eid div {EVENTS_PER_FARM})) END AS turbine_id",
+        f" ELSE {_padded('TURBINE_', f'(t + 10 * (eid div {EVENTS_PER_FARM}))', 5)} END AS turbine_id",
         "timestamp",
         f"CASE WHEN {picked((BAD_WIND_EVERY, 0))} THEN 60.0D ELSE w0 END AS wind_speed_ms",
         "wind_direction_deg",
@@ -101,7 +109,7 @@ def readings_from_events(events: DataFrame, revisions: bool = False) -> DataFram
         "-101.5D + t / 100.0D AS location_lon",
         f"CASE WHEN untimed THEN NULL ELSE timestamp_seconds({INGEST_EPOCH} + b * {INGEST_SECONDS_PER_BATCH}) END"
         " AS ingestion_timestamp",
-        "format_string('batch_%06d', b) AS batch_id",
+        f"{_padded('batch_', 'b', 6)} AS batch_id",
         f"CASE WHEN eid % {COPY_EVERY} = 0 THEN 2 ELSE 1 END AS _copies",
         f"eid % {REVISED_EVERY[0]} = {REVISED_EVERY[1]} AS _revised",
     )
@@ -147,7 +155,8 @@ def seed_log(events: DataFrame) -> DataFrame:
         " ELSE unix_seconds(TIMESTAMP '2024-01-31 12:00:00') + 60 * q END) AS at")
     return rows.selectExpr(
         "eid AS id",
-        "CASE WHEN n % 11 = 10 THEN NULL ELSE format_string('TURBINE_%05d', no) END AS turbine_id",
+        "CASE WHEN n % 11 = 10 THEN NULL ELSE "
+        f"{_padded('TURBINE_', 'no', 5)} END AS turbine_id",
         "CASE n % 5 WHEN 1 THEN '' WHEN 2 THEN concat(repeat('Seeded ticket detail ', 12), eid)"
         " WHEN 3 THEN concat('short ', eid) WHEN 4 THEN rpad('d', 150, 'x') END AS turbine_details_and_status",
         "CAST(n % 100 AS DECIMAL(5,2)) AS dispatch_priority_score", "'MONITORING_REQUIRED' AS recommended_action",
