@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gustline.operators import dispatch as D
 from gustline.schemas import MONITORING_COLUMNS, MONITORING_SCHEMA
+from gustline.sources import files
 from gustline.sources.versions import Conflict, Versions
 
+ARCHIVE_FILE_BYTES = 16 * 1024 * 1024
 EMPTY = {"snapshot": None, "deltas": [], "archive": []}
 
 
@@ -71,7 +73,10 @@ class TicketLog:
         snapshot, archive = self.versions.new_folder("snapshot"), self.versions.new_folder("archive")
         (D.latest_log_rows(self._state_rows(now)).select(*MONITORING_COLUMNS)
          .sortWithinPartitions("turbine_id").write.parquet(self.versions.path(snapshot)))
-        self._read(folded).hint("rebalance").write.parquet(self.versions.path(archive))
+        # the rows stay in their order, so nothing is shuffled: a task takes whole
+        # deltas or runs of one, and each writes a file
+        size = sum(files.modified(self.spark, self.versions.path(f))[1] for f in folded)
+        self._read(folded).coalesce(max(1, -(-size // ARCHIVE_FILE_BYTES))).write.parquet(self.versions.path(archive))
         while True:
             number, now = self._now()
             if now["deltas"][:len(folded)] != folded:
