@@ -629,7 +629,7 @@ def streamed_tables(spark: SparkSession, sf_dir: str, late: bool = False) -> SM.
     as three time-ordered file drops (a run after each), in a folder of its own;
     with ``late``, the oldest readings of every turbine arrive once more under
     new ids when the watermark has passed them."""
-    raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
+    raw = fixtures.raw_readings(spark, sf_dir)
     layout = SM.StreamLayout.under_shared(spark, f"medallion-{uuid.uuid4().hex}")
     SM.replay(spark, raw, layout, drops=3, processing_time=M.as_of())
     if late:
@@ -821,12 +821,9 @@ closed AS (
 
 
 def raw_drops(spark: SparkSession, sf_dir: str, layout: SM.StreamLayout, n: int = 3):
-    """Write the raw readings as ``n`` time-ordered file drops, one at a time;
-    yields the folder after each."""
-    raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
-    for part in SM.time_slices(raw, n=n):
-        raw.filter(part).write.mode("append").parquet(f"{layout.root}/raw")
-        yield f"{layout.root}/raw"
+    """The raw readings as ``n`` time-ordered file drops, one at a time; yields
+    the folder after each."""
+    yield from SM.file_drops(spark, fixtures.raw_readings(spark, sf_dir), layout, n)
 
 
 def finished(query) -> None:
@@ -856,11 +853,8 @@ def stream_cumulative_fault_rate(spark, sf_dir):
     """Running totals carried over micro-batches: three file drops, the middle
     one last, so that it shifts what the newest batches start from (A13)."""
     layout = SM.StreamLayout.under_shared(spark, f"totals-{uuid.uuid4().hex}")
-    raw = M.stage(fixtures.raw_readings(spark, sf_dir), "raw_sensor_data")
-    first, middle, last = SM.time_slices(raw, n=3)
-    for part in (first, last, middle):
-        raw.filter(part).write.mode("append").parquet(f"{layout.root}/raw")
-        finished(UP.start_totals(spark, f"{layout.root}/raw", layout))
+    for folder in SM.file_drops(spark, fixtures.raw_readings(spark, sf_dir), layout, n=3, order=(0, 2, 1)):
+        finished(UP.start_totals(spark, folder, layout))
     return present(UP.read_running_totals(spark, layout), ("fault_rate_pct",))
 
 

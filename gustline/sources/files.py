@@ -69,5 +69,18 @@ def create(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def move_into(spark: SparkSession, folder: str, into: str, prefix: str) -> int:
+    """Move the data files directly below ``folder`` into another folder of the
+    same file system, where each appears whole, its name behind ``prefix`` (a task
+    gives its files of several folders one name); the number moved, 0 if there are none."""
+    fs = _fs(spark, into)
+    fs.mkdirs(_path(spark, into))
+    found = [n for n in names(spark, folder) if not n.startswith(("_", "."))]
+    for n in found:
+        if not fs.rename(_path(spark, f"{folder}/{n}"), _path(spark, f"{into}/{prefix}{n}")):
+            raise OSError(f"{folder}/{n} could not be moved into {into}")
+    return len(found)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)

@@ -13,6 +13,7 @@ pass ``{"processingTime": "15 seconds"}`` for a continuously running job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -27,6 +28,7 @@ from gustline.operators import gold as G
 from gustline.operators import silver as S
 from gustline.schemas import RAW_SENSOR_SCHEMA
 from gustline.session import shared_path
+from gustline.sources import files
 
 AVAILABLE_NOW = {"availableNow": True}
 MAX_FILES = 1000  # files of a micro-batch, so a backlog is worked off in steps
@@ -198,18 +200,35 @@ def time_slices(df: DataFrame, time_col: str = "ingestion_timestamp", n: int = 3
     return out
 
 
+def file_drops(spark: SparkSession, raw: DataFrame, layout: StreamLayout, n: int = 3,
+               time_col: str = "ingestion_timestamp", order: Sequence[int] | None = None) -> Iterator[str]:
+    """Drop ``raw`` into the layout's raw folder as ``n`` consecutive time ranges
+    (in ``order``); yields the folder after each drop.
+
+    All rows are written once, by all tasks, and a drop moves the files of its
+    range: the rows of one range lie together in the input, so writing a drop
+    by itself would keep only a part of the tasks busy.
+    """
+    into, aside = f"{layout.root}/raw", f"{layout.root}/_drops"
+    slices = time_slices(raw, time_col, n)
+    number = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(slices)])
+    raw.withColumn("_drop", number).write.partitionBy("_drop").parquet(aside)
+    for i in range(len(slices)) if order is None else order:
+        if not files.move_into(spark, f"{aside}/_drop={i}", into, f"drop-{i}-"):
+            raw.filter("false").write.mode("append").parquet(into)  # a drop without rows is a file too
+        yield into
+
+
 def replay(spark: SparkSession, raw: DataFrame, layout: StreamLayout, drops: int = 3,
            processing_time: Column | None = None, cfg: C.PipelineConfig = C.DEFAULT,
            sla: bool = True) -> None:
-    """Replay a stored raw table as ``drops`` time-ordered file drops, running
+    """Replay a raw table as ``drops`` time-ordered file drops, running
     the chain after each drop the way a scheduled job would.
 
     Every run after the first resumes from the checkpoints, so windows that
     span two drops are completed from saved state.
     """
-    raw_dir = f"{layout.root}/raw"
-    for cond in time_slices(raw, cfg.time_column, drops):
-        raw.filter(cond).write.mode("append").parquet(raw_dir)
+    for raw_dir in file_drops(spark, raw, layout, drops, cfg.time_column):
         run_chain(spark, raw_dir, layout, processing_time, cfg=cfg, sla=sla)
 
 
