@@ -9,7 +9,9 @@ also added in reverse and pruned again where a node has too many.
 
 Searching: queries go through every shard in blocks. A beam search runs all
 queries of a block in step: each expands its best unexpanded nodes, scores their
-neighbours and keeps the best ``beam``.
+neighbours and keeps the best ``beam``. A task has some of the shards and some
+of the queries, both as they were written, and hands on the best rows of each
+query over its shards.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M
 the shard's largest norm; that of a query is 0, so nearest means largest inner
@@ -36,6 +38,10 @@ ALPHA = 1.2
 BUILD_BATCH = 512
 EXPAND = 4  # nodes that a query expands in one step
 QUERIES_PER_BLOCK = 512
+PACKED_QUERIES = 4096  # so many travel together
+SHARD_GROUPS = 16  # the shards are dealt to so many, each hands on ``k`` rows of a query at most
+HELD_ROWS = 1_000_000  # results that a search task holds
+HELD_BYTES = 32_000_000  # of its queries' vectors
 
 
 # -- graph of one shard ------------------------------------------------------------
@@ -188,7 +194,7 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return (x / (np.abs(x).max(initial=0) or 1)).astype("<f4")
 
 
-def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Graphs of all shards, written: dim, shard, vecs, graph, entry and, for
     each vector, its ``k + 1`` smallest distinct ids with the rows of each, up
     to ``k``: without a query's own id, at least ``k`` rows or all are left.
@@ -215,27 +221,37 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[
 
     index = placed.groupBy("dim", "shard").applyInPandas(
         build, "dim int, shard int, vecs binary, graph binary, entry int, ids binary, times binary, copies binary")
-    return stage(index, "ann-index"), shards
+    return stage(index, "ann-index")
 
 
 def _nodes(x, graph, entry, q, foreign, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of each query's best ``k + 1`` nodes that hold a row of
     another id (``foreign`` of queries and nodes); the beam is doubled for
     queries whose own rows fill it."""
-    ats, nodes, live = [], [], np.arange(len(q))
-    while len(live):
-        met = beam_search(x, graph, entry, q[live], beam)
-        use = (met >= 0) & foreign(live[:, None], met)
-        done = (use.sum(axis=1) >= k) | (met[:, -1] < 0) | (beam >= len(x))
-        at, place = np.nonzero(use & (np.cumsum(use, axis=1) <= k + 1) & done[:, None])
-        ats.append(live[at])
-        nodes.append(met[at, place])
-        live, beam = live[~done], 2 * beam
+    ats, nodes = [], []
+    for begin in range(0, len(q), QUERIES_PER_BLOCK):
+        live, wide = np.arange(begin, min(begin + QUERIES_PER_BLOCK, len(q))), beam
+        while len(live):
+            met = beam_search(x, graph, entry, q[live], wide)
+            use = (met >= 0) & foreign(live[:, None], met)
+            done = (use.sum(axis=1) >= k) | (met[:, -1] < 0) | (wide >= len(x))
+            at, place = np.nonzero(use & (np.cumsum(use, axis=1) <= k + 1) & done[:, None])
+            ats.append(live[at])
+            nodes.append(met[at, place])
+            live, wide = live[~done], 2 * wide
     at, node = np.concatenate(ats), np.concatenate(nodes)
     order = np.argsort(at, kind="stable")
     return at[order], node[order]
 
 
+def _best(at: np.ndarray, member: np.ndarray, score: np.ndarray, k: int):
+    """The ``k`` rows of largest score of each query ``at``, in order; ties to the smaller id."""
+    order = np.lexsort((member, -score, at))
+    at, member, score = at[order], member[order], score[order]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[best], member[best], score[best]
+
+
 def _search(row: dict, k: int, beam: int):
     dim = row["dim"]
     qids, ids = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["ids"], "<i8")
@@ -259,12 +275,16 @@ def _search(row: dict, k: int, beam: int):
     upto = np.cumsum(rows) - rows
     rows = np.clip(k - (upto - upto[np.searchsorted(pair, pair)]), 0, rows)
     pair, member = np.repeat(pair, rows), np.repeat(ids[entry], rows)
-    at, score = at[pair], score[pair]
-    order = np.lexsort((member, -score, at))
-    at, score, member = at[order], score[order], member[order]
-    start = np.searchsorted(at, at)
-    best = np.arange(len(at)) - start < k
-    return at[best], member[best], score[best]
+    return _best(at[pair], member, score[pair], k)
+
+
+def _shares(asked: DataFrame, k: int) -> int:
+    """Parts of the packed queries: as many as a shuffle has, more where a part's
+    vectors or results would be too many to hold."""
+    made = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("vecs")).alias("bytes")).first()
+    held = max(1, min(HELD_ROWS // (PACKED_QUERIES * k), HELD_BYTES // max(made["bytes"] or 0, 1)))
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-made["n"] // held), min(made["n"], tasks))
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -283,25 +303,32 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     ignored.
     """
     rows = _usable(df, id_col, vec_col, is_query)
-    index, shards = build_index(rows, k)
+    index = build_index(rows, k, SHARD_ROWS)
     asked = stage(pack_blocks(rows.filter("asked").select("id", "vec"), "<f4" if _is_float(df, vec_col) else "<f8",
-                              QUERIES_PER_BLOCK), "ann-queries")
-    sent = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-                        F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+                              PACKED_QUERIES), "ann-queries")
+    blocks = (asked.select("dim", F.col("block").alias("qblock"), F.col("ids").alias("qids"),
+                           F.col("vecs").alias("qvecs")).repartition(_shares(asked, k)))
+    # each task reads its shards and its queries: no copy of the queries for each
+    # shard is made, neither shuffled nor broadcast
+    pairs = index.coalesce(SHARD_GROUPS).join(blocks.hint("shuffle_replicate_nl"), "dim")
     kind = pa.schema([("qblock", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64()),
                       ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}  # of each block its queries' ids and the rows so far
         for batch in batches:
-            for row in batch.to_pylist():
-                at, member, score = _search(row, k, beam)
-                qids = np.frombuffer(row["qids"], "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), row["qblock"])), pa.array(at.astype(np.int32)), pa.array(qids[at]),
-                     pa.array(member), pa.array(score)], schema=kind)
-
-    found = index.join(sent, ["dim", "shard"]).mapInArrow(
-        search, "qblock long, place int, query_id long, vec_id long, score double")
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                found = _search(row, k, beam)
+                if row["qblock"] in best:
+                    found = _best(*map(np.concatenate, zip(best[row["qblock"]][1:], found)), k)
+                best[row["qblock"]] = (row["qids"], *found)
+        for block, (qids, at, member, score) in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)),
+                 pa.array(np.frombuffer(qids, "<i8")[at]), pa.array(member), pa.array(score)], schema=kind)
+
+    found = pairs.mapInArrow(search, "qblock long, place int, query_id long, vec_id long, score double")
     order = Window.partitionBy("qblock", "place").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

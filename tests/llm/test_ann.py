@@ -116,3 +116,40 @@ def test_query_over_the_whole_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = sorted(queries.op7_ann_search(spark, sf).collect(), key=lambda r: (r["query_id"], r["rank"]))
     assert recall(got, brute(rows, 20, 20)) >= 0.95
+
+
+def test_queries_are_sent_to_no_shard(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 40)
+    monkeypatch.setattr(ann, "SHARD_GROUPS", 3, raising=False)
+    monkeypatch.setattr(ann, "PACKED_QUERIES", 16, raising=False)
+    monkeypatch.setattr(ann, "HELD_ROWS", 16 * 10, raising=False)
+    rng = np.random.default_rng(12)
+    x = np.float32(rng.normal(0, 1, (1200, 12)))
+    rows = [(i, v.tolist(), 0, "", 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    found = ann.nearest(df, F.col("vec_id") % 6 == 0, k=10)
+    got = sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"]))
+    want = brute(rows, 6, 10)
+    assert len(got) == 200 * 10 and recall(got, want) >= 0.99
+    # each group of shards hands on 10 rows of a query, however many shards it has
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert "Broadcast" not in plan and "Generate" not in plan and "CartesianProduct" in plan
+    assert _metric(found, "CartesianProduct", "numOutputRows") >= 25 * 13  # every shard, every 16 queries
+    assert _metric(found, "MapInArrow", "pythonNumRowsReceived") <= 3 * 200 * 10
+
+
+def _metric(df, node, name):
+    """A figure of a node of the plan that ran."""
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        elif p.nodeName().startswith(node):
+            return p.metrics().apply(name).value()
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    raise AssertionError(node)
